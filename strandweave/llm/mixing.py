@@ -16,8 +16,12 @@ Defined cases: a null text has size 0; a null source is a source, last in order;
 
 from __future__ import annotations
 
+import re
+from itertools import islice
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, same
@@ -102,9 +106,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 def write_shards(mixed: DataFrame, docs: DataFrame, path: str) -> None:
     """Texts of the mix, a folder for each shard, shuffled inside it."""
     full = mixed.where("taken > 0").join(docs.select(F.col("doc_id").alias("d_id"), "text"), same(F.col("doc_id"), F.col("d_id"))).drop("d_id")
-    full.withColumn("text", first_words("text", "taken")).repartition("shard").sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)
+    part = first_words(F.when(F.col("taken") < F.col("size"), F.col("text")), F.col("taken"))
+    full.withColumn("text", F.coalesce(part, "text")).repartition("shard").sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word; null stays null."""
 
+    @F.pandas_udf("string")
+    def head(texts: pd.Series, counts: pd.Series) -> pd.Series:
+        out = []
+        for text, count in zip(texts, counts):
+            end = 0
+            for m in islice(re.finditer(WORD, text), int(count)) if text is not None else ():
+                end = m.end()
+            out.append(None if text is None else text[:end])
+        return pd.Series(out, dtype=object)
 
-def first_words(text: str, n: str):
-    """The text up to the end of its n-th word."""
-    return F.expr(f"regexp_extract({text}, concat('^(?:[\\\\x20\\\\x09-\\\\x0D]*+[^\\\\x20\\\\x09-\\\\x0D]++){{', {n}, '}}'), 0)")
+    return head(text, n)
