@@ -23,48 +23,50 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words of a text; arrays are made in
-    layers (see ``measure``) so that none is evaluated for each element of another."""
-    text = F.coalesce(text, F.lit(""))
-    bare = F.translate(text, " \t\n\x0b\f\r", "")
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0)
-    return {
-        "words": F.filter(F.split(text, SPACE), lambda x: x != ""),
-        "word_chars": F.length(bare).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_lines": F.size(lines).cast("long"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-    }
-
-
 def windows(words: str) -> Column:
     """The 5 words from each place on where 5 are left, as structs a..e."""
     n = F.greatest(F.size(words) - (WINDOW - 1), F.lit(0))
     return F.arrays_zip(*[F.slice(words, k + 1, n).alias(c) for k, c in enumerate("abcde")])
 
 
+def sorted_windows(words: str) -> Column:
+    """Windows of words (joined by a space, which no word holds) with their places, sorted."""
+    return F.sort_array(F.transform(windows(words), lambda x, i: F.struct(F.concat_ws(" ", *[x[c] for c in "abcde"]).alias("w"), i.alias("i"))))
+
+
 def repeated(wins: str) -> Column:
-    """Words in windows that are found twice or more: sort the windows with their places, keep those equal to a
-    neighbour, and sum the lengths of the union of [place, place + 5)."""
-    by_text = F.array_sort(F.transform(F.col(wins), lambda x, i: F.struct(F.concat_ws(" ", *[x[c] for c in "abcde"]).alias("w"), i.alias("i"))))
+    """Words in windows that are found twice or more, of the sorted windows: those equal to a neighbour, and the length of the
+    union of their [place, place + 5)."""
     blank = F.array(F.struct(F.lit(None).cast("string").alias("w"), F.lit(-1).alias("i")))
-    before = F.concat(blank, F.slice(by_text, 1, F.size(wins) - 1))
-    after = F.concat(F.slice(by_text, 2, F.size(wins) - 1), blank)
-    marked = F.zip_with(F.zip_with(by_text, before, lambda a, b: F.struct(a["i"].alias("i"), a["w"].alias("w"), F.coalesce(a["w"] == b["w"], F.lit(False)).alias("m"))), after, lambda a, b: F.struct(a["i"].alias("i"), (a["m"] | F.coalesce(a["w"] == b["w"], F.lit(False))).alias("m")))
-    places = F.array_sort(F.transform(F.filter(marked, lambda x: x["m"]), lambda x: x["i"]))
+    before = F.concat(blank, F.slice(wins, F.lit(1), F.size(wins) - 1))
+    after = F.concat(F.slice(wins, F.lit(2), F.size(wins) - 1), blank)
+    marked = F.zip_with(F.zip_with(wins, before, lambda a, b: F.struct(a["i"].alias("i"), a["w"].alias("w"), F.coalesce(a["w"] == b["w"], F.lit(False)).alias("m"))), after, lambda a, b: F.struct(a["i"].alias("i"), (a["m"] | F.coalesce(a["w"] == b["w"], F.lit(False))).alias("m")))
+    places = F.sort_array(F.transform(F.filter(marked, lambda x: x["m"]), lambda x: x["i"]))
     start = F.struct(F.lit(0).alias("sum"), F.lit(-WINDOW).alias("end"))
     return F.aggregate(places, start, lambda s, i: F.struct((s["sum"] + F.least(F.lit(WINDOW), i + WINDOW - s["end"])).alias("sum"), (i + WINDOW).alias("end")), lambda s: s["sum"])
 
 
 def measure(docs: DataFrame, host: str = "source") -> DataFrame:
-    m = measures(F.col("text"))
-    out = docs.select("doc_id", F.col(host).alias("host"), *[c.alias(k) for k, c in m.items()])
-    out = out.withColumn("wins", windows("words")).withColumn("n_words", F.size("words").cast("long"))
-    hashes = F.transform("wins", lambda x: F.xxhash64(*[x[c] for c in "abcde"]))
-    distinct = F.size(F.array_distinct(hashes))
-    out = out.withColumn("n_repeat_words", F.when(distinct == F.size("wins"), F.lit(0)).otherwise(repeated("wins")).cast("long"))
-    return out.drop("words", "wins")
+    """doc_id, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
+
+    Arrays are made in layers of projections, so that none is evaluated for each element of another. Windows of word hashes
+    tell texts in which no window repeats (equal windows have equal hashes); only other texts have their windows of words sorted."""
+    text = F.coalesce("text", F.lit(""))
+    words = F.filter(F.split(text, SPACE), lambda x: x != "")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    out = docs.select("doc_id", F.col(host).alias("host"), words.alias("words"), lines.alias("lines"), F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"))
+    counts = {
+        "n_words": F.size("words"),
+        "word_chars": F.length(F.array_join("words", "")),
+        "n_lines": F.size("lines"),
+        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
+    }
+    out = out.select("doc_id", "host", "n_symbols", "words", F.transform("words", lambda x: F.xxhash64(x)).alias("hashes"), *[c.cast("long").alias(k) for k, c in counts.items()])
+    names = ["doc_id", "host", "n_symbols", *counts]
+    out = out.select(*names, "words", F.transform(windows("hashes"), lambda x: F.xxhash64(x)).alias("hashes"))
+    distinct = F.size(F.array_distinct("hashes")) == F.size("hashes")
+    out = out.select(*names, F.when(~distinct, sorted_windows("words")).alias("wins"))
+    return out.select(*names, F.coalesce(repeated("wins"), F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 #: Rules of the method: name, SQL for a failure. The first two are the base rules.
