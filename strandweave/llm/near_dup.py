@@ -35,6 +35,8 @@ from .common import LOWER, NOT_SPACE, Hasher, chain, cut, flat, map_arrow, mix,
 BINS, ROWS, SMALL, BLOCK = 128, 4, 64, 512
 BANDS = BINS // ROWS
 PROBES = 4096
+#: Bytes of ids that are broadcast at most.
+SENT = 64 << 20
 _U = np.uint64
 
 
@@ -176,6 +178,11 @@ def inside_blocks(size: int, percent: int):
     return run
 
 
+def with_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of texts whose id is in ids. Ids of at most ``SENT`` bytes in all go to the texts; more are shuffled with them."""
+    return texts.join(F.broadcast(ids) if ids.count() * 8 <= SENT else ids, "id", "left_semi")
+
+
 def mixed_buckets(rows: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
     """key, n of the buckets whose members are in several components, one for each set of members; all bucket
     rows with their component."""
@@ -192,15 +199,17 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     groups = sketched.where("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("class"))
     groups = cut(groups, "classes")
     heads = sketched.where("same is not null").join(groups.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = cut(heads.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")), "buckets")
+    heads = cut(heads.select(F.col("doc_id").alias("id"), "keys"), "heads")
+    keyed = heads.select("id", F.explode("keys").alias("key"))
     rank = F.struct(F.xxhash64("key", "id").alias("order"), F.col("id").alias("centre"))
-    centres = rows.groupBy("key").agg(F.min(rank).alias("r"), F.count("*").alias("n")).where("n > 1").select("key", "r.centre")
-    stars = rows.join(centres, "key").where("id != centre")
+    centres = cut(keyed.groupBy("key").agg(F.min(rank).alias("r"), F.count("*").alias("n")).where("n > 1").select("key", "r.centre"), "centres")
+    rows = cut(keyed.join(centres, "key"), "buckets")  # only buckets with company
+    stars = rows.where("id != centre")
+    rows = rows.drop("centre")
     pairs = cut(stars.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "pairs")
-    texts = docs.withColumnRenamed("doc_id", "id")
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    near = cut(texts.join(ends, "id", "left_semi").dropDuplicates(["id"]), "near")
-    links = cut(confirm(pairs, near, size, percent), "links")
+    ends = cut(rows.select("id").distinct(), "ends")
+    near = cut(with_ids(docs.withColumnRenamed("doc_id", "id"), ends), "near")
+    links = cut(confirm(pairs, near, size, percent).distinct(), "links")
     comp = cut(components(links), "components")
     mixed, placed = mixed_buckets(rows, comp)
     if mixed.head(1):
