@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, line_dedup, mixing, near_dup, quality, secrets, warc
+from . import decontam, langid, licenses, line_dedup, mixing, near_dup, quality, secrets, suffix_dedup, warc
 from .common import map_arrow, table
 
 
@@ -18,6 +18,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.groupBy("doc_id").agg(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix, op3_language_id, op4_warc, op5_decontaminate, op6_licenses, op7_near_dedup, op8_line_dedup, op9_quality, op10_secrets)
+    f.__name__: f for f in (op1_mix, op2_suffix_dedup, op3_language_id, op4_warc, op5_decontaminate, op6_licenses, op7_near_dedup, op8_line_dedup, op9_quality, op10_secrets)
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
