@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from ..lineage import cut, drop_on_exit, shared_path  # noqa: F401
+from ..lineage import cut, cut_by, drop_on_exit, release, shared_path  # noqa: F401
 from ..shipping import ship
 
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own.

@@ -9,9 +9,10 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier (
    unique can't lie in a repeat and is discarded. Samples travel packed, a few bytes each; a name that repeats in a
    batch of documents is sent once for it, so a hot passage costs a sample per batch, not per document.
 3. Recursion on names: only strings that hold a sampled place with a repeated name remain. Each takes as its name the smallest
-   prefix fingerprint in it. Consecutive strings of one name are one run; runs of equal content are one class, decided by one
-   comparison with the class's first run.
-4. Merge: where runs of one name differ (at the ends of repeats), or a run repeats itself, their strings are compared one by
+   prefix fingerprint in it, its anchor. Consecutive strings of one name are one run; runs of equal content are one class,
+   decided by one comparison with the class's first run. Where runs of one name differ, they are named again by pieces of
+   ``PIECE`` strings, counted from the anchor: the piece's name is what all its strings share.
+4. Merge: where pieces of one name differ (at the ends of repeats), or a run repeats itself, their strings are compared one by
    one by 128-bit fingerprints against the first that is equal, by partial aggregation.
 
 A full suffix array (a record for every byte, sorted in several rounds) would take many times the corpus in shuffles; the
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, cut, flat, map_arrow, small_batches, steps
+from .common import Hasher, cut, cut_by, flat, map_arrow, release, small_batches, steps
 
 LENGTH = 100
 #: A perfect difference cover; every number below 57 is a difference of two of these modulo 57 (of order 7).
@@ -40,7 +41,7 @@ MODULUS, COVER = 57, np.array([0, 1, 3, 13, 32, 36, 43, 52])
 PREFIX = LENGTH - MODULUS + 1
 #: Samples of a bucket, about; bytes of ids that are broadcast at most.
 BUCKET, SENT = 1_500_000, 64 << 20
-NAME_BITS = 40
+NAME_BITS, PIECE = 40, 8
 _U = np.uint64
 
 
@@ -150,12 +151,21 @@ def candidates(data: np.ndarray, ordinals: np.ndarray) -> np.ndarray:
     n = len(data) - LENGTH + 1
     at = np.unique(ordinals)
     at = at // len(COVER) * MODULUS + COVER[at % len(COVER)]
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, np.minimum(np.maximum(at - MODULUS + 1, 0), n), 1)
-    np.add.at(edge, np.minimum(at + 1, n), -1)
+    edge = np.bincount(np.minimum(np.maximum(at - MODULUS + 1, 0), n), minlength=n + 1) - np.bincount(np.minimum(at + 1, n), minlength=n + 1)
     return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
 
 
+def spans_of(column: pa.ListArray, *names: str) -> tuple[np.ndarray, ...]:
+    """Offsets of a list column of structs, and fields of its values."""
+    return (column.offsets.to_numpy(), *(column.values.field(n).to_numpy(zero_copy_only=False) for n in names))
+
+
+def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start .. start + n - 1 of each, one after the other."""
+    n = n.astype(np.int64)
+    return np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
+
+
 def window_names(hashes: np.ndarray, n: int) -> np.ndarray:
     """The smallest of each MODULUS consecutive fingerprints, for n places."""
     size, low = 1, hashes
@@ -166,43 +176,87 @@ def window_names(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(low[: len(low) - rest], low[rest:])[:n]
 
 
+def anchors(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Where the smallest of each MODULUS consecutive fingerprints first stands, for n places."""
+    size, low, at = 1, hashes, np.arange(len(hashes))
+    for step in (1, 2, 4, 8, 16, MODULUS - 32):
+        left = low[:-step] <= low[step:]
+        low, at = np.where(left, low[:-step], low[step:]), np.where(left, at[:-step], at[step:])
+        size += step
+    return at[:n]
+
+
 def strings(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return Hasher(data)(places, places + LENGTH), _Second(data)(places, places + LENGTH)
 
 
-RUN = "name long, h long, l long, doc_id long, start int, n int, own boolean"
+RUN = "name long, h long, doc_id long, start int, n int, own boolean"
+
+
+def batch_of(columns: list[list[np.ndarray]], names: str) -> pa.RecordBatch:
+    """Columns in pieces, with the types that the schema text names."""
+    kinds = [x.split() for x in names.split(", ")]
+    types = {"long": np.int64, "int": np.int32, "boolean": bool}
+    whole = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns]
+    whole = [c.view(np.int64) if c.dtype == np.uint64 else c.astype(types[t]) for c, (_, t) in zip(whole, kinds)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in whole], [k for k, _ in kinds])
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (doc_id, text, ordinals): maximal runs of candidate strings with one name; own: a string occurs in it twice."""
     for batch in batches:
         data_all, offsets = flat(batch.column(1))
-        out: list[list[np.ndarray]] = [[] for _ in range(7)]
+        out: list[list[np.ndarray]] = [[] for _ in range(6)]
         for i, doc in enumerate(batch.column(0).to_pylist()):
             data = data_all[offsets[i] : offsets[i + 1]]
             places = candidates(data, np.asarray(batch.column(2)[i].values.to_numpy(zero_copy_only=False), np.int64))
             if not len(places):
                 continue
-            one, two = Hasher(data), _Second(data)
+            one = Hasher(data)
             grams = np.arange(len(data) - PREFIX + 1)
             name = window_names(one(grams, grams + PREFIX), len(data) - LENGTH + 1)[places]
             new = np.concatenate([[True], (name[1:] != name[:-1]) | (places[1:] != places[:-1] + 1)])
             first = np.flatnonzero(new)
             size = np.diff(np.append(first, len(places)))
             start = places[first]
-            end = start + size - 1 + LENGTH
             own = np.zeros(len(first), bool)
             run = np.cumsum(new) - 1
             w = one(places, places + LENGTH)
-            order = np.lexsort((w, run))
-            twice = (w[order][1:] == w[order][:-1]) & (run[order][1:] == run[order][:-1])
-            own[run[order[1:]][twice]] = True
-            for c, x in zip(out, (name[first], one(start, end), two(start, end), np.full(len(first), doc), start, size, own)):
+            mixed = np.sort(w)
+            if (mixed[1:] == mixed[:-1]).any():
+                order = np.lexsort((w, run))
+                twice = (w[order][1:] == w[order][:-1]) & (run[order][1:] == run[order][:-1])
+                own[run[order[1:]][twice]] = True
+            for c, x in zip(out, (name[first], one(start, start + size - 1 + LENGTH), np.full(len(first), doc), start, size, own)):
+                c.append(x)
+        yield batch_of(out, RUN)
+
+
+PIECES = "name long, h long, doc_id long, start int, n int"
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (doc_id, text, spans: start, n of runs): their strings in pieces at fixed distances before the anchor."""
+    for batch in batches:
+        data_all, offsets = flat(batch.column(1))
+        out: list[list[np.ndarray]] = [[] for _ in range(5)]
+        edges, begin, sizes = spans_of(batch.column(2), "start", "n")
+        for i, doc in enumerate(batch.column(0).to_pylist()):
+            data = data_all[offsets[i] : offsets[i + 1]]
+            one = Hasher(data)
+            grams = np.arange(len(data) - PREFIX + 1)
+            mine = slice(edges[i], edges[i + 1])
+            places = ranges(begin[mine], sizes[mine])
+            anchor = anchors(one(grams, grams + PREFIX), len(data) - LENGTH + 1)[places]
+            part = (anchor - places) // PIECE
+            new = np.concatenate([[True], (part[1:] != part[:-1]) | (anchor[1:] != anchor[:-1])])
+            new[(np.cumsum(sizes[mine]) - sizes[mine]).astype(np.int64)] = True
+            first = np.flatnonzero(new)
+            size = np.diff(np.append(first, len(places)))
+            shared, start = (anchor - part * PIECE)[first], places[first]
+            for c, x in zip(out, (one(shared, shared + LENGTH - PIECE + 1), one(start, start + size - 1 + LENGTH), np.full(len(first), doc), start, size)):
                 c.append(x)
-        cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        kinds = [np.int64] * 4 + [np.int32] * 2 + [bool]
-        cols = [c.view(np.int64) if c.dtype == np.uint64 else c.astype(k) for c, k in zip(cols, kinds)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["name", "h", "l", "doc_id", "start", "n", "own"])
+        yield batch_of(out, PIECES)
 
 
 def single_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,8 +264,10 @@ def single_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         data_all, offsets = flat(batch.column(1))
         out: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
-        for i, (doc, spans) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-            places = np.unique(np.concatenate([np.arange(s["start"], s["start"] + s["n"]) for s in spans]))
+        edges, begin, sizes = spans_of(batch.column(2), "start", "n")
+        for i, doc in enumerate(batch.column(0).to_pylist()):
+            mine = slice(edges[i], edges[i + 1])
+            places = np.unique(ranges(begin[mine], sizes[mine]))
             h, l = strings(data_all[offsets[i] : offsets[i + 1]], places)  # noqa: E741
             for c, x in zip(out, (h, l, np.full(len(places), doc), places)):
                 c.append(x)
@@ -221,15 +277,11 @@ def single_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(h[a:b].view(np.int64)), pa.array(l[a:b].view(np.int64)), pa.array(doc[a:b].astype(np.int64)), pa.array(pos[a:b].astype(np.int32))], ["h", "l", "doc_id", "start"])
 
 
-def removed(starts: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal byte runs [a, b) that strings starting in [start, start + n) cover."""
-    out: list[list[int]] = []
-    for s, n in sorted(starts):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s + n - 1 + LENGTH)
-        else:
-            out.append([s, s + n - 1 + LENGTH])
-    return [(a, b) for a, b in out]
+def removed(size: int, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``size`` bytes the strings that start in [start, start + n) cover, and the edges of maximal covered runs."""
+    edge = np.bincount(start, minlength=size + 1) - np.bincount(start + n - 1 + LENGTH, minlength=size + 1)
+    gone = np.cumsum(edge[:-1]) > 0
+    return gone, np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
 
 
 def with_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -243,6 +295,17 @@ def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())], ["doc_id", "n_bytes", "sha"])
 
 
+def classes_of(rows: DataFrame, *more) -> DataFrame:
+    """name, h, n and the first place of each class of equal runs or pieces."""
+    return rows.groupBy("name", "h", "n").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("copies"), *more)
+
+
+def not_first(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    """doc_id, start, n of the rows that repeat their class's first."""
+    several = kinds.where("copies > 1").select("name", "h", "n", "first")
+    return rows.join(several, ["name", "h", "n"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))).select("doc_id", "start", "n")
+
+
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All documents' (doc_id, n_bytes, sha); doc_id of later copies of whole texts of LENGTH bytes or more; (doc_id, text,
     starts: array of (start, n)) of other documents that lose bytes."""
@@ -258,21 +321,33 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     small_batches(docs.sparkSession)
     marks = named.groupBy("bucket").applyInArrow(repeated_names, "doc_id long, ordinals array<int>")
     marks = cut(marks, "marks")
+    release(docs.sparkSession)
     ids = cut(marks.select("doc_id").distinct(), "ids")
     texts = with_ids(heads, ids, "left_semi")
     zones = marks.groupBy("doc_id").agg(F.flatten(F.collect_list("ordinals")).alias("ordinals"))
-    zones = cut(texts.join(zones, "doc_id"), "zones")
+    zones = cut_by(texts.join(zones, "doc_id"), "doc_id", "zones")
+    release(docs.sparkSession)
     found = cut(map_arrow(zones.select("doc_id", "text", "ordinals"), runs, RUN), "runs")
+    kinds = cut(classes_of(found, F.max("own").alias("own")), "kinds")
+    later = cut(not_first(found, kinds), "later")
+    release(docs.sparkSession)
+    names = kinds.groupBy("name").agg(F.count("*").alias("k"), F.max("own").alias("any_own")).where("k > 1 or any_own").select("name", "any_own")
+    open_ = cut(kinds.join(names, "name").select("first.doc_id", "first.start", "n", "any_own"), "open")
+    spans = F.collect_list(F.struct("start", "n")).alias("spans")
+    texts = zones.select("doc_id", "text")
+    cut_up = texts.join(open_.where("not any_own").groupBy("doc_id").agg(spans), "doc_id").select("doc_id", "text", "spans")
+    parts = cut(map_arrow(cut_up, pieces, PIECES), "pieces")
+    part_kinds = cut(classes_of(parts), "piece-kinds")
+    part_later = cut(not_first(parts, part_kinds), "later")
+    release(docs.sparkSession)
+    names = part_kinds.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name")
+    left = part_kinds.join(names, "name").select("first.doc_id", "first.start", "n")
+    left = left.unionByName(open_.where("any_own").select("doc_id", "start", "n")).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    each = cut(map_arrow(texts.join(left, "doc_id").select("doc_id", "text", "spans"), single_strings, "h long, l long, doc_id long, start int"), "strings")
     place = F.struct("doc_id", "start")
-    kinds = found.groupBy("name", "h", "l", "n").agg(F.min(place).alias("first"), F.max("own").alias("own"))
-    kinds = cut(kinds, "kinds")
-    several = kinds.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name", F.lit(True).alias("several"))
-    later = found.join(kinds.select("name", "h", "l", "n", "first"), ["name", "h", "l", "n"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))).select("doc_id", "start", "n")
-    open_ = kinds.join(several, "name", "left").where("own or several").select("first.doc_id", "first.start", "n")
-    open_ = open_.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    each = cut(map_arrow(zones.select("doc_id", "text").join(open_, "doc_id").select("doc_id", "text", "spans"), single_strings, "h long, l long, doc_id long, start int"), "strings")
     low = each.groupBy("h", "l").agg(F.min(place).alias("first"), F.count("*").alias("k")).where("k > 1")
     again = each.join(low, ["h", "l"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))).select("doc_id", "start", F.lit(1).alias("n"))
+    later = later.unionByName(part_later)
     gone = later.unionByName(again).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("starts"))
     lost = zones.select("doc_id", "text").join(gone, "doc_id").select("doc_id", "text", "starts")
     return known, copies, lost
@@ -285,14 +360,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans, shas = [], []
-            for text, starts in zip(batch.column(1), batch.column(2).to_pylist()):
-                text = text.as_py().encode()
-                out = removed([(s["start"], s["n"]) for s in starts])
-                keep = np.ones(len(text), bool)
-                for a, b in out:
-                    keep[a:b] = False
-                spans.append([{"start": a, "end": b} for a, b in out])
-                shas.append(hashlib.sha256(np.frombuffer(text, np.uint8)[keep].tobytes()).digest())
+            data, offsets = flat(batch.column(1))
+            edges, begin, sizes = spans_of(batch.column(2), "start", "n")
+            for i in range(batch.num_rows):
+                text, mine = data[offsets[i] : offsets[i + 1]], slice(edges[i], edges[i + 1])
+                gone, out = removed(len(text), begin[mine].astype(np.int64), sizes[mine].astype(np.int64))
+                spans.append([{"start": int(a), "end": int(b)} for a, b in out])
+                shas.append(hashlib.sha256(text[~gone].tobytes()).digest())
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind), pa.array(shas, pa.binary())], ["doc_id", "spans", "new_sha"])
 
