@@ -105,14 +105,14 @@ def records(stream, wanted, payload: bool) -> Iterator[dict]:
             continue
         body = None
         if payload and head.get("warc-type") == "response":
-            block = read(stream, left)
+            block = take(stream, left)
             body = block[block.find(b"\r\n\r\n") + 4 :] if head.get("content-type", "").startswith("application/http") else block
         else:
             skip(stream, left)
         yield head | {"payload": body}
 
 
-def read(stream, n: int) -> bytes:
+def take(stream, n: int) -> bytes:
     out = stream.read(n)
     if len(out) != n:
         raise ValueError("a WARC record ends early")
@@ -258,15 +258,27 @@ def archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return both.select("page_id", kind.alias("record_type"), "target_uri", "payload_digest", "payload_bytes", F.when(again, F.col("first")).alias("refers_to"), F.when(~again, F.col("payload")).alias("payload"))
 
 
-def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write the pages' archives below the shared folder and read all records back."""
+def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     spark = pages.sparkSession
     register(spark)
     small_batches(spark)
-    path = shared_path(spark, "warc")
     archive(pages, min_bytes).write.format("warc").mode("append").save(path)
+
+
+def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """All records below a path. Load anew for each query with filters of its own: Spark 4.1 keeps filters that were pushed to a Python
+    data source with the loaded relation, so a second query on the same DataFrame would see the first one's."""
+    register(spark)
+    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+
+
+def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """Write the pages' archives below the shared folder and read all records back."""
+    spark = pages.sparkSession
+    path = shared_path(spark, "warc")
+    write(pages, path, min_bytes)
     drop_on_exit(spark, path)
-    return spark.read.format("warc").load(path)
+    return read_archives(spark, path)
 
 
 def verified(read_back: DataFrame) -> DataFrame:
