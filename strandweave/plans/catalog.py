@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seq
 from ..operators import compact, count, reform, subtract
+from ..sources.spread import spread
 from ..streaming import presence
 
 K, M, X = 21, 11, 2
@@ -21,7 +22,7 @@ UNIT_K = 7
 def reads(spark: SparkSession, sf_dir: str, table: str = "documents", text: str = "text", **ids: str) -> DataFrame:
     ids = ids or {"record_idx": "doc_id", "dataset_id": "source"}
     t = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return t.select(*[F.col(v).alias(k) for k, v in ids.items()], seq.text_to_dna(text).alias("seq"))
+    return spread(t.select(*[F.col(v).alias(k) for k, v in ids.items()], F.col(text).alias("text"))).select(*ids, seq.text_to_dna("text").alias("seq"))
 
 
 def index(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:

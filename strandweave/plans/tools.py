@@ -14,6 +14,10 @@ from ..operators import compact, count, reform, subtract
 from ..sources import fastx, sinks
 
 
+# Names in statistics lines.
+STAT, SCANNED, FILTERED, NOT_FILTERED, NUCLEOTIDES = "STAT", "query_kmers_scanned", "query_kmers_filtered_by_zi", "query_kmers_not_filtered_by_zi", "regular_nucleotides"
+
+
 @dataclass
 class QueryStats:
     """Window occurrences of a query; nucleotides only where segments are made."""
@@ -24,8 +28,8 @@ class QueryStats:
     nucleotides: int | None = None
 
     def lines(self) -> list[str]:
-        values = {"query_kmers_scanned": self.scanned, "query_kmers_filtered_by_zi": self.filtered, "query_kmers_not_filtered_by_zi": self.not_filtered, "regular_nucleotides": self.nucleotides}
-        return [f"MCZI_STAT {k}={v:,}" for k, v in values.items() if v is not None]
+        values = {SCANNED: self.scanned, FILTERED: self.filtered, NOT_FILTERED: self.not_filtered, NUCLEOTIDES: self.nucleotides}
+        return [f"{STAT} {k}={v:,}" for k, v in values.items() if v is not None]
 
 
 def counter(spark: SparkSession, inputs: list[str], k: int, output: str, m: int = 1, threshold: int = 1, fmt: str = "fasta", fofn: bool = False) -> int:

@@ -92,7 +92,7 @@ def read_fastx(spark: SparkSession, paths: list[str], on_invalid: str = "error")
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return files.mapInArrow(run, RECORD)
 
 

@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from .fastx import codec_of
 
+# Line width and labels of the FASTA formats.
 WIDTH = 80
+SIMPLITIG_LABEL, KMER_LABEL = "MC_simplitig", "MC_kmer"
 
 
 @contextmanager
@@ -53,14 +55,14 @@ def write_records(rows: Iterable[tuple[str, str]], path: str, width: int | None
     return n
 
 
-def write_simplitigs(simplitigs: DataFrame, path: str, k: int, start: int = 0, label: str = "MC_simplitig") -> int:
+def write_simplitigs(simplitigs: DataFrame, path: str, k: int, start: int = 0, label: str = SIMPLITIG_LABEL) -> int:
     rows = simplitigs.orderBy("seed").select("seq").toLocalIterator()
     return write_records(((f"{label}_{i} kmers={len(r['seq']) - k + 1}", r["seq"]) for i, r in enumerate(rows, start + 1)), path)
 
 
 def write_counts(counts: DataFrame, path: str) -> int:
     rows = counts.orderBy("kmer").toLocalIterator()
-    return write_records(((f"MC_kmer_{i} count={r['count']}", r["kmer"]) for i, r in enumerate(rows, 1)), path)
+    return write_records(((f"{KMER_LABEL}_{i} count={r['count']}", r["kmer"]) for i, r in enumerate(rows, 1)), path)
 
 
 def write_segments(segments: DataFrame, path: str) -> int:

@@ -78,7 +78,7 @@ def test_pipeline(spark, tmp_path):
     assert (s.scanned, s.filtered, s.not_filtered, s.nucleotides) == (3, 1, 2, 4)
     assert (tmp_path / "o.fa").read_text() == ">query\nAATG\n"
     s = tools.pipeline(spark, [index], [query], 3, threshold=0, mode="no-output")[0]
-    assert s.lines()[0] == "MCZI_STAT query_kmers_scanned=3" and s.nucleotides is None
+    assert s.lines()[0] == "STAT query_kmers_scanned=3" and s.nucleotides is None
     tools.pipeline(spark, [index], [query], 3, threshold=0, suffix="left", reform_output=True)
     assert (tmp_path / "q.left.fa").read_text().startswith(">A\n")
     with pytest.raises(ValueError):
