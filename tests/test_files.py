@@ -44,7 +44,7 @@ def test_fofn(tmp_path):
         fastx.expand_fofns([str(tmp_path / "none")])
 
 
-@pytest.mark.parametrize("name, suffix, want", [("sample.fa.zst", "filtered", "sample.filtered.fa.zst"), ("sample.fastq.gz", ".clean", "sample.clean.fastq.gz"), ("sample.unitigs.fna.xz", "mczi", "sample.unitigs.mczi.fna.xz"), ("sample", "filtered", "sample.filtered")])
+@pytest.mark.parametrize("name, suffix, want", [("sample.fa.zst", "filtered", "sample.filtered.fa.zst"), ("sample.fastq.gz", ".clean", "sample.clean.fastq.gz"), ("sample.unitigs.fna.xz", "left", "sample.unitigs.left.fna.xz"), ("sample", "filtered", "sample.filtered")])
 def test_names(name, suffix, want):
     assert sinks.suffixed(name, suffix) == want
 
