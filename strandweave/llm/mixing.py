@@ -28,6 +28,8 @@ from .common import cut, same
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_DOCS = 512
+#: Blocks whose sums are added up together.
+GROUP = 1024
 
 
 def fill(sizes: list[int], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -63,6 +65,20 @@ def split_quotas(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def placed_blocks(blocks: DataFrame) -> DataFrame:
+    """Adds start and nth (words and blocks of the source before the block) and per_round (the source's blocks). Sums go up
+    in two levels, so that a hot source's blocks are many windows' and only one row for each ``GROUP`` blocks is in one."""
+    group = F.floor(F.col("block") / GROUP)
+    groups = blocks.groupBy("source", group.alias("group")).agg(F.sum("words").alias("words"), F.count("*").alias("n"))
+    before, all_ = Window.partitionBy("source").orderBy("group"), Window.partitionBy("source")
+    sums = [(F.sum(c).over(before) - F.col(c)).alias(f"g_{c}") for c in ("words", "n")]
+    groups = groups.select(F.col("source").alias("g_source"), F.col("group").alias("g_group"), *sums, F.sum("n").over(all_).alias("per_round"))
+    blocks = blocks.join(groups, same(F.col("source"), F.col("g_source")) & (group == F.col("g_group")))
+    inside = Window.partitionBy("source", "g_group").orderBy("block")
+    start, nth = F.col("g_words") + F.sum("words").over(inside) - F.col("words"), F.col("g_n") + F.row_number().over(inside) - 1
+    return blocks.select("source", "block", "line", "quota", start.alias("start"), nth.alias("nth"), "per_round")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, shards: int = 64, seed: int = 7, max_sources: int = 1_000_000) -> DataFrame:
     """One row for each document and round (0 .. repeats-1) of which words are taken, and one with taken 0 for a
     document of which none are: doc_id, source, size, source_size, target, round, taken (the first words of
@@ -83,8 +99,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     placed = narrow.join(F.broadcast(plan), same(F.col("source"), F.col("p_source"))).drop("p_source")
     placed = placed.withColumn("bits", bits).withColumn("block", F.expr("shiftrightunsigned(shiftrightunsigned(bits, 1), 63 - depth)"))
     blocks = placed.groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("source_size").alias("line"), F.first("quota").alias("quota"))
-    before = Window.partitionBy("source").orderBy("block")
-    blocks = blocks.select("source", "block", "line", "quota", (F.sum("words").over(before) - F.col("words")).alias("start"), (F.row_number().over(before) - 1).alias("nth"), F.count("*").over(Window.partitionBy("source")).alias("per_round"))
+    blocks = placed_blocks(cut(blocks, "mix-sums"))
     rounds = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("round"))
     rounds = rounds.select("source", "block", "round", "quota", (F.col("start") + F.col("round") * F.col("line")).alias("from"), (F.col("nth") + F.col("round") * F.col("per_round")).alias("nth"))
     rounds = cut(rounds.where(F.col("from") < F.col("quota")), "mix-blocks")

@@ -124,6 +124,17 @@ def test_mix(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, queries.op1_mix(spark, DATA).collect()))
 
 
+def test_placed_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    r = random.Random(3)
+    rows = [(s, b, r.randint(0, 9), 0, 0) for s in ("a", None) for b in range(23) if r.random() < 0.8]
+    got = mixing.placed_blocks(spark.createDataFrame(rows, "source string, block long, words long, line long, quota long").repartition(3)).collect()
+    for s in ("a", None):
+        mine = [(b, w) for x, b, w, *_ in rows if x == s]
+        want = [(b, sum(w for _, w in mine[:i]), i, len(mine)) for i, (b, _) in enumerate(mine)]
+        assert sorted((x["block"], x["start"], x["nth"], x["per_round"]) for x in got if x["source"] == s) == want
+
+
 def test_split_quotas():
     import numpy as np
 
