@@ -12,14 +12,17 @@ def components(edges: DataFrame) -> DataFrame:
     """id, component (its smallest id) of every end of the edges (a, b: of one orderable type).
 
     Large-star / small-star contraction: rounds are logarithmic in practice, each is two aggregations and two joins with
-    a node's smallest neighbour (neighbours are never gathered), and is written to the shared folder."""
+    a node's smallest neighbour (neighbours are never gathered), and is written to the shared folder. The smallest
+    neighbours are written too: a join with an aggregate made in the same plan would keep the aggregate's dealing by
+    node, in which a hub's edges are one task that AQE can't split."""
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large, "large")
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
