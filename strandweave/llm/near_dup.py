@@ -216,7 +216,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
         degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
         members = cut(placed.join(mixed.select("key"), "key", "left_semi").join(degree, "id", "left"), "members")
         best = F.struct((-F.coalesce("degree", F.lit(0))).alias("order"), F.xxhash64("key", "id").alias("hash"), F.col("id").alias("centre"), F.col("component").alias("own"))
-        centres = members.groupBy("key").agg(F.min(best).alias("r")).select("key", "r.centre", "r.own")
+        centres = cut(members.groupBy("key").agg(F.min(best).alias("r")).select("key", "r.centre", "r.own"), "centres")
         pairs2 = members.join(centres, "key").where("component != own").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
         pairs2 = cut(pairs2.join(pairs, ["a", "b"], "left_anti"), "pairs")
         more = cut(confirm(pairs2, near, size, percent), "links")
