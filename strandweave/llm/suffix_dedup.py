@@ -331,7 +331,8 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     kinds = cut(classes_of(found, F.max("own").alias("own")), "kinds")
     later = cut(not_first(found, kinds), "later")
     release(docs.sparkSession)
-    names = kinds.groupBy("name").agg(F.count("*").alias("k"), F.max("own").alias("any_own")).where("k > 1 or any_own").select("name", "any_own")
+    # joins with what is aggregated on the same key: the aggregate is written first, so that AQE may broadcast it or split a hot key
+    names = cut(kinds.groupBy("name").agg(F.count("*").alias("k"), F.max("own").alias("any_own")).where("k > 1 or any_own").select("name", "any_own"), "names")
     open_ = cut(kinds.join(names, "name").select("first.doc_id", "first.start", "n", "any_own"), "open")
     spans = F.collect_list(F.struct("start", "n")).alias("spans")
     texts = zones.select("doc_id", "text")
@@ -340,12 +341,12 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     part_kinds = cut(classes_of(parts), "piece-kinds")
     part_later = cut(not_first(parts, part_kinds), "later")
     release(docs.sparkSession)
-    names = part_kinds.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name")
+    names = cut(part_kinds.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name"), "names")
     left = part_kinds.join(names, "name").select("first.doc_id", "first.start", "n")
     left = left.unionByName(open_.where("any_own").select("doc_id", "start", "n")).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     each = cut(map_arrow(texts.join(left, "doc_id").select("doc_id", "text", "spans"), single_strings, "h long, l long, doc_id long, start int"), "strings")
     place = F.struct("doc_id", "start")
-    low = each.groupBy("h", "l").agg(F.min(place).alias("first"), F.count("*").alias("k")).where("k > 1")
+    low = cut(each.groupBy("h", "l").agg(F.min(place).alias("first"), F.count("*").alias("k")).where("k > 1"), "low")
     again = each.join(low, ["h", "l"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))).select("doc_id", "start", F.lit(1).alias("n"))
     later = later.unionByName(part_later)
     gone = later.unionByName(again).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("starts"))
