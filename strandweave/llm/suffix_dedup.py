@@ -313,6 +313,7 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     known = cut(map_arrow(docs, digest, "doc_id long, n_bytes long, sha binary"), "digests")
     able = known.where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= LENGTH))
     first = able.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last")
+    first = cut(first, "first")  # so that AQE may broadcast it or split a hot text's copies, as below
     copies = cut(able.join(first, "sha").where("doc_id != first").select("doc_id").distinct(), "copies")
     total = able.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     bits = max(0, int(total * len(COVER) / MODULUS / BUCKET).bit_length())
