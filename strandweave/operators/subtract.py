@@ -1,14 +1,29 @@
 """Subtraction of a k-mer set from a stream of records: distinct, per occurrence, counters only, or as segments.
 
-The index is always made distinct first, so a probe never multiplies; it is broadcast only if Spark's own size threshold
-lets it, and shuffled on the k-mer otherwise."""
+The index is made distinct and written once (``build``), so a probe never multiplies and Spark knows the index's size: it is
+broadcast under Spark's own threshold, and windows are not shuffled then; else both sides are shuffled on the k-mer, and AQE
+can split the windows of a hot k-mer, as it couldn't beside an aggregate made in the same plan."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq
+from ..lineage import cut
+
+
+@dataclass(frozen=True)
+class Index:
+    """Distinct k-mers (kmer) in the shared folder, for any number of queries."""
+
+    kmers: DataFrame
+
+
+def build(index: DataFrame | Index) -> Index:
+    return index if isinstance(index, Index) else Index(cut(index.select("kmer").distinct(), "index"))
 
 
 def check_k(k: int, m: int | None = None) -> int:
@@ -23,30 +38,30 @@ def check_k(k: int, m: int | None = None) -> int:
     return m
 
 
-def subtract_distinct(reads: DataFrame, index: DataFrame, k: int, col: str = "seq") -> DataFrame:
+def subtract_distinct(reads: DataFrame, index: DataFrame | Index, k: int, col: str = "seq") -> DataFrame:
     """Distinct k-mers of the records that the index (kmer) lacks."""
-    return seq.windows(seq.fragments(reads, k, seq=col), k).distinct().join(index.select("kmer").distinct(), "kmer", "left_anti")
+    return seq.windows(seq.fragments(reads, k, seq=col), k).distinct().join(build(index).kmers, "kmer", "left_anti")
 
 
-def absent_windows(reads: DataFrame, index: DataFrame, k: int, *keys: str, col: str = "seq") -> DataFrame:
+def absent_windows(reads: DataFrame, index: DataFrame | Index, k: int, *keys: str, col: str = "seq") -> DataFrame:
     """Every window occurrence that the index lacks."""
-    return seq.windows(seq.fragments(reads, k, *keys, seq=col), k, *keys).join(index.select("kmer").distinct(), "kmer", "left_anti")
+    return seq.windows(seq.fragments(reads, k, *keys, seq=col), k, *keys).join(build(index).kmers, "kmer", "left_anti")
 
 
-def marked(reads: DataFrame, index: DataFrame, k: int, *keys: str, place: bool = False, col: str = "seq") -> DataFrame:
+def marked(reads: DataFrame, index: DataFrame | Index, k: int, *keys: str, place: bool = False, col: str = "seq") -> DataFrame:
     """Windows with ``hit``: the index has them."""
     w = seq.windows(seq.fragments(reads, k, *[x for x in keys if x != "frag"], seq=col), k, *keys, place=place)
-    return w.join(index.select("kmer").distinct().withColumn("in_index", F.lit(True)), "kmer", "left").withColumn("hit", F.coalesce("in_index", F.lit(False))).drop("in_index")
+    return w.join(build(index).kmers.withColumn("in_index", F.lit(True)), "kmer", "left").withColumn("hit", F.coalesce("in_index", F.lit(False))).drop("in_index")
 
 
-def stats(reads: DataFrame, index: DataFrame, k: int, *keys: str, col: str = "seq") -> DataFrame:
+def stats(reads: DataFrame, index: DataFrame | Index, k: int, *keys: str, col: str = "seq") -> DataFrame:
     """Per keys (or in all): scanned, filtered and not_filtered window occurrences."""
     w = marked(reads, index, k, *keys, col=col)
     out = [F.count("*").alias("scanned"), F.count_if("hit").alias("filtered"), F.count_if(~F.col("hit")).alias("not_filtered")]
     return w.groupBy(*keys).agg(*out) if keys else w.agg(*out)
 
 
-def segments(reads: DataFrame, index: DataFrame, k: int, record: str = "record_idx", col: str = "seq") -> DataFrame:
+def segments(reads: DataFrame, index: DataFrame | Index, k: int, record: str = "record_idx", col: str = "seq") -> DataFrame:
     """record, frag, start, seq: what remains of each fragment, for each maximal run of windows that the index lacks.
 
     Windows travel without their sequence; runs are cut from the fragments afterwards."""

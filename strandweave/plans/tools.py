@@ -77,7 +77,7 @@ def pipeline(spark: SparkSession, index: list[str], queries: list[str], k: int,
         found = count.count_datasets(fastx.read_datasets(spark, paths, "skip"), k, threshold, n_datasets=len(paths)).select("kmer")
     else:
         found = count.count_kmers(fastx.read_fastx(spark, index, "skip"), k, threshold).select("kmer")
-    found = found.persist()
+    found = subtract.build(found)
     silent = output == os.devnull or mode == "no-output"
     jobs = [[q] for q in fastx.expand_fofns(queries)] if query_fofn and not silent else [fastx.expand_fofns(queries) if query_fofn else queries]
     outs = [None] * len(jobs) if silent else sinks.plan_outputs([j[0] for j in jobs], output, suffix) if query_fofn or output is None else [output]
@@ -105,7 +105,6 @@ def pipeline(spark: SparkSession, index: list[str], queries: list[str], k: int,
             else:
                 sinks.write_simplitigs(made, out, k)
         done.append(stats)
-    found.unpersist()
     return done
 
 
