@@ -8,7 +8,7 @@
    confirmed on the full sets.
 4. A star can miss a link between two members whose centre is like only one of them. So buckets whose members are
    still in several components get a second star, whose centre is the member with most links so far; those that
-   still are in several are compared inside, in blocks of ``BLOCK`` members, until their components meet or
+   still are in several are compared inside, in blocks of at most about ``BLOCK`` members and ``BLOCK_BYTES`` of text, until their components meet or
    every pair across them has been tried; only confirmed links leave a block.
 5. Components by large-star / small-star contraction of the links.
 
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ BANDS = BINS // ROWS
 PROBES = 4096
 #: Bytes of ids that are broadcast at most.
 SENT = 64 << 20
+#: Text bytes of a block, about: a task holds two.
+BLOCK_BYTES = 24 << 20
 _U = np.uint64
 
 
@@ -110,7 +113,7 @@ def sketch(size: int, percent: int):
                 ident.append(two.tobytes())
                 k = band_keys(signature(x))
                 keys.append(np.unique(np.concatenate([k, prefix_keys(x, percent)]) if len(x) <= SMALL else k).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ident, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "same", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ident, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())], ["doc_id", "n_shingles", "same", "keys", "bytes"])
 
     return run
 
@@ -184,23 +187,23 @@ def with_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def mixed_buckets(rows: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """key, n of the buckets whose members are in several components, one for each set of members; all bucket
+    """key, n, size (bytes) of the buckets whose members are in several components, one for each set of members; all bucket
     rows with their component."""
-    placed = rows.join(comp, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
+    placed = rows.join(comp, "id", "left").select("id", "key", "bytes", F.coalesce("component", "id").alias("component"))
     ids = F.sum(F.xxhash64("id").cast("decimal(38,0)"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), ids.alias("ids")).where("x != y")
-    return cut(mixed.groupBy("n", "low", "high", "ids").agg(F.min("key").alias("key")).select("key", "n"), "mixed"), placed
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), F.sum("bytes").alias("size"), F.min("id").alias("low"), F.max("id").alias("high"), ids.alias("ids")).where("x != y")
+    return cut(mixed.groupBy("n", "low", "high", "ids").agg(F.min("key").alias("key"), F.max("size").alias("size")).select("key", "n", "size"), "mixed"), placed
 
 
 def classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = cut(map_arrow(docs, sketch(size, percent), "doc_id long, n_shingles long, same binary, keys array<long>"), "sketch")
+    sketched = cut(map_arrow(docs, sketch(size, percent), "doc_id long, n_shingles long, same binary, keys array<long>, bytes long"), "sketch")
     groups = sketched.where("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("class"))
     groups = cut(groups, "classes")
     heads = sketched.where("same is not null").join(groups.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    heads = cut(heads.select(F.col("doc_id").alias("id"), "keys"), "heads")
-    keyed = heads.select("id", F.explode("keys").alias("key"))
+    heads = cut(heads.select(F.col("doc_id").alias("id"), "keys", "bytes"), "heads")
+    keyed = heads.select("id", "bytes", F.explode("keys").alias("key"))
     rank = F.struct(F.xxhash64("key", "id").alias("order"), F.col("id").alias("centre"))
     centres = cut(keyed.groupBy("key").agg(F.min(rank).alias("r"), F.count("*").alias("n")).where("n > 1").select("key", "r.centre"), "centres")
     rows = cut(keyed.join(centres, "key"), "buckets")  # only buckets with company
@@ -226,7 +229,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
             mixed, placed = mixed_buckets(rows, comp)
     if mixed.head(1):
         members = placed.join(mixed, "key")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_BYTES)).cast("int")
         members = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
         spread = members.select("key", "id", "component", "mine", other)
