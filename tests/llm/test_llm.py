@@ -236,7 +236,9 @@ def test_suppression():
     assert licenses.suppress([d(0, 10, "gpl", "name", 60), d(0, 20, "gpl-3.0", "under", 90), d(15, 30, "mit", "name", 60)]) == [d(0, 20, "gpl-3.0", "under", 90), d(15, 30, "mit", "name", 60)]
 
 
-def test_near_dedup_brute(spark):
+@pytest.mark.parametrize("block_bytes", [near_dup.BLOCK_BYTES, 2000])
+def test_near_dedup_brute(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", block_bytes)
     r = random.Random(4)
     base = [[f"w{r.randint(0, 400)}" for _ in range(n)] for n in (3, 6, 12, 40, 70, 200, 600)]
     rows, n = [], 0
