@@ -26,7 +26,7 @@ def keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that language ID rejects: no letters, or too far from every language's centroids."""
     model = langid.fit(docs.where(langid.train_rows(F.col("doc_id"))))
-    return keep(docs, langid.predict(docs, model).where("not rejected"))
+    return langid.predict(docs, model, tuple(COLUMNS)).where("not rejected").select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that hold ten consecutive words of a benchmark item."""
-    found = decontam.matches(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return keep(docs, found.where(F.size("matches") == 0))
+    found = decontam.matches(docs, table(spark, sf_dir, "benchmark"), columns=tuple(COLUMNS))
+    return found.where(F.size("matches") == 0).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

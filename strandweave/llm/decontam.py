@@ -130,31 +130,36 @@ def search(column, test: TestSet) -> tuple[np.ndarray, list[tuple[int, int, int,
     return n_words, sorted(out)
 
 
-def one_pass(docs: DataFrame, test: TestSet, window: int) -> DataFrame:
+def one_pass(docs: DataFrame, test: TestSet, out: list[str]) -> DataFrame:
+    """docs: columns, text among them, then n_words and matches, to which the test set's are added; out: columns to return."""
+    at, keep = docs.columns.index("text"), [docs.columns.index(c) for c in out]
     sent = docs.sparkSession.sparkContext.broadcast(test)  # at most block_mb of text, see matches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = sent.value
         for batch in batches:
-            n_words, found = search(batch.column(1), test)
+            n_words, found = search(batch.column(at), test)
             mine: list[list] = [[] for _ in range(batch.num_rows)]
             for row, item, j, place, size in found:
                 mine[row].append({"item_id": test.ids[item], "item_word": j, "doc_word": place, "n_words": size})
-            old = batch.column(3).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array([(a or []) + b for a, b in zip(old, mine)], pa.list_(_MATCH))], ["doc_id", "text", "n_words", "matches"])
+            old = batch.column(batch.num_columns - 1).to_pylist()
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(n_words, pa.int64()), pa.array([(a or []) + b for a, b in zip(old, mine)], pa.list_(_MATCH))], [*out, "n_words", "matches"])
 
-    return map_arrow(docs, run, f"doc_id long, text string, n_words long, matches {MATCH}")
+    kinds = dict(docs.dtypes)
+    return map_arrow(docs, run, ", ".join(f"`{c}` {kinds[c]}" for c in out) + f", n_words long, matches {MATCH}")
 
 
-def matches(docs: DataFrame, items: DataFrame, window: int = 10, block_mb: float = 32) -> DataFrame:
-    """doc_id, text, n_words and the longest verbatim matches of at least a window with test items."""
+def matches(docs: DataFrame, items: DataFrame, window: int = 10, block_mb: float = 32, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """columns (what is asked for passes through, so that a filter needs no join with the texts), n_words and the longest verbatim matches of at least a window with test items."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // int(block_mb * (1 << 20))))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_words"), F.expr(f"cast(array() as {MATCH})").alias("matches"))
+    names = list(dict.fromkeys([*columns, "text"]))
+    out = docs.select(*names, F.lit(0).cast("long").alias("n_words"), F.expr(f"cast(array() as {MATCH})").alias("matches"))
     for b in range(blocks):
-        out = one_pass(out, TestSet([tuple(r) for r in items.where(block == b).collect()], window), window)
+        test = TestSet([tuple(r) for r in items.where(block == b).collect()], window)
+        out = one_pass(out, test, names if b < blocks - 1 else list(columns))
     return out
 
 

@@ -136,13 +136,17 @@ def fit(docs: DataFrame, per_lang: int = 400, clusters: int = 4, slack: float =
     return model
 
 
-def predict(docs: DataFrame, model: Centroids, keep: str = "doc_id", kind: str = "long") -> DataFrame:
-    """keep, lang_pred (nearest centroid's language; ``und`` for a text without letters), score (cosine), rejected."""
+def predict(docs: DataFrame, model: Centroids, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """columns, lang_pred (nearest centroid's language; ``und`` for a text without letters), score (cosine), rejected. What is
+    asked for passes through, so that a filter on the verdict needs no join with the texts."""
     langs, least = np.array(model.langs, object), model.least
+    docs = docs.select(*dict.fromkeys([*columns, "text"]))
+    at, n = docs.columns.index("text"), len(columns)
+    names = [*columns, "lang_pred", "score", "rejected"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = flat(batch.column(1))
+            data, offsets = flat(batch.column(at))
             pred, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
             for low in range(0, batch.num_rows, 256):
                 rows = [i for i in range(low, min(low + 256, batch.num_rows)) if has_letter(data[offsets[i] : offsets[i + 1]])]
@@ -151,9 +155,10 @@ def predict(docs: DataFrame, model: Centroids, keep: str = "doc_id", kind: str =
                     best = np.argmax(near, axis=1)
                     pred[rows], score[rows] = langs[best], np.clip(near[np.arange(len(rows)), best], 0, 1)
             bad = [p == UNKNOWN or s < least[p] for p, s in zip(pred, score)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(bad, pa.bool_())], [keep, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(pred, pa.string()), pa.array(score), pa.array(bad, pa.bool_())], names)
 
-    return map_arrow(docs.select(F.col(keep).cast(kind).alias(keep), "text"), run, f"{keep} {kind}, lang_pred string, score double, rejected boolean")
+    kinds = dict(docs.dtypes)
+    return map_arrow(docs, run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", lang_pred string, score double, rejected boolean")
 
 
 def held_out_row(doc_id: int) -> bool:
@@ -164,5 +169,5 @@ def held_out_row(doc_id: int) -> bool:
 def identify(docs: DataFrame, model: Centroids | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row; fits on the rows that aren't held out."""
     model = model or fit(docs.where(train_rows(F.col("doc_id"))))
-    out = predict(docs, model)
+    out = predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
     return out.select("doc_id", (~train_rows(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "rejected")

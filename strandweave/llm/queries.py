@@ -31,7 +31,8 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = decontam.matches(docs, table(spark, sf_dir, "benchmark"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -42,7 +43,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
             shas = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(hits, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(shas, pa.string()), pa.array([h > 0 for h in hits], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return map_arrow(found.select("doc_id", "n_words", "matches"), digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return map_arrow(found, digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
