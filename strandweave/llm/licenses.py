@@ -106,14 +106,19 @@ class Rule(NamedTuple):
     pattern: re.Pattern
 
 
+def spaced(pattern: str) -> str:
+    """A space in a pattern stands for a run of white space, also where it is optional or in a class with a hyphen. Runs are
+    taken whole: no pattern has white space after white space."""
+    return pattern.replace("[- ]", r"(?:-|\s++)").replace(" ?", r"\s*+").replace(" ", r"\s++")
+
+
 @cache
 def rules() -> list[Rule]:
-    """In order of priority; a space in a pattern stands for any white space."""
+    """In order of priority."""
     out = []
     for label, spdx, name, url, keywords in LICENSES:
         for form, priority, pattern in FORMS:
-            text = pattern.format(spdx=spdx, name=name.replace(" ", r"\s+"), url=url)
-            text = re.sub(r"(?<=[a-z)?]) (?=[a-z(])", r"\\s+", text) if form == "under" else text
+            text = spaced(pattern.format(spdx=spdx, name=name, url=url))
             out.append(Rule(label, form, priority, tuple(keywords.split("|")), re.compile(text)))
     return sorted(out, key=lambda r: -r.priority)
 

@@ -231,6 +231,26 @@ def test_licenses(spark):
     assert len(licenses.rules()) > 200
 
 
+@pytest.mark.parametrize(
+    "text, label",
+    [
+        ("GNU General Public License v2", "gpl-2.0"), ("GNU General Public License v3.0", "gpl-3.0"), ("GNU General Public License, version  3", "gpl-3.0"), ("GNU Lesser General Public License v2.1", "lgpl-2.1"),
+        ("GNU Lesser General Public License v. 3", "lgpl-3.0"), ("Eclipse Public License 1.0", "epl-1.0"), ("Eclipse Public License v2.0", "epl-2.0"), ("Eclipse Public License, version 2.0", "epl-2.0"),
+        ("Creative Commons Attribution-ShareAlike 4.0", "cc-by-sa"), ("Creative Commons Attribution Share Alike", "cc-by-sa"), ("Creative Commons Attribution-NoDerivatives", "cc-by-nd"), ("Creative Commons Attribution-No Derivs", "cc-by-nd"),
+        ("Creative Commons Attribution-NonCommercial-ShareAlike", "cc-by-nc-sa"), ("Creative Commons Attribution-NonCommercial-NoDerivatives", "cc-by-nc-nd"), ("Creative Commons Attribution 4.0", "cc-by"),
+        ("Artistic License, v2", "artistic-2.0"), ("Artistic License", "artistic-1.0"), ("CC BY SA", "cc-by-sa"), ("CC+BY", None), ("2-clause BSD license", "bsd-2-clause"), ("two\n clause BSD license", "bsd-2-clause"),
+    ],
+)
+def test_license_spaces(text, label):
+    """Optional white space may be missing, and any white space may be a run."""
+    found = {d.label for d in licenses.scan(text.translate(licenses.UPPER))}
+    assert found == ({label} if label else set())
+    if label:
+        under = licenses.scan(f"licensed  under\nthe {text}".translate(licenses.UPPER))
+        assert (label, "under") in {(d.label, d.form) for d in under}
+        assert [d.form for d in licenses.scan(f"license: the\n{text}".translate(licenses.UPPER)) if d.label == label] == ["header"]
+
+
 def test_suppression():
     d = licenses.Detection
     assert licenses.suppress([d(0, 10, "gpl", "name", 60), d(0, 20, "gpl-3.0", "under", 90), d(15, 30, "mit", "name", 60)]) == [d(0, 20, "gpl-3.0", "under", 90), d(15, 30, "mit", "name", 60)]
