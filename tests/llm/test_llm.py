@@ -7,6 +7,7 @@ import re
 import zlib
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,6 +252,52 @@ def test_license_spaces(text, label):
         assert [d.form for d in licenses.scan(f"license: the\n{text}".translate(licenses.UPPER)) if d.label == label] == ["header"]
 
 
+def variants(parsed, space):
+    """Texts that a parsed pattern matches: each branch and each optional part with and without, white space as given."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(arg)]
+        elif op == "IN":
+            more = [space if str(kind) == "CATEGORY" else chr(x if str(kind) == "LITERAL" else x[0]) for kind, x in arg if str(kind) != "NEGATE"] if str(arg[0][0]) != "NEGATE" else ["x"]
+        elif op == "BRANCH":
+            more = [x for branch in arg[1] for x in variants(branch, space)]
+        elif op == "SUBPATTERN":
+            more = variants(arg[3], space)
+        elif op in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            low, _, inner = arg
+            more = variants(inner, space) + ([""] if low == 0 else [])
+        else:
+            assert op in ("AT", "ASSERT", "ASSERT_NOT"), op
+            continue
+        out = [a + b for a in out for b in dict.fromkeys(more)]
+    return out
+
+
+@pytest.mark.parametrize("space", [" ", "\n  ", "\u00a0"])
+def test_license_gates_lose_nothing(space):
+    """A rule's keywords let through whatever its pattern matches."""
+    n = 0
+    for rule in licenses.rules():
+        for text in variants(re._parser.parse(rule.pattern.pattern), space):
+            if rule.pattern.search(text):
+                n += 1
+                assert rule in licenses.gated(text), (rule, text)
+    assert n > 10 * len(licenses.rules())
+
+
+def test_license_gates_agree():
+    texts = ["GNU Lesser\nGeneral Public License", "CC  BY SA", 'license = "MIT"', "license:mit", "licence: mit", "License: ISC", "SPDX-License-Identifier:ISC", "all\trights reserved", "expat\n * license", "nothing here"]
+    texts += [r["text"] or "" for r in pq.read_table(f"{DATA}/documents.parquet", columns=["text"]).to_pylist()]
+    for text in texts:
+        low = text.translate(licenses.UPPER)
+        every = [licenses.Detection(m.start(), m.end(), r.label, r.form, r.priority) for r in licenses.rules() for m in r.pattern.finditer(low)]
+        assert licenses.scan(low) == licenses.suppress(every), text[:200]
+    labels = [{d.label for d in licenses.scan(t.translate(licenses.UPPER))} for t in texts[:8]]
+    assert labels == [{"lgpl"}, {"cc-by-sa"}, {"mit"}, {"mit"}, {"mit"}, {"isc"}, {"isc"}, {"proprietary"}]
+
+
 def test_suppression():
     d = licenses.Detection
     assert licenses.suppress([d(0, 10, "gpl", "name", 60), d(0, 20, "gpl-3.0", "under", 90), d(15, 30, "mit", "name", 60)]) == [d(0, 20, "gpl-3.0", "under", 90), d(15, 30, "mit", "name", 60)]
