@@ -1,14 +1,16 @@
 """Language ID by nearest centroid: hashed byte n-grams, TF-IDF, several clustered centroids per language, cosine,
-and rejection by distance.
+and rejection by distance for a text's length.
 
 The classifier is fitted on a bounded sample: about ``per_lang`` labelled documents of each language, chosen
 by a hash of doc_id; their whole texts are vectorised on the executors and only the vectors (per_lang x
-languages x ``FEATURES``) reach the driver, where each language's vectors are clustered. Prediction is one pass
+languages x ``FEATURES``, and those of a document's first bytes) reach the driver, where each language's vectors are clustered.
+A cosine grows with the number of different n-grams, so texts are rejected below a low quantile of what held-aside documents of
+the language, and their beginnings, with about as many different n-grams have. Prediction is one pass
 over whole texts in any number of tasks, without a shuffle; the centroids (languages x clusters x FEATURES
 float32) are the only thing that is sent to tasks.
 
 Defined cases: a text that is null or has no letter gets ``und``, score 0, rejected; a null lang is not learned from;
-if nothing is learned, every document is ``und``; equal rows get equal results; empty tables give no rows;
+if nothing is learned, every document is ``und``; a language whose sample is in one half, as a single document is, is held against itself; equal rows get equal results; empty tables give no rows;
 other columns are ignored.
 """
 
@@ -28,6 +30,10 @@ from .common import STEP_BYTES, flat, map_arrow, steps
 FEATURES = 4096
 ORDERS = (1, 2, 3, 4)
 UNKNOWN = "und"
+#: Beginnings of sample documents, in bytes, that stand for short texts.
+CUTS = tuple(int(4 * 2 ** (i / 2)) for i in range(21))
+#: Length classes: half octaves of the number of different n-grams; one of fewer rows takes the longest shorter ones in.
+CLASSES, CLASS_ROWS = 2 * 12 + 1, 20
 
 #: Letters keep their lower-case byte, bytes beyond ASCII stay, all else is a gap (0).
 LETTERS = np.zeros(256, np.uint32)
@@ -57,6 +63,14 @@ def counts(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def packed(tf: np.ndarray) -> bytes:
+    return zlib.compress(np.minimum(tf, 65535).astype(np.uint16).tobytes(), 1)
+
+
+def unpacked(tf: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(tf), np.uint16)
+
+
 def has_letter(data: np.ndarray) -> bool:
     low = data[data < 128]
     if (LETTERS[low] > 0).any():
@@ -69,7 +83,7 @@ class Centroids:
     langs: list[str]  # of each centroid
     idf: np.ndarray
     matrix: np.ndarray  # (FEATURES, centroids), columns of length 1
-    least: dict[str, float]  # below this cosine a document of the language is rejected
+    least: dict[str, np.ndarray]  # by length class: below this cosine a document of the language is rejected
 
     def vectors(self, tf: np.ndarray) -> np.ndarray:
         x = np.log1p(tf.astype(np.float32)) * self.idf
@@ -94,14 +108,31 @@ def cluster(x: np.ndarray, k: int, seed: int = 11, rounds: int = 12) -> np.ndarr
     return c
 
 
+def length_class(tf: np.ndarray) -> np.ndarray:
+    """By different n-grams: repeating a word doesn't make a text longer."""
+    return np.floor(2 * np.log2(np.maximum((tf > 0).sum(axis=-1), 1))).astype(np.int64)
+
+
+def thresholds(lengths: np.ndarray, cosines: np.ndarray, quantile: float, slack: float) -> np.ndarray:
+    """For each length class slack times the quantile; where even shorter rows are too few, nothing is rejected."""
+    order = np.argsort(lengths, kind="stable")
+    lengths, cosines, out = lengths[order], cosines[order], np.zeros(CLASSES)
+    for k in range(CLASSES):
+        low, high = np.searchsorted(lengths, [k, k + 1])
+        if (low := min(low, high - CLASS_ROWS)) >= 0:
+            out[k] = slack * float(np.quantile(cosines[low:high], quantile))
+    return out
+
+
 def train_rows(doc_id: Column) -> Column:
     """Rows that may be learned from; the rest is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 != 2, F.lit(True))
 
 
-def fit(docs: DataFrame, per_lang: int = 400, clusters: int = 4, slack: float = 0.5, max_langs: int = 1000) -> Centroids:
-    """per_lang: documents of each language in the sample, about; clusters: centroids of each language. slack: a
-    document is rejected if its cosine is below this share of the least cosine in the sample."""
+def fit(docs: DataFrame, per_lang: int = 400, clusters: int = 4, quantile: float = 0.005, slack: float = 0.7, max_langs: int = 1000) -> Centroids:
+    """per_lang: documents of each language in the sample, about; clusters: centroids of each language. A document is rejected if
+    its cosine is below slack times this quantile of held-aside documents of its language and length: each half of the
+    sample is held against centroids of the other half."""
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     seen = own.groupBy("lang").count().limit(max_langs + 1).collect()
     if len(seen) > max_langs:
@@ -113,15 +144,17 @@ def fit(docs: DataFrame, per_lang: int = 400, clusters: int = 4, slack: float =
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(1))
-            tf = [np.minimum(counts(data[a:b]), 65535).astype(np.uint16).tobytes() for a, b in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tf, pa.binary())], ["lang", "tf"])
-
-    got = map_arrow(own.where(hashed < share).select("lang", "text"), vectorise, "lang string, tf binary").collect()
-    got = sorted((r["lang"], bytes(r["tf"])) for r in got)
-    tf = np.array([np.frombuffer(x, np.uint16) for _, x in got], np.uint16).reshape(-1, FEATURES)
-    lang = np.array([x for x, _ in got], object)
-    some = tf.any(axis=1)
-    tf, lang = tf[some], lang[some]
+            pairs = list(zip(offsets, offsets[1:]))
+            tf = [packed(counts(data[a:b])) for a, b in pairs]
+            cuts = [[packed(counts(data[a : a + n])) for n in CUTS if n < b - a] for a, b in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tf, pa.binary()), pa.array(cuts, pa.list_(pa.binary()))], ["lang", "tf", "cuts"])
+
+    got = map_arrow(own.where(hashed < share).select("lang", "text"), vectorise, "lang string, tf binary, cuts array<binary>").collect()
+    got = sorted((r["lang"], bytes(r["tf"]), [bytes(x) for x in r["cuts"]]) for r in got)
+    tf = np.array([unpacked(x) for _, x, _ in got], np.uint16).reshape(-1, FEATURES)
+    lang, cuts = np.array([x for x, *_ in got], object), [x for *_, x in got]
+    some = np.flatnonzero(tf.any(axis=1))
+    tf, lang, cuts = tf[some], lang[some], [cuts[i] for i in some]
     idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))) + 1).astype(np.float32)
     model = Centroids([], idf, np.zeros((FEATURES, 0), np.float32), {})
     columns = []
@@ -130,7 +163,17 @@ def fit(docs: DataFrame, per_lang: int = 400, clusters: int = 4, slack: float =
         c = cluster(v, clusters)
         columns.append(c)
         model.langs += [x] * len(c)
-        model.least[x] = slack * float(np.min(np.max(v @ c.T, axis=1)))
+        half = np.array([zlib.crc32(t) % 2 for t in tf[lang == x]])  # copies are in the same one
+        halves = [half == 0, half == 1] if 0 < half.sum() < len(half) else [half >= 0] * 2
+        lengths, cosines = [], []
+        for ours, others in (halves, halves[::-1]):
+            other = cluster(v[others], clusters).T
+            for i in np.flatnonzero(lang == x)[ours]:
+                own_tf = np.array([tf[i], *map(unpacked, cuts[i])])
+                own_tf = own_tf[own_tf.any(axis=1)]
+                lengths.append(length_class(own_tf))
+                cosines.append(np.max(model.vectors(own_tf) @ other, axis=1))
+        model.least[x] = thresholds(np.concatenate(lengths), np.concatenate(cosines), quantile, slack)
     if columns:
         model.matrix = np.ascontiguousarray(np.concatenate(columns).T.astype(np.float32))
     return model
@@ -147,14 +190,15 @@ def predict(docs: DataFrame, model: Centroids, columns: tuple[str, ...] = ("doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(at))
-            pred, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
+            pred, score, bad = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows), np.ones(batch.num_rows, bool)
             for low in range(0, batch.num_rows, 256):
                 rows = [i for i in range(low, min(low + 256, batch.num_rows)) if has_letter(data[offsets[i] : offsets[i + 1]])]
                 if rows and len(langs):
-                    near = model.vectors(np.array([counts(data[offsets[i] : offsets[i + 1]]) for i in rows])) @ model.matrix
+                    tf = np.array([counts(data[offsets[i] : offsets[i + 1]]) for i in rows])
+                    near = model.vectors(tf) @ model.matrix
                     best = np.argmax(near, axis=1)
                     pred[rows], score[rows] = langs[best], np.clip(near[np.arange(len(rows)), best], 0, 1)
-            bad = [p == UNKNOWN or s < least[p] for p, s in zip(pred, score)]
+                    bad[rows] = score[rows] < np.array([least[p][k] for p, k in zip(langs[best], length_class(tf))])
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(pred, pa.string()), pa.array(score), pa.array(bad, pa.bool_())], names)
 
     kinds = dict(docs.dtypes)

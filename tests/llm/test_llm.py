@@ -166,6 +166,37 @@ def test_language_id(spark):
     assert got[1]["lang_pred"] == got[2]["lang_pred"] == "und" and got[3]["rejected"] and got[3]["lang_pred"] != "und"
 
 
+#: A sentence in languages that the test data don't hold.
+UNLEARNED = {
+    "pl": "Wczoraj wieczorem poszedłem do sklepu, żeby kupić chleb i mleko na śniadanie.", "fi": "Eilen illalla kävin kaupassa ostamassa leipää ja maitoa aamiaiseksi.", "zh": "昨天晚上我去商店买了面包和牛奶，准备今天早上吃。",
+    "hu": "Tegnap este elmentem a boltba, hogy kenyeret és tejet vegyek a reggelihez.", "tr": "Dün akşam kahvaltı için ekmek ve süt almak üzere markete gittim.", "cs": "Včera večer jsem šel do obchodu koupit chléb a mléko k snídani.",
+    "ru": "Вчера вечером я пошёл в магазин, чтобы купить хлеб и молоко на завтрак.", "nl": "Gisteravond ging ik naar de winkel om brood en melk voor het ontbijt te kopen.", "it": "Ieri sera sono andato al negozio per comprare il pane e il latte per la colazione.",
+    "vi": "Tối qua tôi đã đi đến cửa hàng để mua bánh mì và sữa cho bữa sáng.", "ja": "昨日の夜、朝食のためにパンと牛乳を買いに店へ行きました。", "sv": "Igår kväll gick jag till affären för att köpa bröd och mjölk till frukosten.",
+}
+
+
+def test_unlearned_languages(spark):
+    """Prose in other languages is rejected, once and repeated; held-out documents and their first words aren't."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and text is not null")
+    model = langid.fit(docs.where(langid.train_rows(F.col("doc_id"))))
+    other = spark.createDataFrame([(f"{k}{n}", " ".join([x] * n)) for k, x in UNLEARNED.items() for n in (1, 20)], "doc_id string, text string")
+    assert [(r["doc_id"], r["score"]) for r in langid.predict(other, model).collect() if not r["rejected"]] == []
+    held = [(r["doc_id"], r["text"]) for r in docs.where(~langid.train_rows(F.col("doc_id"))).collect()]
+    short = [(d, " ".join(t.split()[:n])) for d, t in held for n in (1, 2, 4, 8, 16, 64)]
+    for rows in (held, short):
+        got = langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).where("lang_pred != 'und'").collect()
+        assert sum(r["rejected"] for r in got) <= 0.005 * len(got)
+
+
+def test_few_documents(spark):
+    """What little is learned is not rejected, and thresholds of longer texts take shorter ones in."""
+    docs = spark.createDataFrame([(i, "the quick brown fox jumps over the lazy dog and runs away", "en") for i in range(3)] + [(9, "ein", "de")], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert {(r["lang_pred"], r["rejected"]) for r in langid.predict(docs.where("lang = 'en'"), model).collect()} == {("en", False)}
+    got = langid.thresholds(langid.np.array([3] * 15 + [5] * 10 + [7] * 30), langid.np.array([0.2] * 15 + [0.4] * 10 + [0.8] * 30), 0.0, 0.5)
+    assert got[4] == 0 and got[5] == 0.1 and got[6] == 0.1 and got[7] == 0.4 and got[langid.CLASSES - 1] == 0.4
+
+
 def test_slices_count_like_one(monkeypatch):
     import numpy as np
 
