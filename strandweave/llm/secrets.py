@@ -6,6 +6,9 @@ fixed patterns find (secrets) and the other tokens (ordinary) of about ``sample`
 doc_id, besides generated strings that make the random class independent of what a corpus holds. Transition counts are
 summed by Spark; at most 2 x 96^2 sums reach the driver. A scan is one pass over whole texts without a shuffle.
 
+A token without a digit or without a letter is more often a word or a number, so it needs ``STRONG`` instead of the usual
+thresholds, and separators in at most a quarter of it (rules and headings are not scored). Most keys of digits only are below that.
+
 Defined cases: null text is empty; equal rows give equal results; without documents to learn from, the generated strings and a
 short list of identifiers are the sample; empty tables give no rows; other columns are ignored.
 """
@@ -35,6 +38,8 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Identifiers that hold digits, as a start for the ordinary class.
 ORDINARY = "item_count_1 user_name_02 http2_server_config utf8_string_reader test_case_number_12 version_2_release_notes page1_section2_title chapter-12-section-3 2024-01-01T00-00-00 base64_encode_string sha256_checksum_file".split()
 SIZE = 96
+#: Least mean and total of a token without a digit or without a letter, where those asked for aren't higher.
+STRONG = (1.6, 30.0)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -103,13 +108,15 @@ def markov_spans(text: str, ratio: np.ndarray, base: list[tuple[int, int, int]],
     out = []
     for m in TOKEN.finditer(text):
         t = m.group()
-        if t.isalpha() or t.isdigit() or not any(c.isdigit() for c in t) or not any(c.isalpha() for c in t):
+        plain = not any(c.isdigit() for c in t) or not any(c.isalpha() for c in t)
+        if plain and 4 * sum(c.isalnum() for c in t) < 3 * len(t):
             continue
         if any(a < m.end() and m.start() < b for a, _, b in base):
             continue
         x = codes(t)
         score = float(ratio[x[:-1], x[1:]].sum())
-        if score >= total and score / (len(x) - 1) >= mean:
+        least = (max(mean, STRONG[0]), max(total, STRONG[1])) if plain else (mean, total)
+        if score >= least[1] and score / (len(x) - 1) >= least[0]:
             out.append((m.start(), 3, m.end()))
     return out
 

@@ -410,6 +410,17 @@ def test_secrets(spark):
     assert rows[4]["spans"] == "markov:2:26" and rows[5]["spans"] == "" and rows[3]["spans"] == ""
 
 
+def test_secrets_of_letters(spark):
+    """Random keys that hold no digit are found; long words, identifiers, numbers and rules aren't."""
+    ratio = secrets.fit(spark.read.parquet(f"{DATA}/documents.parquet"))
+    r = random.Random(3)
+    find = lambda t: secrets.markov_spans(f"x {t} y", ratio, [], 0.4, 12.0)
+    keys = ["".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=24)) for _ in range(300)]
+    assert sum(find(k) == [(2, 3, 26)] for k in keys) >= 0.95 * len(keys)
+    plain = "internationalization_of_things getApplicationContextFactoryBean Rechtsschutzversicherungsgesellschaften anticonstitutionnellement MAX_NUMBER_OF_CONNECTIONS path/to/the/configuration/file 20240101120000000000"
+    assert [t for t in [*plain.split(), "-" * 30, "=" * 20 + "Title" + "=" * 20, "_" * 25] if find(t)] == []
+
+
 def test_pipeline(spark, tmp_path):
     docs, sizes = spark.read.parquet(f"{DATA}/documents.parquet"), []
     for _, stage in corpus_pipeline.STAGES:
