@@ -21,7 +21,7 @@ import gzip
 import hashlib
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -127,17 +127,23 @@ def skip(stream, n: int) -> None:
         n -= got
 
 
-def to_row(head: dict) -> tuple:
+def digest_of(head: dict) -> str | None:
+    """A payload's digest without the name of its algorithm."""
     digest = head.get("warc-payload-digest")
+    return digest.partition(":")[2] if digest else None
+
+
+def to_row(head: dict) -> tuple:
     size = head.get("x-payload-length") or (len(head["payload"]) if head["payload"] is not None else None)
     return (
         int(head["x-page-id"]) if "x-page-id" in head else None,
-        head.get("warc-type"), head.get("warc-target-uri"), digest.partition(":")[2] if digest else None,
+        head.get("warc-type"), head.get("warc-target-uri"), digest_of(head),
         int(size) if size is not None else None, page_of(head["warc-refers-to"]) if "warc-refers-to" in head else None, head["payload"],
     )
 
 
-HEADER_OF = {"record_type": "warc-type", "target_uri": "warc-target-uri", "page_id": "x-page-id"}
+#: What a record's headers say of a column, as text.
+HEADER_OF = {"record_type": lambda h: h.get("warc-type"), "target_uri": lambda h: h.get("warc-target-uri"), "page_id": lambda h: h.get("x-page-id"), "payload_digest": digest_of}
 
 
 @dataclass
@@ -148,14 +154,14 @@ class ArchivePart(InputPartition):
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.payload = options["path"], options.get("payload", "true").lower() != "false"
-        self.equal: list[tuple[str, set[str]]] = []
+        self.equal: list[tuple[Callable[[dict], str | None], set[str]]] = []
 
     def pushFilters(self, filters):
         for f in filters:
-            column = HEADER_OF.get(f.attribute[0]) if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
+            header = HEADER_OF.get(f.attribute[0]) if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
             values = (f.value,) if isinstance(f, EqualTo) else f.value if isinstance(f, In) else ()
-            if column and all(v is not None for v in values):
-                self.equal.append((column, {str(v) for v in values}))
+            if header and all(v is not None for v in values):
+                self.equal.append((header, {str(v) for v in values}))
             else:
                 yield f
 
@@ -169,7 +175,7 @@ class WarcReader(DataSourceReader):
             return
         fs, _ = local(self.path)
         schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("target_uri", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
-        wanted = lambda head: all(head.get(k) in v for k, v in self.equal)
+        wanted = lambda head: all(header(head) in values for header, values in self.equal)
         rows, size = [], 0
         with fs.open_input_file(partition.path) as raw, gzip.GzipFile(fileobj=raw) as stream:
             for head in records(stream, wanted, self.payload):

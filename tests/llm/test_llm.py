@@ -233,6 +233,17 @@ def test_warc_skips_payloads():
     assert [h["payload"] for h in warc.records(io.BytesIO(data), lambda h: True, False)] == [None] * 3
 
 
+def test_warc_digest_filter(spark, tmp_path):
+    """A filter on the digest is the reader's own, which leaves out other records before their payloads."""
+    path, digest = f"file://{tmp_path}/archive", warc.base32_sha1(b"one")
+    warc.write(spark.createDataFrame([(1, "u", "one"), (2, "v", "two"), (3, "w", "one")], "page_id long, url string, html string"), path)
+    reader = warc.WarcReader({"path": path})
+    assert list(reader.pushFilters([warc.EqualTo(("payload_digest",), digest)])) == []
+    assert sorted(x for p in reader.partitions() for b in reader.read(p) for x in b.column(0).to_pylist()) == [1, 3]
+    for values, want in (([digest], [1, 3]), ([digest, warc.base32_sha1(b"two")], [1, 2, 3]), (["sha1:" + digest], [])):
+        assert sorted(r["page_id"] for r in warc.read_archives(spark, path).where(F.col("payload_digest").isin(values)).collect()) == want
+
+
 def test_decontaminate_blocks(spark):
     words = [f"w{i}" for i in range(40)]
     bench = items(spark, [(7, " ".join(words[:25])), (8, "tiny item"), (9, " ".join(words[5:20])), (10, ""), (11, "Tiny-ITEM!")])
