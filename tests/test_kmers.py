@@ -6,6 +6,7 @@ import pytest
 
 from strandweave.functions import seq
 from strandweave.operators import compact, count, reform, subtract
+from strandweave.plans import catalog
 
 
 def reads(spark, *texts, start=0):
@@ -48,6 +49,14 @@ def test_presence(spark):
     assert count.count_datasets(d, 3, 300, n_datasets=3).collect() == []
 
 
+@pytest.mark.parametrize("n, found", [(300, False), (301, True)])
+def test_presence_above_many_datasets(spark, tmp_path, n, found):
+    rows = [(i, "acgt" * 8, "en", f"s{i % n}", 32) for i in range(n + 5)] + [(n + 5, "acgt" * 8, "en", None, 32)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r["n_datasets"] for r in catalog.QUERIES["dataset_presence_threshold_too_high"](spark, str(tmp_path)).collect()]
+    assert set(got) == ({n} if found else set())
+
+
 @pytest.mark.parametrize("bad", [dict(k=0), dict(k=65), dict(k=3, m=4), dict(k=3, threshold=255), dict(k=3, partitions=0)])
 def test_config(bad):
     with pytest.raises(ValueError):
