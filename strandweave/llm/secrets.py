@@ -7,7 +7,8 @@ doc_id, besides generated strings that make the random class independent of what
 summed by Spark; at most 2 x 96^2 sums reach the driver. A scan is one pass over whole texts without a shuffle.
 
 A token without a digit or without a letter is more often a word or a number, so it needs ``STRONG`` instead of the usual
-thresholds, and separators in at most a quarter of it (rules and headings are not scored). Most keys of digits only are below that.
+thresholds, and separators in at most a quarter of it and five different characters (rules,
+headings and fillers are not scored).
 
 Defined cases: null text is empty; equal rows give equal results; without documents to learn from, the generated strings and a
 short list of identifiers are the sample; empty tables give no rows; other columns are ignored.
@@ -39,7 +40,7 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ORDINARY = "item_count_1 user_name_02 http2_server_config utf8_string_reader test_case_number_12 version_2_release_notes page1_section2_title chapter-12-section-3 2024-01-01T00-00-00 base64_encode_string sha256_checksum_file".split()
 SIZE = 96
 #: Least mean and total of a token without a digit or without a letter, where those asked for aren't higher.
-STRONG = (1.6, 30.0)
+STRONG = (1.0, 20.0)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -109,7 +110,7 @@ def markov_spans(text: str, ratio: np.ndarray, base: list[tuple[int, int, int]],
     for m in TOKEN.finditer(text):
         t = m.group()
         plain = not any(c.isdigit() for c in t) or not any(c.isalpha() for c in t)
-        if plain and 4 * sum(c.isalnum() for c in t) < 3 * len(t):
+        if plain and (4 * sum(c.isalnum() for c in t) < 3 * len(t) or len(set(t)) < 5):
             continue
         if any(a < m.end() and m.start() < b for a, _, b in base):
             continue
