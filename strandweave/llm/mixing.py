@@ -11,7 +11,7 @@ Only sums per (source, block) are shuffled; blocks are bounded, so a hot source
 The driver holds one row per source: the mixture's definition, checked against ``max_sources``.
 
 Defined cases: a null text has size 0; a null source is a source, last in order; a document of size 0 takes
-0 words; equal rows each count; an empty table gives an empty result; other columns are ignored.
+0 words; equal rows each count, and so do rows without a doc_id, in one block (``row_id`` tells them apart); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -81,11 +81,11 @@ def placed_blocks(blocks: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, shards: int = 64, seed: int = 7, max_sources: int = 1_000_000) -> DataFrame:
     """One row for each document and round (0 .. repeats-1) of which words are taken, and one with taken 0 for a
-    document of which none are: doc_id, source, size, source_size, target, round, taken (the first words of
+    document of which none are: row_id (the document's row, whatever its doc_id), doc_id, source, size, source_size, target, round, taken (the first words of
     the document), shard, place (order inside the shard)."""
     spark = docs.sparkSession
     bits = F.xxhash64(F.lit(seed), "doc_id")
-    narrow = cut(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix")
+    narrow = cut(docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix")
     by_source = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     if (n := by_source.count()) > max_sources:
         raise ValueError(f"{n} sources; a mixture has at most max_sources = {max_sources}: group them first")
@@ -109,18 +109,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     cuts = spark.createDataFrame([(s, [int(x) for x in np.cumsum(tree[:, i])]) for i, s in enumerate(names)], "c_source string, cuts array<long>")
     drawn = rounds.join(F.broadcast(cuts), same(F.col("source"), F.col("c_source")))
     drawn = drawn.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "round", "from", F.size(F.filter("cuts", lambda c: c <= F.col("nth"))).alias("shard"))
-    inside = Window.partitionBy("source", "block").orderBy("bits", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "block").orderBy("bits", "doc_id", "row_id").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("offset", F.sum("size").over(inside) - F.col("size"))
     taken = placed.join(drawn, same(F.col("source"), F.col("b_source")) & (F.col("block") == F.col("b_block")), "left")
     words = F.greatest(F.lit(0), F.least("size", F.col("quota") - F.col("from") - F.col("offset")))
     taken = taken.withColumn("taken", F.coalesce(words, F.lit(0)).cast("long"))
     keep = (F.col("taken") > 0) | F.coalesce(F.col("round") == 0, F.lit(True))
-    return taken.where(keep).select("doc_id", "source", "size", "source_size", "target", F.coalesce("round", F.lit(0)).alias("round"), "taken", "shard", F.xxhash64(F.lit(seed + 1), "doc_id", "round", "shard").alias("place"))
+    return taken.where(keep).select("row_id", "doc_id", "source", "size", "source_size", "target", F.coalesce("round", F.lit(0)).alias("round"), "taken", "shard", F.xxhash64(F.lit(seed + 1), "doc_id", "round", "shard").alias("place"))
 
 
 def write_shards(mixed: DataFrame, docs: DataFrame, path: str) -> None:
     """Texts of the mix, a folder for each shard, shuffled inside it."""
-    full = mixed.where("taken > 0").join(docs.select(F.col("doc_id").alias("d_id"), "text"), same(F.col("doc_id"), F.col("d_id"))).drop("d_id")
+    full = mixed.where("taken > 0").drop("row_id").join(docs.select(F.col("doc_id").alias("d_id"), "text"), same(F.col("doc_id"), F.col("d_id"))).drop("d_id")
     part = first_words(F.when(F.col("taken") < F.col("size"), F.col("text")), F.col("taken"))
     full.withColumn("text", F.coalesce(part, "text")).repartition("shard").sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)
 

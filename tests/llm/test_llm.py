@@ -125,6 +125,18 @@ def test_mix(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, queries.op1_mix(spark, DATA).collect()))
 
 
+def test_mix_rows_without_id(spark, tmp_path):
+    """Rows with one doc_id, or none, are rows of their own in the query."""
+    rows = [(None, "a b c", "en", "s", 5), (None, "a b c d e", "en", "s", 9), (None, None, "en", "t", 0), (7, "x y", "en", "t", 3), (7, "x y", "en", "t", 3), (8, "z", "en", "t", 1)]
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op1_mix(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["size"]) for r in got) == [(0, 0), (0, 3), (0, 5), (7, 2), (7, 2), (8, 1)]
+    assert all(r["taken"] <= 2 * r["size"] for r in got)
+    for size in (8, 5):
+        mine = [r for r in got if r["source_size"] == size]
+        assert mine and sum(r["taken"] for r in mine) == round(mine[0]["target"])
+
+
 def test_placed_blocks(spark, monkeypatch):
     monkeypatch.setattr(mixing, "GROUP", 4)
     r = random.Random(3)
