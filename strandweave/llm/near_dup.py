@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from .common import LOWER, NOT_SPACE, Hasher, chain, cut, flat, map_arrow, mix, small_batches, steps, word_spans
 
-BINS, ROWS, SMALL, BLOCK = 128, 4, 64, 512
+BINS, ROWS, SMALL, BLOCK = 128, 4, 64, 1024
 BANDS = BINS // ROWS
 PROBES = 4096
 #: Bytes of ids that are broadcast at most.
@@ -146,18 +146,33 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return map_arrow(two, run, "a long, b long")
 
 
+class Overlaps:
+    """Exact sizes of the intersections of one set with all others of a block, by an inverted index of its shingles."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.sizes = sets, np.array([len(x) for x in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        order = np.argsort(every, kind="stable")
+        self.shingles, self.first, self.times = np.unique(every[order], return_index=True, return_counts=True)
+        self.owner = owner[order]
+
+    def __call__(self, i: int) -> np.ndarray:
+        mine = np.searchsorted(self.shingles, self.sets[i])
+        times = self.times[mine]
+        at = np.arange(times.sum()) + np.repeat(self.first[mine] - np.cumsum(times) + times, times)
+        return np.bincount(self.owner[at], minlength=len(self.sets))
+
+
 def inside_blocks(size: int, percent: int):
-    """Links across components among the members of one block pair (key: x, y): the better their signatures
-    agree, the sooner a pair is tried; a pair whose components have met is skipped."""
+    """Links across components among the members of one block pair (key: x, y). A pair whose components have met is skipped."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         ids, comp, side = (table.column(c).to_numpy() for c in ("id", "component", "side"))
-        sets = list(shingle_sets(table.column("text"), size))
-        order = np.argsort(side, kind="stable")
         both = table.column("x")[0].as_py() != table.column("y")[0].as_py()
-        left = order[side[order] == 0]
-        right = order[side[order] == 1] if both else left
+        overlaps = Overlaps(list(shingle_sets(table.column("text"), size)))
+        right = np.flatnonzero(side == 1) if both else np.arange(len(ids))
         parent = {int(c): int(c) for c in comp}
 
         def root(c: int) -> int:
@@ -166,14 +181,15 @@ def inside_blocks(size: int, percent: int):
             return c
 
         out = []
-        sigs = np.array([signature(s) for s in sets])
-        for i in left:
+        for i in np.flatnonzero(side == 0):
             far = right[comp[right] != comp[i]]
             far = far if both else far[far > i]
-            near = (sigs[far] == sigs[i]).sum(axis=1)
-            for j in far[np.argsort(-near, kind="stable")]:
+            if not len(far):
+                continue
+            common = overlaps(i)[far]
+            for j in far[100 * common >= percent * (overlaps.sizes[i] + overlaps.sizes[far] - common)]:
                 p, q = root(int(comp[i])), root(int(comp[j]))
-                if p != q and alike(sets[i], sets[j], percent):
+                if p != q:
                     parent[max(p, q)] = min(p, q)
                     out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
@@ -213,7 +229,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     ends = cut(rows.select("id").distinct(), "ends")
     near = cut(with_ids(docs.withColumnRenamed("doc_id", "id"), ends), "near")
     links = cut(confirm(pairs, near, size, percent).distinct(), "links")
-    comp = cut(components(links), "components")
+    comp = components(links)
     mixed, placed = mixed_buckets(rows, comp)
     if mixed.head(1):
         degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
@@ -225,7 +241,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
         more = cut(confirm(pairs2, near, size, percent), "links")
         if more.head(1):
             links = links.unionByName(more)
-            comp = cut(components(links), "components")
+            comp = components(links)
             mixed, placed = mixed_buckets(rows, comp)
     if mixed.head(1):
         members = placed.join(mixed, "key")
@@ -238,7 +254,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
         more = spread.join(near, "id").groupBy("key", "x", "y").applyInArrow(inside_blocks(size, percent), "a long, b long")
         more = cut(more.distinct(), "more")
         if more.head(1):
-            comp = cut(components(links.unionByName(more)), "components")
+            comp = components(links.unionByName(more))
     out = sketched.select("doc_id", "n_shingles", "same").join(groups, "same", "left")
     out = out.join(comp.withColumnRenamed("id", "class"), "class", "left")
     whole = F.coalesce("component", "class", "doc_id")
