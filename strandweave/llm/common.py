@@ -16,6 +16,8 @@ from ..shipping import ship
 STEP_BYTES = 1 << 21
 #: Text bytes and rows of one Arrow batch sent to a Python worker.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+#: Rows of a batch of a few numbers each.
+NARROW_ROWS = 1 << 16
 
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15
@@ -26,9 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound what a Python worker holds at once: texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
@@ -36,8 +38,9 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    small_batches(df.sparkSession)
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """rows: of a batch at most, while the plan is run before the next call of this."""
+    small_batches(df.sparkSession, rows)
     ship(df.sparkSession)
     return df.mapInArrow(f, schema)
 

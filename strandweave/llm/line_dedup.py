@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, same
+from .common import NARROW_ROWS, cut, map_arrow, same
 
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 LINE = "h long, l long, doc_id long, pos int"
@@ -82,7 +82,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     lines = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lines_of(min_chars), LINE)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = lines.repartitionByRange(parts, "h", "l", "doc_id", "pos").sortWithinPartitions("h", "l", "doc_id", "pos")
-    out = cut(map_arrow(dealt, first_occurrences, LINE + ", kind int"), "lines")
+    out = cut(map_arrow(dealt, first_occurrences, LINE + ", kind int", NARROW_ROWS), "lines")
     # at most two hashes of a partition (its first and its last) are open: as many rows as partitions, not as data
     open_ = out.where("kind > 0").groupBy("h", "l").agg(F.min("doc_id").alias("first"))
     late = out.where("kind = 1").join(F.broadcast(open_), ["h", "l"]).where("doc_id > first")

@@ -1,25 +1,29 @@
-"""Suffix-array dedup of byte strings, as a distributed difference-cover computation that discards what can't repeat.
+"""Suffix-array dedup of byte strings: a distributed difference-cover computation that discards what can't repeat.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier (in a smaller doc_id, or earlier in the document).
 
 1. Whole texts that are equal are one: only the smallest doc_id's copy is looked at further.
-2. Sample: places whose number modulo ``MODULUS`` is in a perfect difference cover. For any two places some shift below the
-   modulus brings both into the sample, so two equal strings hold, at one and the same shift, two sampled places with an equal prefix
-   of LENGTH - MODULUS + 1 bytes. These prefixes are named (fingerprints) and sorted; a sampled suffix whose name is
-   unique can't lie in a repeat and is discarded. Samples travel packed, a few bytes each; a name that repeats in a
-   batch of documents is sent once for it, so a hot passage costs a sample per batch, not per document.
+2. Sorted sample: places whose number modulo ``MODULUS`` is in a perfect difference cover. For any two places some shift below
+   the modulus brings both into the sample, so two equal strings hold, at one and the same shift, two sampled places with an
+   equal prefix of LENGTH - MODULUS + 1 bytes. Prefixes are named by fingerprints, dealt by ranges of names, sorted, and
+   compared with their neighbours; a sampled suffix whose name is unique can't lie in a repeat and is discarded. Samples travel
+   packed, a few bytes each; a batch of documents sends a name once, and its table of documents once.
 3. Recursion on names: only strings that hold a sampled place with a repeated name remain. Each takes as its name the smallest
-   prefix fingerprint in it, its anchor. Consecutive strings of one name are one run; runs of equal content are one class,
-   decided by one comparison with the class's first run. Where runs of one name differ, they are named again by pieces of
-   ``PIECE`` strings, counted from the anchor: the piece's name is what all its strings share.
-4. Merge: where pieces of one name differ (at the ends of repeats), or a run repeats itself, their strings are compared one by
-   one by 128-bit fingerprints against the first that is equal, by partial aggregation.
+   prefix fingerprint in it, its anchor; consecutive strings of one name are one run, one symbol of the shorter text. Runs are
+   sorted over the whole table by name and content and compared with their neighbours: equal ones are copies. Where runs of
+   one name differ, their strings are named again by pieces of ``PIECE``, counted from the anchor, and sorted and compared likewise.
+4. Merge of the remaining suffixes: where pieces of one name differ (at the ends of repeats), or a run repeats itself, single
+   strings are sorted by 128-bit fingerprints of their LENGTH bytes, and adjacent ones are compared.
 
-A full suffix array (a record for every byte, sorted in several rounds) would take many times the corpus in shuffles; the
-steps above make its comparisons for the places that discarding leaves.
+The order of names is that of fingerprints, not of bytes: only equality of adjacent prefixes matters. A full suffix array (a
+record for every byte, sorted in several rounds) would take many times the corpus in shuffles.
+
+Sorts are range partitions of the whole key with the place, so a hot string's rows fill many partitions; what a partition's
+first row repeats is told by one row for each partition's end.
 
 Defined cases: null text is empty; texts shorter than LENGTH lose nothing; repeated rows of one doc_id are one document; null doc_id: the
-row is kept whole and isn't compared; empty tables give no rows; other columns are ignored.
+row is kept whole and isn't compared; empty tables give no rows; other columns are ignored. A text is a step of its own however
+long it is: a task holds some 50 bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -30,18 +34,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, cut, cut_by, flat, map_arrow, release, small_batches, steps
+from .common import NARROW_ROWS, Hasher, cut, cut_by, flat, map_arrow, release, small_batches, steps
 
 LENGTH = 100
 #: A perfect difference cover; every number below 57 is a difference of two of these modulo 57 (of order 7).
 MODULUS, COVER = 57, np.array([0, 1, 3, 13, 32, 36, 43, 52])
 PREFIX = LENGTH - MODULUS + 1
-#: Samples of a bucket, about; bytes of ids that are broadcast at most.
-BUCKET, SENT = 1_500_000, 64 << 20
-NAME_BITS, PIECE = 40, 8
+#: Samples of a bucket, about; ids that are broadcast at most (some 40 bytes each where they are looked up).
+BUCKET, SENT = 1_500_000, 1 << 20
+#: Bits of a name beyond those that tell its bucket: a bucket's samples collide by chance at a rate of BUCKET / 2^32.
+NAME_BITS, PIECE = 32, 8
 _U = np.uint64
 
 
@@ -65,8 +71,8 @@ def unpack_ints(b: bytes) -> np.ndarray:
 
 
 def name_samples(bits: int):
-    """Rows for each batch: for bucket >= 0 names and ordinals of samples (first of each name); for bucket -1 - x ordinals of
-    samples whose names repeat in the batch."""
+    """For each batch a row with its documents and the ordinals of samples whose names repeat in it (bucket below 0), and a row
+    for each bucket with the names and ordinals of its samples (the first of each name)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,61 +88,67 @@ def name_samples(bits: int):
             names = np.concatenate(names)
             if not len(names):
                 continue
-            table = zlib.compress(np.concatenate([np.diff(ids, prepend=0), sizes]).astype("<i8").tobytes(), 1)
+            table = np.concatenate([np.diff(ids, prepend=0), sizes]).astype("<i8").tobytes()
+            number = int.from_bytes(hashlib.blake2b(table, digest_size=7).digest())
             order = np.argsort(names, kind="stable")
             ordered = names[order]
             new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
             again = np.concatenate([~new[1:], [False]]) | ~new
-            local = np.sort(order[again])
             first = np.sort(order[new])
-            buckets, packed, at = [], [], []
-            if len(local):
-                buckets.append(-1 - int(ids[0]) % 1_000_003)
-                packed.append(b"")
-                at.append(pack_ints(local))
+            buckets, docs, packed, at = [-1 - number], [zlib.compress(table, 1)], [None], [pack_ints(np.sort(order[again]))]
             mine = (names[first] >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(first), np.int64)
-            rest = (names[first] >> _U(64 - bits - NAME_BITS)) & _U((1 << NAME_BITS) - 1)
+            rest = ((names[first] >> _U(64 - bits - NAME_BITS)) & _U((1 << NAME_BITS) - 1)).astype("<u4")
             by = np.argsort(mine, kind="stable")
             edges = np.searchsorted(mine[by], np.arange((1 << bits) + 1))
             for k in np.flatnonzero(np.diff(edges)):
                 some = by[edges[k] : edges[k + 1]]
                 buckets.append(int(k))
-                packed.append(np.ascontiguousarray(rest[some].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : NAME_BITS // 8]).tobytes())
+                docs.append(None)
+                packed.append(rest[some].tobytes())
                 at.append(pack_ints(first[some]))
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array([table] * len(buckets), pa.binary()), pa.array(packed, pa.binary()), pa.array(at, pa.binary())], ["bucket", "docs", "names", "at"])
+            kinds = pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()
+            columns = buckets, [number] * len(buckets), docs, packed, at
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["bucket", "batch", "docs", "names", "at"])
 
     return run
 
 
+MARKS = "batch long, docs binary, at binary"
+
+
 def repeated_names(group: pa.Table) -> pa.Table:
-    """doc_id, ordinals of the bucket's samples whose names occur in several batches."""
-    rows = group.to_pylist()
-    places = [unpack_ints(r["at"]) for r in rows]
-    if rows[0]["bucket"] < 0:
-        marks = [np.ones(len(p), bool) for p in places]
-    else:
-        width = NAME_BITS // 8
-        raw = np.frombuffer(b"".join(r["names"] for r in rows), np.uint8).reshape(-1, width)
-        names = np.zeros((len(raw), 8), np.uint8)
-        names[:, :width] = raw
-        names = names.view("<u8").ravel()
-        order = np.argsort(names, kind="stable")
-        same = names[order][1:] == names[order][:-1]
-        mark = np.zeros(len(names), bool)
-        mark[order[1:][same]] = True
-        mark[order[:-1][same]] = True
-        marks = np.split(mark, np.cumsum([len(p) for p in places])[:-1])
-    ids, found = [], []
-    for r, at, mark in zip(rows, places, marks):
-        at = at[mark]
-        if len(at):
-            ids_sizes = np.frombuffer(zlib.decompress(r["docs"]), "<i8").reshape(2, -1)
-            doc_ids, first = np.cumsum(ids_sizes[0]), np.concatenate([[0], np.cumsum(ids_sizes[1])])
-            own = np.searchsorted(first, at, "right") - 1
-            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(own)) + 1):
-                ids.append(doc_ids[own[part[0]]])
-                found.append((at[part] - first[own[part[0]]]).astype(np.int32))
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "ordinals": pa.array(found, pa.list_(pa.int32()))})
+    """Of a bucket: for each batch the ordinals of samples whose names occur in several batches, a row at most for each one in.
+    A batch's own row (bucket below 0) goes on as it is."""
+    group = group.combine_chunks().select(["batch", "docs", "names", "at"])
+    whole = group.filter(pa.compute.is_null(group.column("names")))
+    group = group.filter(pa.compute.is_valid(group.column("names")))
+    data, offsets = flat(group.column("names"))
+    names = np.frombuffer(data.tobytes(), "<u4")
+    order = np.argsort(names, kind="stable")
+    same = names[order][1:] == names[order][:-1]
+    mark = np.zeros(len(names), bool)
+    mark[order[1:][same]] = True
+    mark[order[:-1][same]] = True
+    edges = offsets // 4
+    numbers, found = [], []
+    for i in np.flatnonzero(np.add.reduceat(np.append(mark, False), edges[:-1])) if len(names) else []:
+        numbers.append(group.column("batch")[i].as_py())
+        found.append(pack_ints(unpack_ints(group.column("at")[i].as_py())[mark[edges[i] : edges[i + 1]]]))
+    mixed = pa.table({"batch": pa.array(numbers, pa.int64()), "docs": pa.nulls(len(numbers), pa.binary()), "at": pa.array(found, pa.binary())})
+    return pa.concat_tables([whole.select(["batch", "docs", "at"]).cast(mixed.schema), mixed])
+
+
+def documents_of(group: pa.Table) -> pa.Table:
+    """Of a batch's rows: doc_id and ordinals of each document with repeated samples."""
+    at = np.unique(np.concatenate([unpack_ints(x) for x in group.column("at").to_pylist()]))
+    tables = [x for x in group.column("docs").to_pylist() if x is not None]
+    ids, sizes = np.frombuffer(zlib.decompress(tables[0]), "<i8").reshape(2, -1)
+    ids, first = np.cumsum(ids), np.concatenate([[0], np.cumsum(sizes)])
+    own = np.searchsorted(first, at, "right") - 1
+    edges = np.flatnonzero(np.diff(own, prepend=-1))
+    ordinals = (at - first[own]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(edges, len(at)).astype(np.int32)), pa.array(ordinals))
+    return pa.table({"doc_id": pa.array(ids[own[edges]], pa.int64()), "ordinals": lists})
 
 
 class _Second(Hasher):
@@ -285,8 +297,11 @@ def removed(size: int, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np
 
 
 def with_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join on doc_id; ids of at most ``SENT`` bytes in all go to the rows, more are shuffled with them."""
-    return rows.join(F.broadcast(ids) if ids.count() * 8 <= SENT else ids, "doc_id", how)
+    """Semi or anti join on doc_id; at most ``SENT`` ids go to the rows, more are shuffled with them and the rows sorted, so that a
+    task that is run again makes the same batches."""
+    if ids.count() <= SENT:
+        return rows.join(F.broadcast(ids), "doc_id", how)
+    return rows.join(ids, "doc_id", how).sortWithinPartitions("doc_id")
 
 
 def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,15 +310,58 @@ def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())], ["doc_id", "n_bytes", "sha"])
 
 
-def classes_of(rows: DataFrame, *more) -> DataFrame:
-    """name, h, n and the first place of each class of equal runs or pieces."""
-    return rows.groupBy("name", "h", "n").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("copies"), *more)
+def compared(columns: list[str], key: list[str]):
+    """Of a sorted partition, by key, doc_id and start: ``again``, whether a row's key is that of the row before; ``edge``: 1 for
+    the partition's first row, 2 for its last, 3 for both. Rows that are equal in their place, too, are one."""
+    wide = [columns.index(c) for c in (*key, "doc_id", "start")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+
+        def flagged(batch: pa.RecordBatch, edge_first: bool, edge_last: bool, again: np.ndarray) -> pa.RecordBatch:
+            edge = np.zeros(batch.num_rows, np.int32)
+            edge[0] += edge_first
+            edge[-1] += 2 * edge_last
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(again), pa.array(edge)], [*columns, "again", "edge"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = [batch.column(i).to_numpy(zero_copy_only=False) for i in wide]
+            equal = []
+            for i, x in enumerate(values):
+                same = np.zeros(len(x), bool)
+                same[1:] = x[1:] == x[:-1]
+                same[0] = last is not None and x[0] == last[i]
+                equal.append(same)
+            again = np.logical_and.reduce(equal[: len(key)])
+            new = ~np.logical_and.reduce(equal)
+            last = [x[-1] for x in values]
+            if not new.any():
+                continue
+            if held is not None:
+                yield flagged(held[0], held[1], False, held[2])
+            held = batch.filter(pa.array(new)), held is None, again[new]
+        if held is not None:
+            yield flagged(held[0], held[1], True, held[2])
+
+    return run
+
 
+def neighbours(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """The written rows, range-sorted by key and place, with ``again``: the row before in the whole order has the same key.
 
-def not_first(rows: DataFrame, kinds: DataFrame) -> DataFrame:
-    """doc_id, start, n of the rows that repeat their class's first."""
-    several = kinds.where("copies > 1").select("name", "h", "n", "first")
-    return rows.join(several, ["name", "h", "n"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))).select("doc_id", "start", "n")
+    A partition's first row is again if its key ends an earlier partition: those ends are one row for each partition."""
+    order = [*key, "doc_id", "start"]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    out = cut(map_arrow(dealt, compared(rows.columns, key), kinds + ", again boolean, edge int", NARROW_ROWS), name)
+    place = F.struct("doc_id", "start")
+    ends = out.where("edge > 1").groupBy(*key).agg(F.min(place).alias("end"))
+    both = out.join(F.broadcast(ends), key, "left")
+    over = F.col("edge").isin(1, 3) & F.coalesce(F.col("end") < place, F.lit(False))
+    return both.select(*rows.columns, (F.col("again") | over).alias("again"))
 
 
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -318,39 +376,39 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     total = able.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     bits = max(0, int(total * len(COVER) / MODULUS / BUCKET).bit_length())
     heads = with_ids(docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)), copies, "left_anti")
-    named = map_arrow(heads, name_samples(bits), "bucket long, docs binary, names binary, at binary")
+    named = map_arrow(heads, name_samples(bits), "bucket long, batch long, docs binary, names binary, at binary")
     small_batches(docs.sparkSession)
-    marks = named.groupBy("bucket").applyInArrow(repeated_names, "doc_id long, ordinals array<int>")
-    marks = cut(marks, "marks")
+    marks = named.groupBy("bucket").applyInArrow(repeated_names, MARKS)
+    marks = cut(marks.groupBy("batch").applyInArrow(documents_of, "doc_id long, ordinals array<int>"), "marks")
     release(docs.sparkSession)
     ids = cut(marks.select("doc_id").distinct(), "ids")
     texts = with_ids(heads, ids, "left_semi")
     zones = marks.groupBy("doc_id").agg(F.flatten(F.collect_list("ordinals")).alias("ordinals"))
     zones = cut_by(texts.join(zones, "doc_id"), "doc_id", "zones")
     release(docs.sparkSession)
-    found = cut(map_arrow(zones.select("doc_id", "text", "ordinals"), runs, RUN), "runs")
-    kinds = cut(classes_of(found, F.max("own").alias("own")), "kinds")
-    later = cut(not_first(found, kinds), "later")
+    found = neighbours(cut(map_arrow(zones.select("doc_id", "text", "ordinals"), runs, RUN), "runs"), ["name", "h", "n"], "sorted-runs")
+    place = ["doc_id", "start", "n"]
     release(docs.sparkSession)
-    # joins with what is aggregated on the same key: the aggregate is written first, so that AQE may broadcast it or split a hot key
-    names = cut(kinds.groupBy("name").agg(F.count("*").alias("k"), F.max("own").alias("any_own")).where("k > 1 or any_own").select("name", "any_own"), "names")
-    open_ = cut(kinds.join(names, "name").select("first.doc_id", "first.start", "n", "any_own"), "open")
+    # a join with what is aggregated on the same key: the aggregate is written first, so that AQE may broadcast it or split a hot key
+    firsts = found.where("not again")
+    names = firsts.groupBy("name").agg(F.count("*").alias("k"), F.max("own").alias("any_own")).where("k > 1 or any_own")
+    names = cut(names.select("name", "any_own"), "names")
+    open_ = cut(firsts.join(names, "name").select(*place, "any_own"), "open")
     spans = F.collect_list(F.struct("start", "n")).alias("spans")
     texts = zones.select("doc_id", "text")
     cut_up = texts.join(open_.where("not any_own").groupBy("doc_id").agg(spans), "doc_id").select("doc_id", "text", "spans")
-    parts = cut(map_arrow(cut_up, pieces, PIECES), "pieces")
-    part_kinds = cut(classes_of(parts), "piece-kinds")
-    part_later = cut(not_first(parts, part_kinds), "later")
+    parts = neighbours(cut(map_arrow(cut_up, pieces, PIECES), "pieces"), ["name", "h", "n"], "sorted-pieces")
     release(docs.sparkSession)
-    names = cut(part_kinds.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name"), "names")
-    left = part_kinds.join(names, "name").select("first.doc_id", "first.start", "n")
-    left = left.unionByName(open_.where("any_own").select("doc_id", "start", "n")).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    each = cut(map_arrow(texts.join(left, "doc_id").select("doc_id", "text", "spans"), single_strings, "h long, l long, doc_id long, start int"), "strings")
-    place = F.struct("doc_id", "start")
-    low = cut(each.groupBy("h", "l").agg(F.min(place).alias("first"), F.count("*").alias("k")).where("k > 1"), "low")
-    again = each.join(low, ["h", "l"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))).select("doc_id", "start", F.lit(1).alias("n"))
-    later = later.unionByName(part_later)
-    gone = later.unionByName(again).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("starts"))
+    firsts = parts.where("not again")
+    names = cut(firsts.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name"), "names")
+    left = firsts.join(names, "name").select(*place)
+    left = left.unionByName(open_.where("any_own").select(*place)).groupBy("doc_id").agg(spans)
+    each = map_arrow(texts.join(left, "doc_id").select("doc_id", "text", "spans"), single_strings, "h long, l long, doc_id long, start int")
+    each = neighbours(cut(each, "strings"), ["h", "l"], "sorted-strings")
+    release(docs.sparkSession)
+    later = found.where("again").select(*place).unionByName(parts.where("again").select(*place))
+    later = later.unionByName(each.where("again").select("doc_id", "start", F.lit(1).alias("n")))
+    gone = later.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("starts"))
     lost = zones.select("doc_id", "text").join(gone, "doc_id").select("doc_id", "text", "starts")
     return known, copies, lost
 

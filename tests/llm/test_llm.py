@@ -106,6 +106,41 @@ def test_suffix_dedup(spark):
     assert got == brute_spans(rows)
 
 
+def test_samples_by_bucket():
+    """However many buckets there are, a bucket's group gives at most a row for each row in, batches' tables are sent once, and the
+    same samples are found."""
+    import pyarrow as pa
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).combine_chunks()
+    batches, found, sent = texts.to_batches(max_chunksize=200), [], []
+    for bits in (0, 4, 12):
+        rows = pa.Table.from_batches(list(suffix_dedup.name_samples(bits)(iter(batches))))
+        out = []
+        for bucket in rows.column("bucket").unique().to_pylist():
+            group = rows.filter(pa.compute.equal(rows.column("bucket"), bucket))
+            out.append(suffix_dedup.repeated_names(group))
+            assert out[-1].num_rows <= group.num_rows
+        marks = pa.concat_tables(out)
+        assert marks.num_rows <= rows.num_rows and marks.column("docs").null_count == marks.num_rows - len(batches)
+        docs = {}
+        for batch in marks.column("batch").unique().to_pylist():
+            for r in suffix_dedup.documents_of(marks.filter(pa.compute.equal(marks.column("batch"), batch))).to_pylist():
+                docs[r["doc_id"]] = r["ordinals"]
+        found.append(docs)
+        sent.append(rows.nbytes)
+    # fewer bits of names are compared where there are fewer buckets: some samples more by chance
+    assert all(set(found[2][d]) <= set(found[0].get(d, [])) for d in found[2])
+    assert sum(map(len, found[0].values())) < 1.001 * sum(map(len, found[2].values()))
+    assert sent[2] < 2 * sent[0]  # batches of 200 documents in 4096 buckets: a few samples in each row
+
+
+def test_sorted_neighbours(spark):
+    """A key that fills many partitions is found again in each."""
+    rows = [(1, i, 0) for i in range(300)] + [(2, 5, 5), (2, 5, 5), (3, 1, 1)]
+    got = suffix_dedup.neighbours(spark.createDataFrame(rows, "h long, doc_id long, start int").repartition(5), ["h"], "test").collect()
+    assert sorted(map(tuple, got)) == [(1, i, 0, i > 0) for i in range(300)] + [(2, 5, 5, False), (3, 1, 1, False)]
+
+
 def test_mix(spark):
     assert mixing.fill([10, 10, 10], [5, 2, 1]) == [20.0, pytest.approx(50 / 3), pytest.approx(25 / 3)]
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
