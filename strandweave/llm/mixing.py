@@ -7,8 +7,12 @@ How many of each source's blocks every output shard gets is drawn by a tree: eac
 counts between two halves of its shards by one multivariate hypergeometric draw, so counts always add up.
 Shards then take disjoint runs of each source's permuted blocks, and rows are shuffled inside a shard.
 
+A shard takes what its quota draws and nothing else: a block slot that no shard's quota reaches gives no words, and the last slot
+of a source is cut at the source's target, so words are met as exactly as quotas are.
+
 Only sums per (source, block) are shuffled; blocks are bounded, so a hot source is spread over tasks.
-The driver holds one row per source: the mixture's definition, checked against ``max_sources``.
+The driver holds one row per source and the shards' quotas (64 numbers a source): the mixture's definition, checked against
+``max_sources``.
 
 Defined cases: a null text has size 0; a null source is a source, last in order; a document of size 0 takes
 0 words; equal rows each count, and so do rows without a doc_id, in one block (``row_id`` tells them apart); an empty table gives an empty result; other columns are ignored.
@@ -79,7 +83,7 @@ def placed_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.select("source", "block", "line", "quota", start.alias("start"), nth.alias("nth"), "per_round")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, shards: int = 64, seed: int = 7, max_sources: int = 1_000_000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, shards: int = 64, seed: int = 7, max_sources: int = 20_000) -> DataFrame:
     """One row for each document and round (0 .. repeats-1) of which words are taken, and one with taken 0 for a
     document of which none are: row_id (the document's row, whatever its doc_id), doc_id, source, size, source_size, target, round, taken (the first words of
     the document), shard, place (order inside the shard)."""
@@ -108,7 +112,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     tree = split_quotas(np.array([counts.get(s, 0) for s in names], np.int64), shards, seed)
     cuts = spark.createDataFrame([(s, [int(x) for x in np.cumsum(tree[:, i])]) for i, s in enumerate(names)], "c_source string, cuts array<long>")
     drawn = rounds.join(F.broadcast(cuts), same(F.col("source"), F.col("c_source")))
-    drawn = drawn.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "round", "from", F.size(F.filter("cuts", lambda c: c <= F.col("nth"))).alias("shard"))
+    shard = F.size(F.filter("cuts", lambda c: c <= F.col("nth")))
+    drawn = drawn.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "round", "from", shard.alias("shard")).where(F.col("shard") < shards)
     inside = Window.partitionBy("source", "block").orderBy("bits", "doc_id", "row_id").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("offset", F.sum("size").over(inside) - F.col("size"))
     taken = placed.join(drawn, same(F.col("source"), F.col("b_source")) & (F.col("block") == F.col("b_block")), "left")

@@ -14,8 +14,13 @@ from .common import map_arrow, table
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document row. draws: for each round in which a shard takes words of it, the shard, the place there and
+    the words; taken is their sum."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken")).drop("row_id")
+    first = [F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")]
+    draw = F.when(F.col("taken") > 0, F.struct("round", "shard", "place", "taken"))
+    whole = mixed.groupBy("row_id").agg(*first, F.sum("taken").alias("taken"), F.array_sort(F.collect_list(draw)).alias("draws"))
+    return whole.drop("row_id")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

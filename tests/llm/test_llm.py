@@ -70,8 +70,8 @@ def test_odd_tables(spark, odd, empty):
     for k, df in run_all(spark, odd).items():
         rows = df.collect()
         assert {r["doc_id"] for r in rows} == {r[0] for r in odd_rows()}, k
-        if k != 1:
-            assert len(rows) == n, k
+        # the mix has a row for each round in which words are taken, and one for a row of which none are
+        assert (len({r["row_id"] for r in rows}) if k == 1 else len(rows)) == n, k
     for k, df in run_all(spark, empty).items():
         assert df.collect() == [], k
 
@@ -158,6 +158,43 @@ def test_mix(spark):
         assert abs(sum(r["taken"] for r in mine) - targets[s]) <= 1
     assert all(r["taken"] <= 2 * r["size"] for r in rows)
     assert sorted(map(tuple, rows)) == sorted(map(tuple, queries.op1_mix(spark, DATA).collect()))
+    assert all(r["taken"] == sum(d["taken"] for d in r["draws"]) and len(r["draws"]) <= 2 and all(0 <= d["shard"] < 64 for d in r["draws"]) for r in rows)
+
+
+def test_mix_brute(spark, monkeypatch):
+    """Words taken and shards, computed again from blocks in their permuted order and the tree's quotas."""
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 8)
+    r = random.Random(6)
+    rows = [(i, " ".join(["w"] * r.randint(0, 30)), r.choice("aaaabbc") if i % 9 else None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, shards=5, seed=3).collect()
+    bits = {x["doc_id"]: x["h"] for x in docs.select("doc_id", F.xxhash64(F.lit(3), "doc_id").alias("h")).collect()}
+    names = sorted({s for _, _, s in rows if s}) + [None]
+    size = {d: len(t.split()) for d, t, _ in rows}
+    lines = {s: sorted((d for d, _, x in rows if x == s), key=lambda d: (bits[d] & (1 << 64) - 1, bits[d])) for s in names}
+    targets = mixing.fill([sum(size[d] for d in lines[s]) for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))])
+    slots = {}
+    for s, target in zip(names, targets):
+        depth = max(0, max(1, len(lines[s]) // 8).bit_length() - 1)
+        blocks = {}
+        for d in lines[s]:
+            blocks.setdefault((bits[d] & (1 << 64) - 1) >> (64 - depth) if depth else 0, []).append(d)
+        left, slots[s] = round(target), []
+        for n in (0, 1):
+            for _, members in sorted(blocks.items()):
+                if left > 0:
+                    slots[s].append((n, [(d, min(size[d], max(0, left - sum(size[x] for x in sorted(members, key=bits.get)[:i])))) for i, d in enumerate(sorted(members, key=bits.get))]))
+                    left -= sum(size[d] for d in members)
+    tree = mixing.split_quotas(mixing.np.array([len(slots[s]) for s in names]), 5, 3)
+    want = set()
+    for i, s in enumerate(names):
+        shard_of = [k for k in range(5) for _ in range(tree[k, i])]
+        want |= {(d, n, shard_of[j], w) for j, (n, members) in enumerate(slots[s]) for d, w in members if w}
+    assert {(x["doc_id"], x["round"], x["shard"], x["taken"]) for x in got if x["taken"]} == want
+    assert all(sum(x["taken"] for x in got if x["source"] == s) == round(t) for s, t in zip(names, targets))
+    monkeypatch.setattr(mixing, "split_quotas", lambda counts, shards, seed: mixing.np.vstack([counts // 2] + [counts * 0] * (shards - 1)))
+    half = mixing.mix(docs, shards=5, seed=3).collect()
+    assert 0 < sum(x["taken"] for x in half) < sum(x["taken"] for x in got)  # what no quota reaches isn't taken
 
 
 def test_mix_rows_without_id(spark, tmp_path):
