@@ -1,26 +1,33 @@
 """WARC archives as a Python data source, read and written through Arrow batches.
 
 Reading: one partition per archive file. Filters on ``record_type`` and on the header columns ``page_id``,
-``target_uri`` and ``payload_digest`` are pushed to the reader; a record's headers are parsed first, and a record that they rule
-out (or whose payload nobody asked for, option ``payload`` = false) is skipped by its Content-Length without being decoded.
-Writing: each task writes archives of at most ``roll_mb`` under a name of its own; only names that tasks committed are
-listed in the manifest that readers go by, so a lost or repeated task leaves no records behind.
+``target_uri`` and ``payload_digest`` are pushed to the reader; a record's headers are parsed first, and the payload of a record
+that they rule out (or that nobody asked for, option ``payload`` = false) isn't decoded: members written here tell their
+compressed length in gzip's extra field (subfield ``sl``, skip lengths, of the WARC specification), so the reader
+goes on at the next member without reading the rest; in other archives the rest is passed over by Content-Length.
+A folder without a manifest is read by its files' names: ``.warc`` and ``.warc.gz``, of any writer; so is one file.
+
+Writing: each task writes archives of at most ``roll_mb`` under names of its own; only names that tasks committed are
+listed in the commit's manifest, so a lost or repeated task leaves no records behind. Every commit has a manifest of its own and
+readers go by all of them; mode ``overwrite`` removes earlier ones and their archives.
 
 ``archive`` makes a record for every page row: of rows with an equal payload (same SHA-1) of at least ``min_bytes`` the one
 with the smallest page_id is a response, the others revisit it.
 
 Defined cases: null html is an empty payload; null url has no target; null page_id sorts after all others and gets no id
-header; repeated page_ids with equal payloads: all rows of the smallest page_id are responses; an empty table gives an
-empty archive; other columns are ignored.
+header; repeated page_ids with equal payloads: all rows of the smallest page_id are responses (records of one page_id share their
+WARC-Record-ID, which names the page); an empty table gives an
+empty archive; other columns are ignored; a record is held in memory whole, however long, where its payload is asked for.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import json
+import struct
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -30,10 +37,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
 from ..shipping import ship
-from .common import drop_on_exit, shared_path, small_batches
+from .common import cut, drop_on_exit, shared_path, small_batches
 
 SCHEMA = "page_id long, record_type string, target_uri string, payload_digest string, payload_bytes long, refers_to long, payload binary"
-WRITE = "page_id long, record_type string, target_uri string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 CRLF = b"\r\n"
 DATE = "2024-01-01T00:00:00Z"
 #: A record's id carries its page_id in its last 16 hex digits.
@@ -82,11 +88,105 @@ def encode(row: dict) -> bytes:
     if row["record_type"] == "revisit":
         fields += [("WARC-Refers-To", record_id(row["refers_to"])), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + f"Content-Length: {len(block)}\r\n\r\n"
-    return gzip.compress(head.encode() + block + CRLF + CRLF, 4, mtime=0)
+    return member(head.encode() + block + CRLF + CRLF)
+
+
+#: Fixed values of gzip's format: a member's first bytes with an extra field, and that field's head for two lengths of 4 bytes.
+MEMBER, SKIP = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff", struct.pack("<H2sH", 12, b"sl", 8)
+
+
+def member(data: bytes) -> bytes:
+    """A gzip member that tells its compressed and whole length; 0 where they don't fit."""
+    coder = zlib.compressobj(4, zlib.DEFLATED, -15)
+    body = coder.compress(data) + coder.flush()
+    size = len(MEMBER) + len(SKIP) + 8 + len(body) + 8
+    lengths = (size, len(data)) if max(size, len(data)) < 1 << 32 else (0, 0)
+    return MEMBER + SKIP + struct.pack("<II", *lengths) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+class Archive:
+    """A plain or gzip-compressed archive (members of any writer) as a stream of its records' bytes."""
+
+    CHUNK = 1 << 15
+
+    def __init__(self, raw):
+        self.raw, self.size, self.at = raw, raw.size() if callable(getattr(raw, "size", None)) else raw.seek(0, 2), 0
+        raw.seek(0)
+        self.ready, self.coder, self.end = b"", None, None
+        self.packed = self._take(2) == MEMBER[:2]
+        self._go(0)
+
+    def _take(self, n: int) -> bytes:
+        data = self.raw.read(n)
+        self.at += len(data)
+        return data
+
+    def _go(self, at: int) -> None:
+        self.raw.seek(at)
+        self.at, self.ready, self.coder, self.end = at, b"", None, None
+
+    def _more(self) -> bool:
+        """More bytes to read; False at the archive's end."""
+        if not self.packed:
+            data = self._take(self.CHUNK)
+            self.ready += data
+            return bool(data)
+        while True:
+            if self.coder is None:
+                start = self.at
+                head = self._take(self.CHUNK)
+                if not head:
+                    return False
+                self.coder = zlib.decompressobj(31)
+                self.end = None
+                if not self.ready:  # a record begins with the member
+                    known = head[: len(MEMBER)][3:4] == b"\x04" and head[len(MEMBER) : len(MEMBER) + len(SKIP)] == SKIP
+                    length = struct.unpack_from("<I", head, len(MEMBER) + len(SKIP))[0] if known and len(head) >= 24 else 0
+                    self.end = start + length if length else None
+            else:
+                head = self._take(self.CHUNK)
+                if not head:
+                    raise ValueError("a WARC archive ends early")
+            data = self.coder.decompress(head)
+            if self.coder.eof:
+                self.raw.seek(self.at - len(self.coder.unused_data))
+                self.at -= len(self.coder.unused_data)
+                self.coder = None
+            if data:
+                self.ready += data
+                return True
+
+    def readline(self) -> bytes:
+        while (end := self.ready.find(b"\n") + 1) == 0:
+            if not self._more():
+                end = len(self.ready)
+                break
+        line, self.ready = self.ready[:end], self.ready[end:]
+        return line
+
+    def read(self, n: int) -> bytes:
+        parts, left = [], n
+        while left and (self.ready or self._more()):
+            parts.append(self.ready[:left])
+            self.ready = self.ready[len(parts[-1]) :]
+            left -= len(parts[-1])
+        return b"".join(parts)
+
+    def skip(self, n: int) -> None:
+        """Over the rest of a record's block, n bytes."""
+        if not self.packed and n > len(self.ready):
+            if self.at + n - len(self.ready) > self.size:
+                raise ValueError("a WARC record ends early")
+            self._go(self.at + n - len(self.ready))
+        elif self.packed and self.coder is not None and self.end is not None:
+            self._go(self.end)
+        else:
+            skip(self, n)
 
 
 def records(stream, wanted, payload: bool) -> Iterator[dict]:
-    """Records of a decompressed stream that ``wanted(headers)`` lets through."""
+    """Records of a stream that ``wanted(headers)`` lets through."""
+    pass_over = getattr(stream, "skip", None) or (lambda n: skip(stream, n))
     while True:
         line = stream.readline()
         if not line:
@@ -101,14 +201,14 @@ def records(stream, wanted, payload: bool) -> Iterator[dict]:
             head[name.strip().lower()] = value.strip()
         left = int(head.get("content-length", 0))
         if not wanted(head):
-            skip(stream, left)
+            pass_over(left)
             continue
         body = None
         if payload and head.get("warc-type") == "response":
             block = take(stream, left)
             body = block[block.find(b"\r\n\r\n") + 4 :] if head.get("content-type", "").startswith("application/http") else block
         else:
-            skip(stream, left)
+            pass_over(left)
         yield head | {"payload": body}
 
 
@@ -151,6 +251,35 @@ class ArchivePart(InputPartition):
     path: str
 
 
+def manifests(path: str) -> dict[str, list[str]]:
+    """Each commit's manifest and the archives that it lists; none for a single file."""
+    from pyarrow import fs as files
+
+    fs, root = local(path)
+    if fs.get_file_info(root).type != files.FileType.Directory:
+        return {}
+    out = {}
+    for info in fs.get_file_info(files.FileSelector(root)):
+        if info.base_name.startswith("manifest") and info.base_name.endswith(".json"):
+            with fs.open_input_stream(info.path) as f:
+                out[info.path] = [f"{root}/{x}" for x in json.loads(f.read())]
+    return out
+
+
+def archives(path: str) -> list[str]:
+    """Archives below a path: the committed ones, or where nothing was committed here all that have an archive's name."""
+    from pyarrow import fs as files
+
+    fs, root = local(path)
+    if listed := manifests(path):
+        return sorted(x for names in listed.values() for x in names)
+    info = fs.get_file_info(root)
+    if info.type == files.FileType.NotFound:
+        raise FileNotFoundError(path)
+    found = [info] if info.type == files.FileType.File else fs.get_file_info(files.FileSelector(root, recursive=True))
+    return sorted(x.path for x in found if x.type == files.FileType.File and x.base_name.lower().endswith((".warc", ".warc.gz")))
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.payload = options["path"], options.get("payload", "true").lower() != "false"
@@ -166,9 +295,7 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        fs, root = local(self.path)
-        with fs.open_input_stream(f"{root}/manifest.json") as f:
-            return [ArchivePart(f"{root}/{x}") for x in json.loads(f.read())] or [ArchivePart("")]
+        return [ArchivePart(x) for x in archives(self.path)] or [ArchivePart("")]
 
     def read(self, partition: ArchivePart):
         if not partition.path:
@@ -177,8 +304,8 @@ class WarcReader(DataSourceReader):
         schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("target_uri", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
         wanted = lambda head: all(header(head) in values for header, values in self.equal)
         rows, size = [], 0
-        with fs.open_input_file(partition.path) as raw, gzip.GzipFile(fileobj=raw) as stream:
-            for head in records(stream, wanted, self.payload):
+        with fs.open_input_file(partition.path) as raw:
+            for head in records(Archive(raw), wanted, self.payload):
                 rows.append(to_row(head))
                 size += len(head["payload"] or b"")
                 if len(rows) >= 2000 or size >= 8 << 20:
@@ -194,8 +321,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.path, self.roll = options["path"], int(float(options.get("roll_mb", 64)) * (1 << 20))
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.roll, self.overwrite = options["path"], int(float(options.get("roll_mb", 64)) * (1 << 20)), overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = local(self.path)
@@ -218,8 +345,12 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         fs, root = local(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/manifest.json", compression=None) as f:
+        before = manifests(self.path) if self.overwrite else {}
+        with fs.open_output_stream(f"{root}/manifest-{uuid.uuid4().hex}.json", compression=None) as f:
             f.write(json.dumps(sorted(n for m in messages if m for n in m.names)).encode())
+        for manifest, names in before.items():
+            for old in (manifest, *names):
+                fs.delete_file(old)
 
     def abort(self, messages) -> None:
         fs, root = local(self.path)
@@ -242,7 +373,7 @@ class Warc(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -252,12 +383,13 @@ def register(spark: SparkSession) -> None:
 
 
 def archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Rows to write. Only digests with several page_ids are joined back, so html isn't shuffled where those are few;
-    the sums per digest are partial first, and a hot digest's rows are split by AQE's skew join."""
+    """Rows to write. Digests with several page_ids are summed up partially first and written, so the join back knows their size:
+    Spark broadcasts them where they are few (html isn't shuffled then), and AQE can split a hot digest's rows where they aren't."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("target_uri"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     rows = rows.withColumn("payload_digest", digest_column(F.col("payload"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     groups = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count("*").alias("n"))
     groups = groups.where((F.col("n") > 1) & F.col("first").isNotNull()).select(F.col("payload_digest").alias("g_digest"), "first")
+    groups = cut(groups, "payloads")
     both = rows.join(groups, (F.col("payload_digest") == F.col("g_digest")) & (F.col("payload_bytes") >= min_bytes), "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     kind = F.when(again, "revisit").otherwise("response")

@@ -317,6 +317,71 @@ def test_warc_skips_payloads():
     assert [h["payload"] for h in warc.records(io.BytesIO(data), lambda h: True, False)] == [None] * 3
 
 
+def test_warc_appends(spark, tmp_path):
+    """A second append adds its records; overwriting leaves only its own; other columns don't matter."""
+    path = f"file://{tmp_path}/archive"
+    page = lambda i, t: spark.createDataFrame([(i, "u", t, "x", "y")], "page_id long, url string, html string, payload_digest string, first string")
+    ids = lambda: sorted(r["page_id"] for r in warc.read_archives(spark, path).collect())
+    warc.write(page(1, "a"), path)
+    warc.write(page(2, "b"), path)
+    assert ids() == [1, 2]
+    warc.archive(page(3, "c")).write.format("warc").mode("overwrite").save(path)
+    assert ids() == [3] and len(os.listdir(tmp_path / "archive")) == 2
+
+
+FOREIGN = [b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 4\r\n\r\ninfo\r\n\r\n"] + [
+    b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://%d\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: %d\r\n\r\nHTTP/1.1 200 OK\r\n\r\n" % (i, 19 + n) + b"x" * n + b"\r\n\r\n"
+    for i, n in enumerate([3, 100_000, 0])
+]
+
+
+def test_warc_of_others(spark, tmp_path):
+    """Archives without a manifest: a member for each record, one member for all, and not compressed."""
+    import gzip
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.warc.gz").write_bytes(b"".join(map(gzip.compress, FOREIGN)))
+    (tmp_path / "a" / "two.WARC.gz").write_bytes(gzip.compress(b"".join(FOREIGN)))
+    (tmp_path / "a" / "three.warc").write_bytes(b"".join(FOREIGN))
+    (tmp_path / "a" / "note.txt").write_text("no archive")
+    for payload in (True, False):
+        rows = warc.read_archives(spark, f"file://{tmp_path}/a", payload).where("record_type = 'response'").collect()
+        want = [(f"http://{i}", n if payload else -1) for i, n in enumerate([3, 100_000, 0])] * 3
+        assert sorted((r["target_uri"], -1 if r["payload"] is None else len(r["payload"])) for r in rows) == sorted(want)
+    assert warc.read_archives(spark, f"file://{tmp_path}/a/three.warc").count() == 4
+    (tmp_path / "a" / "three.warc").write_bytes(b"".join(FOREIGN)[:-200])
+    with pytest.raises(Exception, match="ends early"):
+        warc.read_archives(spark, f"file://{tmp_path}/a/three.warc").collect()
+
+
+def test_warc_seeks_over_payloads():
+    """Bytes of payloads that aren't wanted are not read."""
+    import io
+
+    class Counted(io.BytesIO):
+        total = 0
+
+        def read(self, n=-1):
+            data = super().read(n)
+            self.total += len(data)
+            return data
+
+    big = random.Random(1).randbytes(1 << 20)
+    row = lambda i: {"page_id": i, "record_type": "response", "target_uri": "u", "payload_digest": "D", "payload_bytes": len(big), "refers_to": None, "payload": big}
+    raw = Counted(b"".join(warc.encode(row(i)) for i in range(8)))
+    got = list(warc.records(warc.Archive(raw), lambda h: h["x-page-id"] == "5", True))
+    assert [h["x-page-id"] for h in got] == ["5"] and got[0]["payload"] == big
+    assert raw.total < 2 * len(big)
+
+
+def test_warc_hot_payload(spark):
+    """The written groups are joined by broadcast, so no task gets all rows of a payload."""
+    pages = spark.createDataFrame([(i, "u", "same" if i % 3 else f"own {i}") for i in range(60)], "page_id long, url string, html string")
+    made = warc.archive(pages)
+    assert "BroadcastHashJoin" in made._jdf.queryExecution().executedPlan().toString()
+    assert sum(r["record_type"] == "revisit" for r in made.collect()) == 39
+
+
 def test_warc_digest_filter(spark, tmp_path):
     """A filter on the digest is the reader's own, which leaves out other records before their payloads."""
     path, digest = f"file://{tmp_path}/archive", warc.base32_sha1(b"one")
