@@ -122,13 +122,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """64-bit fingerprints of slices of ``data`` from prefix sums of a polynomial modulo 2^64."""
+    """64-bit fingerprints of slices of ``data`` (bytes, or other numbers) from prefix sums of a polynomial modulo 2^64."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum(_table[data] * _power(_P, n)[:n], out=self.sums[1:])
+            values = _table[data] if data.dtype == np.uint8 else mix(data.astype(_U) + _U(_P))
+            np.cumsum(values * _power(_P, n)[:n], out=self.sums[1:])
         self.inverse = _power(_P_INV, n)
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -146,7 +147,3 @@ def chain(words: np.ndarray, k: int) -> np.ndarray:
         for j in range(k):
             out = out * _U(0xD1342543DE82EF95) + words[j : j + n]
         return mix(out)
-
-
-def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values, kind))

@@ -3,14 +3,17 @@
 Each Arrow batch of documents is a shard. Its suffix array holds the suffixes that can begin a window: those whose first
 words (as many as the shortest window has, 10 at most) all occur in the test set and whose first two words
 stand together there; other suffixes can match no test suffix for the needed length. Every test suffix is
-binary-searched in it, the ranges found are joined along diagonals to longest verbatim matches, and each match is confirmed on
-the words themselves. No shuffle; a shard's memory is bounded by the batch size.
+binary-searched in it. Suffixes with equal first words are sorted by the word before them, so only those places are taken
+from a range at which the match can't be extended to the left: each gives one longest verbatim match, whose length is found by
+bisection on fingerprints of word runs. So work grows with the matches, not with their words. Words are
+confirmed byte by byte where a match covers them. No shuffle; a shard's memory is bounded by the batch size.
 
-The test set goes to the tasks in blocks of at most ``block_mb`` MB of item text (its size is summed first): blocks are
-passes over the documents, chained in one job, each adding its matches.
+The test set goes to the tasks in blocks of at most ``block_mb`` MB of item text (its size is summed first). Blocks are
+passes over the documents, one after the other: each adds its matches to what the one before has written, so a worker holds one block.
 
 Defined cases: null texts have no words; an item with fewer than ``window`` words, but not none, is one window; equal
-items each count; empty tables give no rows (documents) or no matches (test set); other columns are ignored.
+items each count; empty tables give no rows (documents) or no matches (test set); other columns are ignored; a text is searched
+whole, however long (some 100 bytes of memory for each of its words).
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, Hasher, flat, map_arrow, mix, steps, word_spans
+from .common import ALNUM, LOWER, Hasher, cut, flat, map_arrow, mix, steps, word_spans
 
 MATCH = "array<struct<item_id: long, item_word: int, doc_word: int, n_words: int>>"
 _MATCH = pa.struct([("item_id", pa.int64()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("n_words", pa.int32())])
@@ -45,32 +48,38 @@ def words_of(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np
 
 
 class TestSet:
-    """A block of test items: its vocabulary, and its suffixes that are at least a window long."""
+    """A block of test items: its vocabulary, words of all items in one row, and its suffixes that are at least a window long."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[int, str]], window: int):
         items = sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        data, s, e, prints, first = words_of(pa.array([t for _, t in items], pa.string()))
+        data, s, e, prints, self.first = words_of(pa.array([t for _, t in items], pa.string()))
         self.window, self.ids = window, [i for i, _ in items]
-        self.vocabulary = np.unique(prints)
-        number = (np.searchsorted(self.vocabulary, prints) + 1).astype(np.int64)
-        self.text = [[data[a:b].tobytes() for a, b in zip(s[x:y], e[x:y])] for x, y in zip(first, first[1:])]
-        rows, self.suffix, size = [], [], []
-        for i, (x, y) in enumerate(zip(first, first[1:])):
-            w = min(window, y - x)
-            for j in range(y - x - w + 1 if w else 0):
-                rows.append(np.pad(number[x + j : x + j + w], (0, window - w)))
-                self.suffix.append((i, j))
-                size.append(w)
-        self.size = np.array(size, np.int64)
-        low = np.array(rows, np.int64).reshape(-1, window)
-        self.least = int(self.size.min()) if size else 0
+        self.vocabulary, one = np.unique(prints, return_index=True)
+        self.words = [data[s[i] : e[i]].tobytes() for i in one]
+        self.number = (np.searchsorted(self.vocabulary, prints) + 1).astype(np.int64)
+        n = np.diff(self.first)
+        size = np.repeat(np.minimum(window, n), n)
+        last = np.repeat(self.first[1:], n)
+        self.suffix = np.flatnonzero(np.arange(len(prints)) + size <= last)  # places in the row of all words
+        self.size, last = size[self.suffix], last[self.suffix]
+        self.least = int(self.size.min()) if len(self.size) else 0
+        at = self.suffix[:, None] + np.arange(window)
+        low = np.where(at < (self.suffix + self.size)[:, None], self.number[np.minimum(at, len(prints) - 1)], 0) if len(at) else np.zeros((0, window), np.int64)
         self.low = key(low)
         self.high = key(np.where(np.arange(window)[None, :] < self.size[:, None], low, 0xFFFFFFFF))
         self.bits = np.zeros(1 << 20, bool)
         if self.least > 1:
             self.bits[pair(low[:, 0], low[:, 1])] = True
+        starts = np.isin(self.suffix, self.first[:-1])
+        self.before = np.where(starts, 0, self.number[self.suffix - 1]) if len(self.suffix) else self.suffix
+        self.last = last
+        self._runs: Hasher | None = None  # made where it is used
+
+    def runs(self) -> Hasher:
+        self._runs = self._runs or Hasher(self.number)
+        return self._runs
 
 
 def key(ids: np.ndarray) -> np.ndarray:
@@ -82,8 +91,9 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (mix(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)) >> np.uint64(44)).astype(np.int64)
 
 
-def suffix_array(number: np.ndarray, last: np.ndarray, test: TestSet) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the shard, sorted by their next ``window`` words, and those words; last: the end of each word's row."""
+def suffix_array(number: np.ndarray, first: np.ndarray, last: np.ndarray, test: TestSet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the shard, sorted by their next ``window`` words and then the word before; those words; the word before (0: none, or
+    unknown); first, last: the ends of each word's row."""
     known = np.concatenate([[0], np.cumsum(number > 0)])
     at = np.arange(len(number) - test.least + 1)
     at = at[(known[at + test.least] - known[at] == test.least) & (at + test.least <= last[at])]
@@ -92,8 +102,42 @@ def suffix_array(number: np.ndarray, last: np.ndarray, test: TestSet) -> tuple[n
     next_ = at[:, None] + np.arange(test.window)
     inside = next_ < last[at][:, None]
     keys = key(np.where(inside, number[np.minimum(next_, len(number) - 1)], 0))
-    order = np.argsort(keys, kind="stable")
-    return at[order], keys[order]
+    before = np.where(at > first[at], number[at - 1], 0)
+    order = np.lexsort((before, keys))
+    return at[order], keys[order], before[order]
+
+
+def starts_of(test: TestSet, at: np.ndarray, keys: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (test suffix, place) whose windows are equal and which no equal words precede."""
+    low, high = np.searchsorted(keys, test.low, "left"), np.searchsorted(keys, test.high, "right")
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))  # in each of these runs places are sorted by the word before
+    tests, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for t in np.flatnonzero(high > low):
+        if test.before[t] == 0:
+            parts = [at[low[t] : high[t]]]
+        else:
+            runs = new[np.searchsorted(new, low[t]) : np.searchsorted(new, high[t])]
+            parts = []
+            for a, b in zip(runs, np.append(runs[1:], high[t])):
+                x, y = a + np.searchsorted(before[a:b], test.before[t]), a + np.searchsorted(before[a:b], test.before[t], "right")
+                parts += [at[a:x], at[y:b]]
+        parts = np.concatenate(parts)
+        tests.append(np.full(len(parts), t))
+        places.append(parts)
+    return np.concatenate(tests), np.concatenate(places)
+
+
+def lengths(test: TestSet, number: np.ndarray, last: np.ndarray, tests: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Words that are equal from each pair on: by bisection, a window at least."""
+    mine = Hasher(number)
+    at = test.suffix[tests]
+    low, high = test.size[tests].copy(), np.minimum(test.last[tests] - at, last[places] - places)
+    while (open_ := np.flatnonzero(low < high)).size:
+        mid = (low[open_] + high[open_] + 1) // 2
+        same = test.runs()(at[open_], at[open_] + mid) == mine(places[open_], places[open_] + mid)
+        low[open_[same]] = mid[same]
+        high[open_[~same]] = mid[~same] - 1
+    return low
 
 
 def search(column, test: TestSet) -> tuple[np.ndarray, list[tuple[int, int, int, int, int]]]:
@@ -104,30 +148,19 @@ def search(column, test: TestSet) -> tuple[np.ndarray, list[tuple[int, int, int,
         return n_words, []
     number = np.searchsorted(test.vocabulary, prints)
     number = np.where(test.vocabulary[np.minimum(number, len(test.vocabulary) - 1)] == prints, number + 1, 0).astype(np.int64)
-    last = np.repeat(first[1:], n_words)
-    at, keys = suffix_array(number, last, test)
-    low, high = np.searchsorted(keys, test.low, "left"), np.searchsorted(keys, test.high, "right")
-    some = np.flatnonzero(high > low)
-    runs: dict[tuple[int, int, int], list[list[int]]] = {}
-    hits = sorted((test.suffix[t][0], int(p) - test.suffix[t][1], int(p), int(test.size[t])) for t in some for p in at[low[t] : high[t]])
-    rows = np.searchsorted(first, [h[2] for h in hits], "right") - 1
-    for (item, diagonal, place, size), row in zip(hits, rows):
-        own = runs.setdefault((int(row), item, diagonal), [])
-        if own and place <= own[-1][0] + own[-1][1] - size + 1:
-            own[-1][1] = place + size - own[-1][0]
-        else:
-            own.append([place, size])
-    out = []
-    for (row, item, diagonal), own in runs.items():
-        for place, size in own:
-            j, text = place - diagonal, test.text[item]
-            same = [data[s[place + k] : e[place + k]].tobytes() == text[j + k] for k in range(size)]
-            w = min(test.window, len(text))
-            if all(same):
-                out.append((row, item, j, place - int(first[row]), size))
-            else:  # two words shared a fingerprint
-                out += [(row, item, j + k, place + k - int(first[row]), w) for k in range(size - w + 1) if all(same[k : k + w])]
-    return n_words, sorted(out)
+    start, last = np.repeat(first[:-1], n_words), np.repeat(first[1:], n_words)
+    while True:
+        tests, places = starts_of(test, *suffix_array(number, start, last, test))
+        size = lengths(test, number, last, tests, places)
+        edge = np.bincount(places, minlength=len(number) + 1) - np.bincount(places + size, minlength=len(number) + 1)
+        covered = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        wrong = [i for i in covered if data[s[i] : e[i]].tobytes() != test.words[number[i] - 1]]
+        if not wrong:
+            break
+        number[wrong] = 0  # another word has the fingerprint of one of the test set's: search without it
+    row = np.searchsorted(first, places, "right") - 1
+    item = np.searchsorted(test.first, test.suffix[tests], "right") - 1
+    return n_words, sorted(zip(row.tolist(), item.tolist(), (test.suffix[tests] - test.first[item]).tolist(), (places - first[row]).tolist(), size.tolist()))
 
 
 def one_pass(docs: DataFrame, test: TestSet, out: list[str]) -> DataFrame:
@@ -160,6 +193,8 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, block_mb: float
     for b in range(blocks):
         test = TestSet([tuple(r) for r in items.where(block == b).collect()], window)
         out = one_pass(out, test, names if b < blocks - 1 else list(columns))
+        if b < blocks - 1:
+            out = cut(out, "matches")  # a plan of several passes would hold a block in a worker for each
     return out
 
 

@@ -405,6 +405,42 @@ def test_decontaminate_blocks(spark):
     assert {r["doc_id"]: {tuple(m) for m in r["matches"]} for r in many.collect()} == {d: {tuple(m) for m in r["matches"]} for d, r in one.items()}
 
 
+def test_decontaminate_repeated_words(spark):
+    """An item of one word repeated, against a long text of it: work doesn't grow with the product of both."""
+    import time
+
+    test, text = decontam.TestSet([(1, "a " * 2000), (2, "b " * 12 + "a " * 9)], 10), "x " + "a " * 20_000 + "b " * 15 + "a " * 9
+    began = time.time()
+    n, found = decontam.search(decontam.pa.array([text, "a " * 9]), test)
+    assert time.time() - began < 20 and list(n) == [20_025, 9]
+    assert {(i, j, p, m) for _, i, j, p, m in found if i == 0} >= {(0, 0, 1, 2000), (0, 0, 18_001, 2000), (0, 1990, 1, 10)}
+    assert sum(i == 0 for _, i, *_ in found) == 19_991 + 1990
+    assert decontam.spans_hit([(p, m) for *_, p, m in found]) == 20_000 + 15 + 9
+
+
+def test_decontaminate_brute():
+    """Longest matches of small alphabets, found again by extending every pair."""
+    r = random.Random(8)
+    items = [(i, " ".join(r.choice("ab c"[: r.randint(1, 4)].split()[0]) if r.random() < 0.3 else r.choice("abc") for _ in range(r.randint(0, 40)))) for i in range(12)]
+    texts = [" ".join(r.choice("abc") if r.random() < 0.9 else "z" for _ in range(r.randint(0, 150))) for _ in range(20)]
+    _, got = decontam.search(decontam.pa.array(texts), decontam.TestSet(items, 4))
+    want = set()
+    for row, text in enumerate(texts):
+        d = text.split()
+        for k, (_, item) in enumerate(items):
+            b = item.split()
+            for j in range(len(b)):
+                for p in range(len(d)):
+                    if (j and p and b[j - 1] == d[p - 1]) or b[j] != d[p]:
+                        continue
+                    n = 0
+                    while j + n < len(b) and p + n < len(d) and b[j + n] == d[p + n]:
+                        n += 1
+                    if n >= min(4, len(b)):
+                        want.add((row, k, j, p, n))
+    assert set(got) == want and len(got) == len(want)
+
+
 def brute_licenses(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(licenses.UPPER))
     places = [(i, label) for phrase, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
