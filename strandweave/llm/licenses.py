@@ -1,19 +1,22 @@
 """License scans: ordered signature rules, gated by keywords, with priority and interval-containment suppression.
 
-Rules are made from a table of licenses (label, name, short name, URL, keyword) times statement forms (SPDX tag, "licensed
-under", file header, URL, name), some hundreds of regexes in priority order. A text is searched for
+Rules are the hand-written signatures of license texts and notices in ``signatures``, and the statement forms (SPDX tag, "licensed
+under", file header, URL, name) of a table of licenses' own patterns, in priority order. A text is searched for
 the keywords first, and only rules of keywords that it has run. Of the detections, one that lies inside another of a
-higher priority (or of the same priority and longer) is suppressed. The base phrases are counted by their words and are never suppressed.
+higher priority (or of the same priority and longer) is suppressed: one sweep over an ordered set of intervals. The base phrases
+are counted by their words and are never suppressed.
 
 One pass over whole texts without a shuffle.
 
 Defined cases: null text has no words; repeated rows give repeated results; empty tables give no rows; other columns are
-ignored.
+ignored; of detections over one interval with one priority the longer label stays, then the first in order; a long text is
+searched whole, in time that grows with its length and n log n of its detections.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ALNUM, LOWER, flat, map_arrow, steps, word_spans
+from .signatures import SIGNATURES
 
 #: Base phrases and labels, as the contract fixes them.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -53,8 +57,8 @@ LICENSES = [
     ("mpl-1.1", r"mpl-1\.1", r"mozilla public licen[sc]e,? (?:version |v)?1\.1", r"mozilla\.org/mpl/1\.1|mozilla\.org/mpl/mpl-1\.1", "mozilla|mpl"),
     ("mpl-2.0", r"mpl-2\.0", r"mozilla public licen[sc]e,? (?:version |v)?2(?:\.0)?", r"mozilla\.org/(?:en-us/)?mpl/2\.0", "mozilla|mpl"),
     ("mpl", r"mpl", r"mozilla public licen[sc]e", r"mozilla\.org/mpl/?(?![0-9m])", "mozilla|mpl"),
-    ("epl-1.0", r"epl-1\.0", r"eclipse public licen[sc]e,? (?:-|version|v)? ?1\.0", r"eclipse\.org/legal/epl-v10", "eclipse|epl-"),
-    ("epl-2.0", r"epl-2\.0", r"eclipse public licen[sc]e,? (?:-|version|v)? ?2\.0", r"eclipse\.org/legal/epl-2\.0", "eclipse|epl-"),
+    ("epl-1.0", r"epl-1\.0", r"eclipse public licen[sc]e,? (?:- ?)?(?:version |v ?)?1\.0", r"eclipse\.org/legal/epl-v10", "eclipse|epl-"),
+    ("epl-2.0", r"epl-2\.0", r"eclipse public licen[sc]e,? (?:- ?)?(?:version |v ?)?2\.0", r"eclipse\.org/legal/epl-2\.0", "eclipse|epl-"),
     ("cddl-1.0", r"cddl-1\.[01]", r"common development and distribution licen[sc]e", r"opensource\.org/licenses/cddl", "cddl|common development"),
     ("cpl-1.0", r"cpl-1\.0", r"common public licen[sc]e", r"opensource\.org/licenses/cpl", "cpl-|common public|licenses/cpl"),
     ("eupl", r"eupl-1\.[012]", r"european union public licen[sc]e", r"joinup\.ec\.europa\.eu/[^\s]*eupl", "eupl|european union public"),
@@ -92,7 +96,7 @@ LICENSES = [
 #: Statement forms: name, priority, pattern with the license's own parts; confidence is priority / 100.
 FORMS = [
     ("tag", 100, r"spdx-license-identifier:\s*(?:{spdx})(?![\w.+-])"),
-    ("under", 90, r"(?:licen[sc]ed|distributed|released|available|published|made available|use) under (?:the )?(?:terms of (?:the )?)?(?:{name})"),
+    ("under", 90, r"(?:licen[sc]ed|distributed|released|available|published|made available|use) under (?:the |an? )?(?:terms of (?:the )?)?(?:{name})"),
     ("url", 85, r"(?:https?://)?(?:www\.)?(?:{url})"),
     ("header", 80, r"licen[sc]e\s*[:=]\s*[\"']?(?:the )?(?:{name}|(?:{spdx})(?![\w.+-]))"),
     ("name", 60, r"(?:{name})"),
@@ -113,10 +117,15 @@ def spaced(pattern: str) -> str:
     return pattern.replace("[- ]", r"(?:-|\s++)").replace(" ?", r"\s*+").replace(" ", r"\s++")
 
 
+def wrapped(pattern: str) -> str:
+    """A signature's space: white space and comment marks, as in a file's header."""
+    return pattern.replace(" ?", r"[\s#*/;>]*+").replace("[- ]", r"(?:-|[\s#*/;>]++)").replace(" ", r"[\s#*/;>]++")
+
+
 @cache
 def rules() -> list[Rule]:
     """In order of priority."""
-    out = []
+    out = [Rule(label, "text", priority, (keywords,), re.compile(wrapped(pattern))) for label, priority, keywords, pattern in SIGNATURES]
     for label, spdx, name, url, keywords in LICENSES:
         for form, priority, pattern in FORMS:
             text = spaced(pattern.format(spdx=spdx, name=name, url=url))
@@ -136,9 +145,16 @@ def suppress(found: list[Detection]) -> list[Detection]:
     """Without detections that lie inside a kept one of a higher priority, or of the same priority and longer (for equal
     intervals the more specific, longer label, then the first in order)."""
     kept: list[Detection] = []
+    starts: list[int] = []  # of kept intervals that lie in no other; their ends ascend, too
+    ends: list[int] = []
     for d in sorted(found, key=lambda d: (-d.priority, d.start - d.end, -len(d.label), d.start, d.label)):
-        if not any(k.start <= d.start and d.end <= k.end for k in kept):
-            kept.append(d)
+        i = bisect_right(starts, d.start)
+        if i and ends[i - 1] >= d.end:
+            continue
+        kept.append(d)
+        low = i - 1 if i and starts[i - 1] == d.start else i
+        high = bisect_right(ends, d.end, lo=low)
+        starts[low:high], ends[low:high] = [d.start], [d.end]
     return sorted(kept)
 
 
@@ -146,13 +162,15 @@ def gated(low: str) -> Iterator[Rule]:
     """Rules that have a keyword in the text, with white space collapsed as patterns let it be any; the others can't match."""
     line = " ".join(low.split())
     has: dict[str, bool] = {}
+
+    def there(word: str) -> bool:
+        if word not in has:
+            has[word] = word in line
+        return has[word]
+
     for r in rules():
-        for k in r.keywords:
-            if k not in has:
-                has[k] = all(w in line for w in k.split("&"))
-            if has[k]:
-                yield r
-                break
+        if any(all(there(w) for w in k.split("&")) for k in r.keywords):
+            yield r
 
 
 def scan(low: str) -> list[Detection]:
