@@ -2,8 +2,8 @@
 ordinary identifiers.
 
 The models are first-order chains over ASCII characters with end marks. They are fitted on labelled samples: values that the
-fixed patterns find (secrets) and the other tokens (ordinary) of about ``sample`` documents, chosen by a hash of
-doc_id, besides generated strings that make the random class independent of what a corpus holds. Transition counts are
+fixed patterns find (secrets) and the other tokens, and identifiers made of the words (ordinary), of about ``sample`` documents,
+chosen by a hash of doc_id, besides generated strings that make the random class independent of what a corpus holds. Transition counts are
 summed by Spark; at most 2 x 96^2 sums reach the driver. A scan is one pass over whole texts without a shuffle.
 
 A token without a digit or without a letter is more often a word or a number, so it needs ``STRONG`` instead of the usual
@@ -76,6 +76,16 @@ def generated(n: int = 3000, seed: int = 5) -> list[str]:
     return ["".join(rng.choices(sets[i % len(sets)], k=rng.randint(16, 64))) for i in range(n)]
 
 
+#: Ways in which words are joined to an identifier.
+STYLES = ("_".join, "-".join, "/".join, lambda w: w[0].lower() + "".join(x.title() for x in w[1:]), lambda w: "_".join(w).upper(), lambda w: "".join(x.title() for x in w), lambda w: "_".join(w) + "_" + str(len(w[0])))
+
+
+def identifiers(text: str) -> list[str]:
+    """Identifiers made of a text's words, four in a row, each in another way."""
+    words = re.findall(r"[A-Za-z]{2,12}", text)
+    return [STYLES[i // 4 % len(STYLES)](words[i : i + 4]) for i in range(0, len(words) - 3, 4)]
+
+
 def fit(docs: DataFrame, sample: int = 2000) -> np.ndarray:
     """Log-likelihood ratio of each transition, secrets against ordinary tokens. sample: documents to learn from, about."""
     n = docs.count()
@@ -89,6 +99,7 @@ def fit(docs: DataFrame, sample: int = 2000) -> np.ndarray:
                 spans = base_spans(text)
                 sums[1] += transitions([text[a:b] if k else ASSIGN.match(text, a, b)[2] for a, k, b in spans])
                 sums[0] += transitions([m.group() for m in re.finditer(r"[A-Za-z0-9+/_=-]{6,}", text) if not any(a < m.end() and m.start() < b for a, _, b in spans)])
+                sums[0] += transitions(identifiers(text))
         at = np.flatnonzero(sums.ravel())
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums.ravel()[at])], ["at", "n"])
 

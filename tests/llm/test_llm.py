@@ -726,6 +726,31 @@ def test_secrets_of_letters(spark):
     assert [t for t in [*plain.split(), "-" * 30, "=" * 20 + "Title" + "=" * 20, "_" * 25] if find(t)] == []
 
 
+def test_secrets_held_out(spark):
+    """Fitted on documents of even numbers, judged on labelled tokens of the odd ones and on strings of another seed: values that the
+    fixed patterns find and random strings are secrets, other long tokens and identifiers are not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ratio = secrets.fit(docs.where("doc_id % 2 = 0"))
+    texts = [r["text"] or "" for r in docs.where("doc_id % 2 = 1").select("text").collect()]
+    good, bad = [t for t in secrets.generated(1000, seed=77) if len(t) >= 20], []
+    for text in texts:
+        base = secrets.base_spans(text)
+        good += [v for a, k, b in base if len(v := text[a:b] if k else secrets.ASSIGN.match(text, a, b)[2]) >= 20]
+        bad += [m.group() for m in secrets.TOKEN.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in base)]
+    r = random.Random(5)
+    names = "user name list item count get set value config server client request response handler factory manager index table column schema test case number page section chapter version update cache file path".split()
+    for _ in range(1000):
+        words = r.choices(names, k=r.randint(4, 7))
+        word = r.choice(["_".join, "-".join, lambda w: w[0] + "".join(x.title() for x in w[1:]), lambda w: "/".join(w), lambda w: "_".join(w).upper()])(words)
+        bad.append(word + r.choice(["", "", "_1", "2", "-v3", "_2024"]))
+    bad = [t for t in bad if len(t) >= 20]
+    found = lambda tokens: sum(bool(secrets.markov_spans(t, ratio, [], 0.4, 12.0)) for t in tokens if secrets.TOKEN.fullmatch(t))
+    good = [t for t in good if secrets.TOKEN.fullmatch(t)]
+    hit, false = found(good), found(bad)
+    print(f"recall {hit / len(good):.3f} of {len(good)}, precision {hit / (hit + false):.3f}, false {false} of {len(bad)}")
+    assert hit >= 0.95 * len(good) and false <= 0.02 * len(bad)
+
+
 def test_pipeline(spark, tmp_path):
     docs, sizes = spark.read.parquet(f"{DATA}/documents.parquet"), []
     for _, stage in corpus_pipeline.STAGES:
