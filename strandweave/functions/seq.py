@@ -66,10 +66,6 @@ def prefix_suffix_key(c: str | Column) -> Column:
     return F.concat(F.substring(prefix_key(c), 1, 16), F.substring(suffix_key(c), 1, 16))
 
 
-def comma_grouped(c: str | Column) -> Column:
-    return F.format_number(of(c), 0)
-
-
 def fragments(reads: DataFrame, k: int, *keys: str, seq: str = "seq") -> DataFrame:
     """keys, frag (number of the run of bases in its record), seq: runs of ACGT of at least k bases."""
     runs = F.regexp_extract_all(F.translate(F.coalesce(F.col(seq), F.lit("")), "acgt", "ACGT"), F.lit("([ACGT]+)"), F.lit(1))
@@ -103,9 +99,22 @@ def windows(frags: DataFrame, k: int, *keys: str, place: bool = False) -> DataFr
     return p.select(*keys, (F.col("start") + F.col("i")).alias("pos"), F.col("kmer").cast("string").alias("kmer"))
 
 
-def minimizer_windows(frags: DataFrame, k: int, m: int, *keys: str) -> DataFrame:
-    """keys, pos, kmer, minimizer (smallest canonical m-mer of the window)."""
+#: Orders of m-mers, of which a window's minimizer is the smallest: by letters, by a hash, or by letters with the first base reversed.
+ORDERS = {
+    "lexicographic": lambda x: x.cast("string"),
+    "hash": lambda x: F.struct(F.xxhash64(x).alias("o"), x.cast("string").alias("m")),
+    "anti-lexicographic": lambda x: F.struct((-F.ascii(x.cast("string"))).alias("o"), x.cast("string").alias("m")),
+}
+
+
+def minimizer_windows(frags: DataFrame, k: int, m: int, *keys: str, order: str = "lexicographic") -> DataFrame:
+    """keys, pos, kmer, minimizer (the smallest canonical m-mer of the window in that order)."""
+    if order not in ORDERS:
+        raise ValueError(f"order must be one of {sorted(ORDERS)}")
     p = _pieces(frags, k, keys)
-    p = p.select(*keys, "start", F.explode(F.array(F.struct(_slices(k).alias("ks"), _slices(m).alias("ms")))).alias("a"))
-    least = F.transform(F.col("a.ks"), lambda x, i: F.struct(x.cast("string").alias("kmer"), F.array_min(F.slice("a.ms", i + 1, k - m + 1)).cast("string").alias("minimizer")))
+    ms = F.transform(_slices(m), ORDERS[order]) if order != "lexicographic" else _slices(m)
+    p = p.select(*keys, "start", F.explode(F.array(F.struct(_slices(k).alias("ks"), ms.alias("ms")))).alias("a"))
+    low = lambda i: F.array_min(F.slice("a.ms", i + 1, k - m + 1))
+    name = (lambda i: low(i).cast("string")) if order == "lexicographic" else (lambda i: low(i)["m"])
+    least = F.transform(F.col("a.ks"), lambda x, i: F.struct(x.cast("string").alias("kmer"), name(i).alias("minimizer")))
     return p.select(*keys, "start", F.posexplode(least).alias("i", "w")).select(*keys, (F.col("start") + F.col("i")).alias("pos"), "w.kmer", "w.minimizer")

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; below a temporary folder only where that is unset."""
+    """A new path below ``spark.checkpoint.dir``; below a temporary folder where that is unset and Spark runs on this machine alone."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
         root = "file://" + tempfile.mkdtemp(prefix="strandweave-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -40,13 +50,30 @@ def release(spark: SparkSession) -> None:
 
 
 def cut_by(df: DataFrame, key: str, name: str = "cut") -> DataFrame:
-    """Like ``cut``, bucketed by ``key``: joins on it read the written side in place, without a shuffle. The catalog entry goes
-    at once, the folder when the driver ends."""
+    """Like ``cut``, bucketed by ``key``: joins on it read the written side in place, without a shuffle. The table and its folder go
+    when the driver ends."""
     spark = df.sparkSession
     path, table = shared_path(spark, name), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table)
     drop_on_exit(spark, path)
-    out = spark.table(table)
-    spark.sql(f"DROP TABLE {table}")
-    return out
+    atexit.register(_drop, spark, table)
+    return spark.table(table)
+
+
+def _drop(spark: SparkSession, table: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone, and an in-memory catalog with it
+        if not spark.sparkContext._jsc.sc().isStopped():
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def made() -> int:
+    """How many paths have been written so far; for ``drop_since``."""
+    return len(_written)
+
+
+def drop_since(spark: SparkSession, start: int, end: int) -> None:
+    """Delete what was written from ``made()`` = start to end, once nothing reads it any more."""
+    for path in _written[start:end]:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)

@@ -1,7 +1,8 @@
 """FASTA / FASTQ files as a DataFrame of records, and file-of-files expansion.
 
-Files are listed and read by Spark (any store it reaches); each is parsed by a small state machine on an executor, with
-gzip, xz and zstd by extension. A record keeps its file, its number in it and its full header line.
+Files are listed by Spark; each is parsed by a small state machine on an executor, with gzip, xz and zstd by extension. Files of
+stores that pyarrow opens are read as streams, so a task holds some records of a file, not the file; those of other
+stores are read whole through Spark. A record keeps its file, its number in it and its full header line.
 """
 
 from __future__ import annotations
@@ -30,9 +31,26 @@ def codec_of(path: str) -> str | None:
     return COMPRESSED.get(path.rpartition(".")[2].lower()) if "." in os.path.basename(path) else None
 
 
-def opened(content: bytes, path: str) -> io.TextIOBase:
+def place(path: str):
+    """A pyarrow filesystem for the path's scheme, and the path in it."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+def streams(paths: list[str]) -> bool:
+    """Whether pyarrow opens all of the paths' stores."""
+    try:
+        return all(place(p) for p in {p.partition("://")[0]: p for p in paths}.values())
+    except (pa.ArrowInvalid, OSError, ValueError):
+        return False
+
+
+def opened(raw, path: str) -> io.TextIOBase:
+    """Lines of a binary stream, decompressed by the path's extension."""
     codec = codec_of(path)
-    raw = io.BytesIO(content)
     if codec == "gzip":
         raw = gzip.GzipFile(fileobj=raw)
     elif codec == "xz":
@@ -72,15 +90,24 @@ def parse(lines: io.TextIOBase) -> Iterator[tuple[str, str]]:
 def read_fastx(spark: SparkSession, paths: list[str], on_invalid: str = "error") -> DataFrame:
     """path, record_idx, header, seq. on_invalid: ``error``, or ``skip`` to leave out files that aren't sequences."""
     ship(spark)
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    if on_invalid not in ("error", "skip"):
+        raise ValueError("on_invalid must be error or skip")
+    stream = streams(paths)
+    files = spark.read.format("binaryFile").load(paths).select("path", *([] if stream else ["content"]))
+
+    def lines(path: str, content) -> io.TextIOBase:
+        if not stream:
+            return opened(io.BytesIO(content.as_py()), path)
+        fs, inside = place(path)
+        return opened(fs.open_input_stream(inside, compression=None), path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["path", "record_idx", "header", "seq"]
         for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1)):
+            for path, content in zip(batch.column(0), batch.column(batch.num_columns - 1)):
                 path, rows, size = path.as_py(), [], 0
                 try:
-                    for i, (header, text) in enumerate(parse(opened(content.as_py(), path))):
+                    for i, (header, text) in enumerate(parse(lines(path, content))):
                         rows.append((path, i, header, text))
                         size += len(text)
                         if size > 8 << 20:
@@ -96,6 +123,27 @@ def read_fastx(spark: SparkSession, paths: list[str], on_invalid: str = "error")
     return files.mapInArrow(run, RECORD)
 
 
+def invalid(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Files that begin neither like FASTA nor like FASTQ, which ``skip`` leaves out: one row for each file, at most."""
+    ship(spark)
+    if not streams(paths):
+        return []
+    files = spark.read.format("binaryFile").load(paths).select("path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = []
+            for path in batch.column(0).to_pylist():
+                fs, inside = place(path)
+                try:
+                    next(parse(opened(fs.open_input_stream(inside, compression=None), path)), None)
+                except InvalidInput:
+                    bad.append(path)
+            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], ["path"])
+
+    return sorted(r["path"] for r in files.mapInArrow(run, "path string").collect())
+
+
 def expand_fofns(paths: list[str]) -> list[str]:
     """Paths that lists name, one a line, in order and with repeats; blank lines and comments are left out, relative ones are
     relative to their list."""

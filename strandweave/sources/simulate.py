@@ -1,0 +1,45 @@
+"""Reads simulated from a genome, for benchmarks at a chosen size: a row for each read, made where it is needed."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+from ..shipping import ship
+
+BASES = np.frombuffer(b"ACGT", np.uint8)
+
+
+def genome(length: int, seed: int = 1) -> str:
+    return BASES[np.random.default_rng(seed).integers(0, 4, length)].tobytes().decode()
+
+
+def one_read(genome: np.ndarray, length: int, errors: int, seed: int, number: int) -> tuple[int, str]:
+    """Start and bases of a read: ``errors`` bases at different places are substituted by other ones."""
+    rng = np.random.default_rng([seed, number])
+    start = int(rng.integers(0, len(genome) - length + 1))
+    bases = genome[start : start + length].copy()
+    at = rng.choice(length, errors, replace=False)
+    bases[at] = (bases[at] + rng.integers(1, 4, errors)) % 4
+    return start, BASES[bases].tobytes().decode()
+
+
+def reads(spark: SparkSession, genome: str, depth: float, length: int = 10_000, error_rate: float = 0.001, seed: int = 2) -> DataFrame:
+    """record_idx, header, seq: genome length * depth / length reads, uniform starts, round(length * error_rate) substitutions in each."""
+    if not 0 < length <= len(genome) or not 0 <= error_rate <= 1:
+        raise ValueError("a read must fit into the genome, and the error rate in 0..1")
+    ship(spark)
+    n, errors = int(len(genome) * depth / length), round(length * error_rate)
+    codes = np.searchsorted(BASES, np.frombuffer(genome.encode(), np.uint8))
+    sent = spark.sparkContext.broadcast(codes.astype(np.uint8))  # the genome, a byte for each base
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in np.array_split(batch.column(0).to_numpy(), -(-batch.num_rows * length // (8 << 20)) or 1):
+                made = [one_read(sent.value, length, errors, seed, int(i)) for i in part]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([f"read_{i} start={a}" for i, (a, _) in zip(part, made)], pa.string()), pa.array([s for _, s in made], pa.string())], ["record_idx", "header", "seq"])
+
+    return spark.range(n).mapInArrow(run, "record_idx long, header string, seq string")

@@ -9,6 +9,7 @@ import gzip
 import lzma
 import os
 import re
+import shutil
 import struct
 from collections.abc import Iterable
 from contextlib import contextmanager
@@ -65,6 +66,23 @@ def write_counts(counts: DataFrame, path: str) -> int:
     return write_records(((f"{KMER_LABEL}_{i} count={r['count']}", r["kmer"]) for i, r in enumerate(rows, 1)), path)
 
 
+def write_kmers(kmers: DataFrame, path: str) -> int:
+    """A record for each row (kmer), in order."""
+    rows = kmers.orderBy("kmer").toLocalIterator()
+    return write_records(((f"{KMER_LABEL}_{i}", r["kmer"]) for i, r in enumerate(rows, 1)), path)
+
+
+def zstd_workers(asked: int, threads: int | None) -> int:
+    """Workers of the zstd encoder: as asked, else one for each thread, 16 at most."""
+    return asked if asked > 0 else min(threads, 16) if threads and threads > 1 else 0
+
+
+def copy(source: str, path: str, workers: int = 0) -> None:
+    """An existing file through the codec of the output's extension."""
+    with open(source, "rb") as f, output(path, workers) as out:
+        shutil.copyfileobj(f, out, 1 << 20)
+
+
 def write_segments(segments: DataFrame, path: str) -> int:
     """Records (header, seq) in order of their place columns."""
     order = [c for c in ("path", "record_idx", "frag", "start") if c in segments.columns]

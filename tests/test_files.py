@@ -78,13 +78,125 @@ def test_pipeline(spark, tmp_path):
     assert (s.scanned, s.filtered, s.not_filtered, s.nucleotides) == (3, 1, 2, 4)
     assert (tmp_path / "o.fa").read_text() == ">query\nAATG\n"
     s = tools.pipeline(spark, [index], [query], 3, threshold=0, mode="no-output")[0]
-    assert s.lines()[0] == "STAT query_kmers_scanned=3" and s.nucleotides is None
+    assert s.lines()[0] == "STAT\tquery_kmers_scanned\t3" and s.nucleotides is None
     tools.pipeline(spark, [index], [query], 3, threshold=0, suffix="left", reform_output=True)
     assert (tmp_path / "q.left.fa").read_text().startswith(">A\n")
     with pytest.raises(ValueError):
         tools.pipeline(spark, [index], [query], 4)
 
 
+def test_statistics(spark, tmp_path, capsys):
+    index, query = put(tmp_path / "i.fa", ">i\nAAACG\n"), put(tmp_path / "q.fa.gz", ">query\nAAATGAAATG\n")
+    bad = put(tmp_path / "bad.fa", "hello")
+    one = tools.pipeline(spark, [index, bad], [query], 3, threshold=0, output=str(tmp_path / "o.fa"), mode="regular")[0]
+    assert one.lines()[3] == "STAT\tquery_regular_output_nucleotides\t10"
+    two = tools.pipeline(spark, [index], [query], 3, threshold=0, output=str(tmp_path / "s.fa"))[0]
+    assert two.unique == 4 and two.lines()[3] == "STAT\tquery_unique_kmers_not_filtered_by_zi\t4" and tools.QueryStats(1234567).lines()[0].endswith("\t1,234,567")
+    said = capsys.readouterr().err.splitlines()
+    assert any(x.startswith("WARN\tskipped_invalid_fastx_input\tpath\t") and "bad.fa" in x for x in said)
+    assert f"OUTPUT\t{query}\t{tmp_path / 'o.fa'}" in said and any(x.startswith("phase1 kmer count ") and x.endswith("MB RAM") for x in said)
+    (tmp_path / "list").write_text("i.fa\n")
+    assert tools.pipeline(spark, [str(tmp_path / "list")], [query], 3, threshold=1, mode="no-output", index_fofn=True)[0].filtered == 0
+    assert "index_fofn_threshold_excludes_all_kmers" in capsys.readouterr().err
+    with pytest.raises(ValueError, match="k must be in 1..32"):
+        tools.pipeline(spark, [str(tmp_path / "list")], [query], 33, mode="no-output", index_fofn=True)
+    with pytest.raises(ValueError, match="threshold"):
+        tools.pipeline(spark, [index], [query], 3, threshold=255, mode="no-output")
+    with pytest.raises(ValueError, match="m must be"):
+        tools.counter(spark, [index], 3, str(tmp_path / "x.fa"), m=0)
+    assert [tools.phase_name(x) for x in ("2_kmer_counting", "1a_other", "total", "odd_name")] == ["phase2 kmer count", "phase1a other", "total", "odd_name"]
+
+
+def kff_counts(path, k, size):
+    """Counts behind the packed k-mers of the file's section."""
+    data, width = path.read_bytes(), -(-k // 4) + size
+    body = data[:-3]
+    for n in range(1, 100):
+        at = len(body) - n * width - 9
+        if body[at : at + 1] == b"r" and struct.unpack(">Q", body[at + 1 : at + 9])[0] == n:
+            return [int.from_bytes(body[at + 9 + i * width + width - size : at + 9 + (i + 1) * width], "big") for i in range(n)]
+
+
+def test_kff_sizes(spark, tmp_path):
+    """Eight bytes above k = 32, four for datasets, as asked below."""
+    seq = "ACGTTGCAAGGCTTAACCGGATCGATTTACGGCAT"
+    p = put(tmp_path / "a.fa", f">a\n{seq}\n>b\n{seq}\n")
+    tools.counter(spark, [p], 33, str(tmp_path / "o.kff"), threshold=0, fmt="kff")
+    assert kff_counts(tmp_path / "o.kff", 33, 8) == [2, 2, 2]
+    (tmp_path / "list").write_text("a.fa\na.fa\na.fa\n")
+    tools.counter(spark, [str(tmp_path / "list")], 31, str(tmp_path / "d.kff"), threshold=2, fmt="kff", fofn=True)
+    assert kff_counts(tmp_path / "d.kff", 31, 4) == [3] * 5
+    rows = spark.createDataFrame([("AAC", 7), ("AAA", 300)], "kmer string, count long")
+    assert sinks.write_kff(rows, str(tmp_path / "l.kff"), 3, data_size=8, ordered=True) == 2 and kff_counts(tmp_path / "l.kff", 3, 8) == [300, 7]
+
+
+def test_kmer_outputs(spark, tmp_path):
+    p = put(tmp_path / "a.fa", ">a\nAAACGAAA\n")
+    assert tools.counter(spark, [p], 3, str(tmp_path / "c.fa"), threshold=1, fmt="counts") == 1
+    assert (tmp_path / "c.fa").read_text() == ">MC_kmer_1 count=2\nAAA\n"
+    index = put(tmp_path / "i.fa", ">i\nACG\n")
+    assert tools.subtractor(spark, index, [p], 3, str(tmp_path / "d.fa"), kmers="distinct") == 4
+    assert tools.subtractor(spark, index, [p], 3, str(tmp_path / "e.fa"), kmers="all") == 5
+    assert tools.counter(spark, [p], 3, str(tmp_path / "m.fa"), threshold=0, compaction="minimizer") >= 1
+
+
+@pytest.mark.parametrize("name", ["o.fa", "o.fa.gz", "o.fa.xz", "o.fa.zst"])
+def test_writers(spark, tmp_path, name):
+    sinks.write_records([("a", "ACGT" * 30)], str(tmp_path / name), zstd_workers=2)
+    back = fastx.read_fastx(spark, [str(tmp_path / name)]).first()
+    assert (back["header"], back["seq"]) == ("a", "ACGT" * 30)
+    sinks.copy(str(tmp_path / "o.fa") if name == "o.fa" else put(tmp_path / "in.fa", ">x\nAC\n"), str(tmp_path / ("copy-" + name)))
+    assert fastx.read_fastx(spark, [str(tmp_path / ("copy-" + name))]).count() == 1
+
+
+def test_output_errors(tmp_path):
+    a, b = str(tmp_path / "x" / "q.fa"), str(tmp_path / "y" / "q.fa")
+    assert sinks.plan_outputs([a], str(tmp_path / "out")) == [str(tmp_path / "out" / "q.filtered.fa")]
+    with pytest.raises(ValueError, match="one output"):
+        sinks.plan_outputs([a, b], str(tmp_path / "out"))
+    (tmp_path / "file").write_text("")
+    with pytest.raises(ValueError, match="no directory"):
+        sinks.plan_outputs([a], str(tmp_path / "file"))
+    with pytest.raises(ValueError, match="is an input"):
+        sinks.plan_outputs([a, str(tmp_path / "x" / "q.filtered.fa")], None)
+    assert [sinks.zstd_workers(*x) for x in ((3, 8), (0, 8), (0, 40), (0, 1), (0, None))] == [3, 8, 16, 0, 0]
+
+
+def test_large_file_streams(spark, tmp_path):
+    """Records of one file come in several batches; its content is no column."""
+    p = put(tmp_path / "big.fa.gz", "".join(f">r{i}\n{'ACGT' * 50_000}\n" for i in range(60)))
+    reads = fastx.read_fastx(spark, [p])
+    assert "content" not in reads._jdf.queryExecution().executedPlan().toString()
+    assert reads.where("length(seq) = 200000").count() == 60
+
+
+def test_minimizer_orders(spark):
+    from strandweave.functions import seq
+
+    frags = spark.createDataFrame([(0, "ACGTTGCAAGGCTTAACC")], "frag int, seq string")
+    best = {"lexicographic": lambda x: x, "anti-lexicographic": lambda x: (-ord(x[0]), x)}
+    for order, key in best.items():
+        for r in seq.minimizer_windows(frags, 7, 3, order=order).collect():
+            mers = [min(m, m.translate(str.maketrans("ACGT", "TGCA"))[::-1]) for m in (r["kmer"][i : i + 3] for i in range(5))]
+            assert r["minimizer"] == min(mers, key=key)
+    hashed = {(r["kmer"], r["minimizer"]) for r in seq.minimizer_windows(frags, 7, 3, order="hash").collect()}
+    assert len({k for k, _ in hashed}) == len(hashed)
+    with pytest.raises(ValueError):
+        seq.minimizer_windows(frags, 7, 3, order="other")
+
+
+def test_simulated_reads(spark):
+    from strandweave.sources import simulate
+
+    genome = simulate.genome(2000)
+    rows = simulate.reads(spark, genome, 5, 100, 0.02).collect()
+    assert len(rows) == 100 and len({r["header"] for r in rows}) == 100
+    for r in rows:
+        start = int(r["header"].partition("start=")[2])
+        assert sum(a != b for a, b in zip(r["seq"], genome[start : start + 100], strict=True)) == 2
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, simulate.reads(spark, genome, 5, 100, 0.02).repartition(3).collect()))
+
+
 def test_entry():
     import __spark_entry__ as entry
 
