@@ -8,7 +8,8 @@ base rules, or if its host's shrunk rate is above ``host_rate``.
 Only the measures (no text) are written and aggregated; partial sums make a hot host one row per task.
 
 Defined cases: null text has no words (and fails the base rules); null host is a host; equal rows count each;
-empty tables give no rows; other columns are ignored.
+empty tables give no rows; other columns are ignored; a text is measured whole in its row: arrays of its words, of a hash and a
+place for each, and of the words of those windows that repeat.
 """
 
 from __future__ import annotations
@@ -29,19 +30,18 @@ def windows(words: str) -> Column:
     return F.arrays_zip(*[F.slice(words, k + 1, n).alias(c) for k, c in enumerate("abcde")])
 
 
-def sorted_windows(words: str) -> Column:
-    """Windows of words (joined by a space, which no word holds) with their places, sorted."""
-    return F.sort_array(F.transform(windows(words), lambda x, i: F.struct(F.concat_ws(" ", *[x[c] for c in "abcde"]).alias("w"), i.alias("i"))))
+def twice(pairs: Column) -> Column:
+    """Places, ascending, of the pairs (w, i), sorted, whose w is that of a neighbour."""
+    blank = F.array(F.struct(F.lit(None).alias("w"), F.lit(-1).alias("i")))
+    before = F.concat(blank, F.slice(pairs, F.lit(1), F.size(pairs) - 1))
+    after = F.concat(F.slice(pairs, F.lit(2), F.size(pairs) - 1), blank)
+    equal = lambda a, b: F.coalesce(a["w"] == b["w"], F.lit(False))
+    marked = F.zip_with(F.zip_with(pairs, before, lambda a, b: F.struct(a["i"].alias("i"), a["w"].alias("w"), equal(a, b).alias("m"))), after, lambda a, b: F.struct(a["i"].alias("i"), (a["m"] | equal(a, b)).alias("m")))
+    return F.sort_array(F.transform(F.filter(marked, lambda x: x["m"]), lambda x: x["i"]))
 
 
-def repeated(wins: str) -> Column:
-    """Words in windows that are found twice or more, of the sorted windows: those equal to a neighbour, and the length of the
-    union of their [place, place + 5)."""
-    blank = F.array(F.struct(F.lit(None).cast("string").alias("w"), F.lit(-1).alias("i")))
-    before = F.concat(blank, F.slice(wins, F.lit(1), F.size(wins) - 1))
-    after = F.concat(F.slice(wins, F.lit(2), F.size(wins) - 1), blank)
-    marked = F.zip_with(F.zip_with(wins, before, lambda a, b: F.struct(a["i"].alias("i"), a["w"].alias("w"), F.coalesce(a["w"] == b["w"], F.lit(False)).alias("m"))), after, lambda a, b: F.struct(a["i"].alias("i"), (a["m"] | F.coalesce(a["w"] == b["w"], F.lit(False))).alias("m")))
-    places = F.sort_array(F.transform(F.filter(marked, lambda x: x["m"]), lambda x: x["i"]))
+def union(places: Column) -> Column:
+    """Words in the union of [place, place + 5)."""
     start = F.struct(F.lit(0).alias("sum"), F.lit(-WINDOW).alias("end"))
     return F.aggregate(places, start, lambda s, i: F.struct((s["sum"] + F.least(F.lit(WINDOW), i + WINDOW - s["end"])).alias("sum"), (i + WINDOW).alias("end")), lambda s: s["sum"])
 
@@ -50,7 +50,7 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
 
     Arrays are made in layers of projections, so that none is evaluated for each element of another. Windows of word hashes
-    tell texts in which no window repeats (equal windows have equal hashes); only other texts have their windows of words sorted."""
+    tell places whose window may repeat (equal windows have equal hashes); only the windows there are made of words and sorted."""
     text = F.coalesce("text", F.lit(""))
     words = F.filter(F.split(text, SPACE), lambda x: x != "")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -65,8 +65,13 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
     names = ["doc_id", "host", "n_symbols", *counts]
     out = out.select(*names, "words", F.transform(windows("hashes"), lambda x: F.xxhash64(x)).alias("hashes"))
     distinct = F.size(F.array_distinct("hashes")) == F.size("hashes")
-    out = out.select(*names, F.when(~distinct, sorted_windows("words")).alias("wins"))
-    return out.select(*names, F.coalesce(repeated("wins"), F.lit(0)).cast("long").alias("n_repeat_words"))
+    placed = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("w"), i.alias("i"))))
+    out = out.select(*names, "words", F.when(~distinct, placed).alias("placed"))
+    out = out.select(*names, "words", twice(F.col("placed")).alias("places"))
+    window = lambda i: F.struct(F.array_join(F.slice("words", i + 1, WINDOW), " ").alias("w"), i.alias("i"))
+    out = out.select(*names, F.sort_array(F.transform("places", window)).alias("wins"))
+    out = out.select(*names, twice(F.col("wins")).alias("places"))
+    return out.select(*names, F.coalesce(union(F.col("places")), F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 #: Rules of the method: name, SQL for a failure. The first two are the base rules.
