@@ -129,8 +129,9 @@ def train_rows(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 != 2, F.lit(True))
 
 
-def fit(docs: DataFrame, per_lang: int = 400, clusters: int = 4, quantile: float = 0.005, slack: float = 0.7, max_langs: int = 1000) -> Centroids:
-    """per_lang: documents of each language in the sample, about; clusters: centroids of each language. A document is rejected if
+def fit(docs: DataFrame, per_lang: int = 400, clusters: int = 4, quantile: float = 0.005, slack: float = 0.7, max_langs: int = 1000, sample: int = 20_000) -> Centroids:
+    """per_lang: documents of each language in the sample, about, and sample: of all languages (the driver holds 8 KB for
+    each); clusters: centroids of each language. A document is rejected if
     its cosine is below slack times this quantile of held-aside documents of its language and length: each half of the
     sample is held against centroids of the other half."""
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -138,6 +139,7 @@ def fit(docs: DataFrame, per_lang: int = 400, clusters: int = 4, quantile: float
     if len(seen) > max_langs:
         raise ValueError(f"more than max_langs = {max_langs} languages")
     seen = {r["lang"]: r["count"] for r in seen}
+    per_lang = min(per_lang, sample / max(len(seen), 1))
     share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, per_lang / n))) for x, n in sorted(seen.items())], F.lit(0.0))
     hashed = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
 
@@ -182,12 +184,14 @@ def fit(docs: DataFrame, per_lang: int = 400, clusters: int = 4, quantile: float
 def predict(docs: DataFrame, model: Centroids, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """columns, lang_pred (nearest centroid's language; ``und`` for a text without letters), score (cosine), rejected. What is
     asked for passes through, so that a filter on the verdict needs no join with the texts."""
-    langs, least = np.array(model.langs, object), model.least
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # clusters x FEATURES floats for each of max_langs languages at most
     docs = docs.select(*dict.fromkeys([*columns, "text"]))
     at, n = docs.columns.index("text"), len(columns)
     names = [*columns, "lang_pred", "score", "rejected"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        langs, least = np.array(model.langs, object), model.least
         for batch in batches:
             data, offsets = flat(batch.column(at))
             pred, score, bad = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows), np.ones(batch.num_rows, bool)

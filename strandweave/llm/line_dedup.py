@@ -117,7 +117,7 @@ def kept_text(text: str | None, drops: bytes | None) -> tuple[str, int, int]:
 
 
 def dedup(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """doc_id, kept (text without dropped lines), n_lines, n_dropped, all_gone (no line is left)."""
+    """doc_id, kept (text without dropped lines), n_lines, n_dropped."""
     maps = bitmaps(docs, min_chars)
     both = docs.select("doc_id", "text").join(maps, F.col("doc_id") == F.col("b_doc"), "left").select("doc_id", "text", "drops")
 

@@ -10,7 +10,7 @@
    still in several components get a second star, whose centre is the member with most links so far; those that
    still are in several are compared inside, in blocks of at most about ``BLOCK`` members and ``BLOCK_BYTES`` of text, until their components meet or
    every pair across them has been tried; only confirmed links leave a block.
-5. Components by large-star / small-star contraction of the links.
+5. Components of the links: partitions contract their own first, then one task or large-star / small-star rounds do.
 
 No cap on bucket sizes, partners or candidates. A pair of larger sets at the threshold shares no band with
 probability (1 - 0.75^4)^32 = 5e-6.
@@ -36,8 +36,8 @@ from .common import LOWER, NOT_SPACE, Hasher, chain, cut, flat, map_arrow, mix,
 BINS, ROWS, SMALL, BLOCK = 128, 4, 64, 1024
 BANDS = BINS // ROWS
 PROBES = 4096
-#: Bytes of ids that are broadcast at most.
-SENT = 64 << 20
+#: Ids that are broadcast at most (some 40 bytes each where they are looked up).
+SENT = 1 << 20
 #: Text bytes of a block, about: a task holds two.
 BLOCK_BYTES = 24 << 20
 _U = np.uint64
@@ -198,8 +198,8 @@ def inside_blocks(size: int, percent: int):
 
 
 def with_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of texts whose id is in ids. Ids of at most ``SENT`` bytes in all go to the texts; more are shuffled with them."""
-    return texts.join(F.broadcast(ids) if ids.count() * 8 <= SENT else ids, "id", "left_semi")
+    """Rows of texts whose id is in ids. At most ``SENT`` ids go to the texts; more are shuffled with them."""
+    return texts.join(F.broadcast(ids) if ids.count() <= SENT else ids, "id", "left_semi")
 
 
 def mixed_buckets(rows: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
