@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -158,19 +159,22 @@ def suppress(found: list[Detection]) -> list[Detection]:
     return sorted(kept)
 
 
-def gated(low: str) -> Iterator[Rule]:
-    """Rules that have a keyword in the text, with white space collapsed as patterns let it be any; the others can't match."""
-    line = " ".join(low.split())
-    has: dict[str, bool] = {}
+@cache
+def gates() -> tuple[ahocorasick.Automaton, list[tuple[Rule, list[frozenset[str]]]]]:
+    """An automaton of all keywords' words, and for each rule the sets of words of which one must be there."""
+    sets = [(r, [frozenset(k.split("&")) for k in r.keywords]) for r in rules()]
+    words = ahocorasick.Automaton()
+    for w in {w for _, ks in sets for k in ks for w in k}:
+        words.add_word(w, w)
+    words.make_automaton()
+    return words, sets
 
-    def there(word: str) -> bool:
-        if word not in has:
-            has[word] = word in line
-        return has[word]
 
-    for r in rules():
-        if any(all(there(w) for w in k.split("&")) for k in r.keywords):
-            yield r
+def gated(low: str) -> Iterator[Rule]:
+    """Rules that have a keyword in the text, with white space collapsed as patterns let it be any; the others can't match."""
+    words, sets = gates()
+    has = {w for _, w in words.iter(" ".join(low.split()))}
+    return (r for r, ks in sets if has and any(k <= has for k in ks))
 
 
 def scan(low: str) -> list[Detection]:
