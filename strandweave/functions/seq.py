@@ -107,14 +107,28 @@ ORDERS = {
 }
 
 
-def minimizer_windows(frags: DataFrame, k: int, m: int, *keys: str, order: str = "lexicographic") -> DataFrame:
-    """keys, pos, kmer, minimizer (the smallest canonical m-mer of the window in that order)."""
+def _smallest(k: int, m: int, order: str):
+    """Canonical m-mers of a piece as that order compares them, and the minimizer of window i of such an array (a.ms)."""
     if order not in ORDERS:
         raise ValueError(f"order must be one of {sorted(ORDERS)}")
+    low = lambda i: F.array_min(F.slice("a.ms", i + 1, k - m + 1))
+    if order == "lexicographic":
+        return _slices(m), lambda i: low(i).cast("string")
+    return F.transform(_slices(m), ORDERS[order]), lambda i: low(i)["m"]
+
+
+def minimizer_windows(frags: DataFrame, k: int, m: int, *keys: str, order: str = "lexicographic") -> DataFrame:
+    """keys, pos, kmer, minimizer (the smallest canonical m-mer of the window in that order)."""
+    ms, name = _smallest(k, m, order)
     p = _pieces(frags, k, keys)
-    ms = F.transform(_slices(m), ORDERS[order]) if order != "lexicographic" else _slices(m)
     p = p.select(*keys, "start", F.explode(F.array(F.struct(_slices(k).alias("ks"), ms.alias("ms")))).alias("a"))
-    low = lambda i: F.array_min(F.slice("a.ms", i + 1, k - m + 1))
-    name = (lambda i: low(i).cast("string")) if order == "lexicographic" else (lambda i: low(i)["m"])
     least = F.transform(F.col("a.ks"), lambda x, i: F.struct(x.cast("string").alias("kmer"), name(i).alias("minimizer")))
     return p.select(*keys, "start", F.posexplode(least).alias("i", "w")).select(*keys, (F.col("start") + F.col("i")).alias("pos"), "w.kmer", "w.minimizer")
+
+
+def minimizer_pieces(frags: DataFrame, k: int, m: int, *keys: str, order: str = "lexicographic") -> DataFrame:
+    """keys, start, mins: for each piece the minimizers of its windows, in their order."""
+    ms, name = _smallest(k, m, order)
+    p = _pieces(frags, k, keys).select(*keys, "start", F.explode(F.array(F.struct(ms.alias("ms")))).alias("a"))
+    mins = F.transform(F.sequence(F.lit(0), F.size("a.ms") - (k - m + 1)), name)
+    return p.select(*keys, "start", F.explode(F.array(mins)).alias("mins"))

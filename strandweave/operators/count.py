@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq
+from .runs import join_runs
 
 
 @dataclass(frozen=True)
@@ -76,9 +77,19 @@ def prefiltered_counts(reads: DataFrame, k: int, m: int, threshold: int, col: st
 
 
 def superkmers(reads: DataFrame, k: int, m: int, record: str = "record_idx", col: str = "seq") -> DataFrame:
-    """record, frag, start, windows, minimizer of maximal runs of windows with one minimizer; runs tile a fragment."""
-    w = seq.minimizer_windows(seq.fragments(reads, k, record, seq=col), k, m, record, "frag").select(record, "frag", "pos", "minimizer")
-    order = Window.partitionBy(record, "frag").orderBy("pos")
-    w = w.withColumn("new", F.coalesce((F.col("minimizer") != F.lag("minimizer").over(order)).cast("int"), F.lit(1)))
-    w = w.withColumn("run", F.sum("new").over(order))
-    return w.groupBy(record, "frag", "run").agg(F.min("pos").alias("start"), F.count("*").alias("windows"), F.first("minimizer").alias("minimizer")).drop("run")
+    """record, frag, start, windows, minimizer of maximal runs of windows with one minimizer; runs tile a fragment.
+
+    Runs are found inside each piece; only those at the edges of pieces of longer fragments are shuffled."""
+    p = seq.minimizer_pieces(seq.fragments(reads, k, record, seq=col), k, m, record, "frag")
+    size = F.size("mins")
+    changes = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get("mins", i) != F.get("mins", i - 1)))
+    p = p.select(record, "frag", F.col("start").alias("piece"), "mins", F.explode(F.array(changes)).alias("firsts"))
+    one_piece = (F.col("piece") == 0) & (size < seq.PIECE)
+
+    def run(first, i):
+        windows = F.coalesce(F.get("firsts", i + 1), size) - first
+        edge = ~one_piece & ((i == 0) | (i == F.size("firsts") - 1))
+        return F.struct((F.col("piece") + first).alias("start"), windows.alias("windows"), F.get("mins", first).alias("minimizer"), edge.alias("edge"))
+
+    runs = p.select(record, "frag", F.explode(F.transform("firsts", run)).alias("r")).select(record, "frag", "r.*")
+    return join_runs(runs, [record, "frag"], "minimizer")

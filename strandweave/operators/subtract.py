@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seq
 from ..lineage import cut
+from .runs import join_runs
 
 
 @dataclass(frozen=True)
@@ -64,12 +65,17 @@ def stats(reads: DataFrame, index: DataFrame | Index, k: int, *keys: str, col: s
 def segments(reads: DataFrame, index: DataFrame | Index, k: int, record: str = "record_idx", col: str = "seq") -> DataFrame:
     """record, frag, start, seq: what remains of each fragment, for each maximal run of windows that the index lacks.
 
-    Windows travel without their sequence; runs are cut from the fragments afterwards."""
-    w = marked(reads, index, k, record, "frag", place=True, col=col).where("not hit").select(record, "frag", "pos")
-    nth = F.row_number().over(Window.partitionBy(record, "frag").orderBy("pos"))
-    runs = w.withColumn("island", F.col("pos") - nth).groupBy(record, "frag", "island").agg(F.min("pos").alias("start"), F.max("pos").alias("last")).drop("island")
+    Windows travel without their sequence, and are dealt by block of a fragment, so that a long one isn't one task's; runs
+    are cut from the fragments afterwards."""
+    block = F.floor(F.col("pos") / seq.PIECE).alias("block")
+    w = marked(reads, index, k, record, "frag", place=True, col=col).where("not hit").select(record, "frag", "pos", block)
+    nth = F.row_number().over(Window.partitionBy(record, "frag", "block").orderBy("pos"))
+    runs = w.withColumn("island", F.col("pos") - nth).groupBy(record, "frag", "block", "island").agg(F.min("pos").alias("start"), F.count("*").alias("windows"))
+    edge = (F.col("start") % seq.PIECE == 0) & (F.col("start") > 0) | ((F.col("start") + F.col("windows")) % seq.PIECE == 0)
+    runs = join_runs(runs.withColumn("edge", edge), [record, "frag"])
+    length = (F.col("windows") + k - 1).cast("int")
     frags = seq.fragments(reads, k, record, seq=col)
-    return runs.join(frags, [record, "frag"]).select(record, "frag", "start", F.substring("seq", F.col("start") + 1, F.col("last") - F.col("start") + k).alias("seq"))
+    return runs.join(frags, [record, "frag"]).select(record, "frag", "start", F.substring("seq", F.col("start") + 1, length).alias("seq"))
 
 
 def nucleotides(segs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Golden vectors of counting, presence, subtraction, compaction and reforming."""
 
+import itertools
 import random
 
 import pytest
@@ -13,6 +14,19 @@ def reads(spark, *texts, start=0):
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts, start)], "record_idx long, seq string")
 
 
+def rc(s):
+    return s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+def grouped(values):
+    """(value, start, length) of each run of equal values."""
+    at = 0
+    for value, run in itertools.groupby(values):
+        n = len(list(run))
+        yield value, at, n
+        at += n
+
+
 def counts(spark, k, *texts, x=0):
     return {r["kmer"]: r["count"] for r in count.count_kmers(reads(spark, *texts), k, x).collect()}
 
@@ -81,6 +95,32 @@ def test_superkmers_tile(spark):
         assert end == frags[key] - 8
 
 
+@pytest.mark.parametrize("piece", [4, 32, 4096])
+def test_runs_across_pieces(spark, monkeypatch, piece):
+    """Runs longer than a piece, ending at its edge, or of one window, are what a walk over the fragment finds."""
+    monkeypatch.setattr(seq, "PIECE", piece)
+    k, m, r = 7, 3, random.Random(piece)
+    texts = ["A" * 90, "AC" * 40 + "N" + "G" * 13, "".join(r.choices("ACGTN", [9, 9, 9, 9, 1], k=300)), "ACGTACG", "TTTTTTTTGATTACA" * 6, "", "ACG"]
+    texts += ["".join(r.choices("ACGT", k=k - 1 + piece * n)) for n in (1, 2) if piece < 100]
+    known = {min(x, rc(x)) for t in texts[2:3] + texts[4:5] for x in (t[i : i + k] for i in range(0, len(t) - k + 1, 3)) if "N" not in x}
+    runs, segs = set(), set()
+    for rec, text in enumerate(texts):
+        for frag, part in enumerate(x for x in text.split("N") if x):
+            windows = [part[i : i + k] for i in range(len(part) - k + 1)]
+            mins = [min(min(w[j : j + m], rc(w[j : j + m])) for j in range(k - m + 1)) for w in windows]
+            for value, start, n in grouped(mins):
+                runs.add((rec, frag, start, n, value))
+            for hit, start, n in grouped([min(w, rc(w)) in known for w in windows]):
+                if not hit:
+                    segs.add((rec, frag, start, part[start : start + n + k - 1]))
+    df = reads(spark, *texts)
+    got = [tuple(x) for x in count.superkmers(df, k, m).collect()]
+    assert len(got) == len(runs) and set(got) == runs
+    index = spark.createDataFrame([(x,) for x in sorted(known)], "kmer string")
+    got = [tuple(x) for x in subtract.segments(df, index, k).collect()]
+    assert len(got) == len(segs) and set(got) == segs
+
+
 def test_subtract(spark):
     index = count.distinct_kmers(reads(spark, "AAACG"), 3)
     assert {r["kmer"] for r in subtract.subtract_distinct(reads(spark, "AAATG"), index, 3).collect()} == {"AAT", "ATG"}
