@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, line_dedup, mixing, near_dup, quality, secrets, suffix_dedup, warc
+from . import classifier, decontam, divergence, langid, licenses, line_dedup, mixing, near_dup, quality, secrets, suffix_dedup, warc
 from .common import map_arrow, table
 
 
@@ -72,8 +72,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents")).drop("n_markov")
 
 
+def op11_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix, op2_suffix_dedup, op3_language_id, op4_warc, op5_decontaminate, op6_licenses, op7_near_dedup, op8_line_dedup, op9_quality, op10_secrets)
+    f.__name__: f for f in (op1_mix, op2_suffix_dedup, op3_language_id, op4_warc, op5_decontaminate, op6_licenses, op7_near_dedup, op8_line_dedup, op9_quality, op10_secrets, op11_quality_score, op12_source_divergence)
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -134,4 +142,17 @@ q AS (SELECT avg(bad / docs) AS mu, var_pop(bad / docs) AS var, avg(1 / docs) AS
 z AS (SELECT mu, greatest(1, least(10000, mu * (1 - mu) / greatest(var - mu * (1 - mu) * per_doc, 1e-6) - 1)) AS strength FROM q),
 o AS (SELECT source, (bad + mu * strength) / (docs + strength) > 0.5 AS host_bad FROM h, z)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_bad AS kept FROM j JOIN o ON j.source IS NOT DISTINCT FROM o.source""",
+    "op12_source_divergence": f"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{_UP}', '{_LOW}') AS text FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT id, lang, source, unnest(list_filter(regexp_split_to_array(text, '[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS m FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY lang, source, term),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.m, count(*) OVER s AS v, sum(coalesce(c.n, 0)) OVER s AS total, sum(k.m) OVER s AS lang_total
+  FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term WINDOW s AS (PARTITION BY g.lang, g.source)),
+p AS (SELECT lang, source, term, n, (1 + 1000000000::HUGEINT * (n + 5) // (total + 5 * v))::BIGINT AS p, (1 + 1000000000::HUGEINT * (m + 5) // (lang_total + 5 * v))::BIGINT AS q FROM f),
+l AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(l.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN l ON l.lang = a.lang AND l.source = a.source AND l.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r) WHERE part = 'pair' OR rank <= 50""",
 }
