@@ -77,7 +77,7 @@ def frequency(n: str, total: str, kept: str):
 
 
 def _dense(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One tile: rows of groups (p is the base) and of postings (term); pairs of a group of its left and one of its right block."""
+    """One tile: rows of groups (p the base, terms how many the slice has) and of postings (term); pairs of a group of its left and one of its right block."""
     lang, left = pdf["lang"].iloc[0], pdf["left"].iloc[0] == pdf["right"].iloc[0]
     is_group = pdf["term"].isna()
     groups = pdf[is_group].sort_values("source")
@@ -87,12 +87,13 @@ def _dense(pdf: pd.DataFrame) -> pd.DataFrame:
     terms, column = np.unique(held["term"].to_numpy(object), return_inverse=True)
     p = np.repeat(groups["p"].to_numpy(np.int64)[:, None], len(terms), axis=1)
     p[held["source"].map(at).to_numpy(), column] = held["p"].to_numpy(np.int64)
+    base, absent = groups["p"].to_numpy(np.int64), int(groups["terms"].iloc[0]) - len(terms)  # terms of the slice that no group of the tile holds
     xs = np.flatnonzero(side == pdf["left"].iloc[0])
     ys = xs if left else np.flatnonzero(side == pdf["right"].iloc[0])
     out = []
     for x in xs:
         other = ys[ys > x] if left else ys
-        value = np.abs(p[other] - p[x]).sum(axis=1)
+        value = np.abs(p[other] - p[x]).sum(axis=1) + absent * np.abs(base[other] - base[x])
         out.append(pd.DataFrame({"x": names[x], "y": names[other], "value": value}))
     table = pd.concat(out) if out else pd.DataFrame({"x": [], "y": [], "value": []})
     return table.assign(lang=lang)[["lang", "x", "y", "value"]]
@@ -186,9 +187,12 @@ def divergence(docs: DataFrame, min_docs: int = 30, light: int = 8, top: int = 5
     found = cut(found.join(known, ["lang", "source"]).select("lang", "source", "term", "groups", "base", "block", p, q), "frequencies")
 
     # heavy terms
-    slices = kept.where(F.col("groups") > light).groupBy("lang").agg(F.ceil(F.count("*") / TERMS).cast("int").alias("slices"))
-    heavy = found.where(F.col("groups") > light).join(slices, "lang").select("lang", "source", "block", F.pmod(F.xxhash64("term"), F.col("slices")).cast("int").alias("slice"), "term", "p")
-    bases = groups.join(slices, "lang").select("lang", "source", "block", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(None).cast("string").alias("term"), F.col("base").alias("p"))
+    many = kept.where(F.col("groups") > light)
+    slices = many.groupBy("lang").agg(F.ceil(F.count("*") / TERMS).cast("int").alias("slices"))
+    piece = F.pmod(F.xxhash64("term"), F.col("slices")).cast("int").alias("slice")
+    heavy = found.where(F.col("groups") > light).join(slices, "lang").select("lang", "source", "block", piece, "term", "p", F.lit(None).cast("long").alias("terms"))
+    sliced = many.join(slices, "lang").groupBy("lang", piece).agg(F.count("*").alias("terms"))
+    bases = groups.drop("terms").join(sliced, "lang").select("lang", "source", "block", "slice", F.lit(None).cast("string").alias("term"), F.col("base").alias("p"), "terms")
     dense = _tiled(bases.unionByName(heavy), blocks).groupBy("lang", "slice", "left", "right").applyInPandas(_dense, PAIR)
 
     # light terms
