@@ -86,7 +86,7 @@ def _dense(pdf: pd.DataFrame) -> pd.DataFrame:
     held = pdf[~is_group]
     terms, column = np.unique(held["term"].to_numpy(object), return_inverse=True)
     p = np.repeat(groups["p"].to_numpy(np.int64)[:, None], len(terms), axis=1)
-    p[held["source"].map(at).to_numpy(), column] = held["p"].to_numpy(np.int64)
+    p[held["source"].map(at).to_numpy(np.int64), column] = held["p"].to_numpy(np.int64)
     base, absent = groups["p"].to_numpy(np.int64), int(groups["terms"].iloc[0]) - len(terms)  # terms of the slice that no group of the tile holds
     xs = np.flatnonzero(side == pdf["left"].iloc[0])
     ys = xs if left else np.flatnonzero(side == pdf["right"].iloc[0])
@@ -95,7 +95,7 @@ def _dense(pdf: pd.DataFrame) -> pd.DataFrame:
         other = ys[ys > x] if left else ys
         value = np.abs(p[other] - p[x]).sum(axis=1) + absent * np.abs(base[other] - base[x])
         out.append(pd.DataFrame({"x": names[x], "y": names[other], "value": value}))
-    table = pd.concat(out) if out else pd.DataFrame({"x": [], "y": [], "value": []})
+    table = pd.concat(out) if out else pd.DataFrame({"x": names[:0], "y": names[:0], "value": base[:0]})
     return table.assign(lang=lang)[["lang", "x", "y", "value"]]
 
 
