@@ -72,15 +72,19 @@ def fragments(reads: DataFrame, k: int, *keys: str, seq: str = "seq") -> DataFra
     return reads.select(*keys, F.posexplode(runs).alias("frag", "seq")).where(F.length("seq") >= k)
 
 
-def _pieces(frags: DataFrame, k: int, keys: tuple[str, ...], more=None) -> DataFrame:
-    """A row for each PIECE windows of a fragment: start, f (bases) and r (reverse complement) as binary."""
-    starts = F.sequence(F.lit(0), F.length("seq") - k, F.lit(PIECE))
+def pieces(frags: DataFrame, k: int, *keys: str, both: bool = False) -> DataFrame:
+    """A row for each PIECE windows of a fragment: start, f (bases) and, with ``both``, r (reverse complement) as binary.
 
-    def piece(s: Column) -> Column:
-        part = F.substring(F.col("seq").cast("binary"), s + 1, F.lit(PIECE + k - 1)).cast("string")
-        return F.struct(s.alias("start"), part.cast("binary").alias("f"), reverse_complement(part).cast("binary").alias("r"), *(more(part) if more else []))
+    A long fragment is cut by one regular expression into PIECE bases each, and a piece takes the k-1 next ones from its neighbour; cutting
+    each piece from the whole fragment would read the fragment once for each of them."""
+    chunks = F.when(F.length("seq") < PIECE + k, F.array("seq")).otherwise(F.regexp_extract_all("seq", F.lit(f"[ACGT]{{1,{PIECE}}}"), F.lit(0)))
 
-    return frags.select(*keys, F.explode(F.transform(starts, piece)).alias("p")).select(*keys, "p.*")
+    def piece(i: Column) -> Column:
+        part = F.concat(F.get("c", i), F.substring(F.coalesce(F.get("c", i + 1), F.lit("")), 1, k - 1))
+        return F.struct((i * PIECE).alias("start"), part.cast("binary").alias("f"), *([reverse_complement(part).cast("binary").alias("r")] if both else []))
+
+    cut = frags.select(*keys, F.explode(F.array(chunks)).alias("c"))
+    return cut.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.size("c") - 1), piece)).alias("p")).select(*keys, "p.*").where(F.octet_length("f") >= k)
 
 
 def _slices(k: int) -> Column:
@@ -92,7 +96,7 @@ def _slices(k: int) -> Column:
 
 def windows(frags: DataFrame, k: int, *keys: str, place: bool = False) -> DataFrame:
     """keys, kmer (canonical) and with ``place`` pos, the window's start, of every window; the sequence itself is not carried along."""
-    p = _pieces(frags, k, keys)
+    p = pieces(frags, k, *keys, both=True)
     if not place:
         return p.select(*keys, F.explode(_slices(k)).alias("kmer")).withColumn("kmer", F.col("kmer").cast("string"))
     p = p.select(*keys, "start", F.posexplode(_slices(k)).alias("i", "kmer"))
@@ -120,7 +124,7 @@ def _smallest(k: int, m: int, order: str):
 def minimizer_windows(frags: DataFrame, k: int, m: int, *keys: str, order: str = "lexicographic") -> DataFrame:
     """keys, pos, kmer, minimizer (the smallest canonical m-mer of the window in that order)."""
     ms, name = _smallest(k, m, order)
-    p = _pieces(frags, k, keys)
+    p = pieces(frags, k, *keys, both=True)
     p = p.select(*keys, "start", F.explode(F.array(F.struct(_slices(k).alias("ks"), ms.alias("ms")))).alias("a"))
     least = F.transform(F.col("a.ks"), lambda x, i: F.struct(x.cast("string").alias("kmer"), name(i).alias("minimizer")))
     return p.select(*keys, "start", F.posexplode(least).alias("i", "w")).select(*keys, (F.col("start") + F.col("i")).alias("pos"), "w.kmer", "w.minimizer")
@@ -129,6 +133,6 @@ def minimizer_windows(frags: DataFrame, k: int, m: int, *keys: str, order: str =
 def minimizer_pieces(frags: DataFrame, k: int, m: int, *keys: str, order: str = "lexicographic") -> DataFrame:
     """keys, start, mins: for each piece the minimizers of its windows, in their order."""
     ms, name = _smallest(k, m, order)
-    p = _pieces(frags, k, keys).select(*keys, "start", F.explode(F.array(F.struct(ms.alias("ms")))).alias("a"))
+    p = pieces(frags, k, *keys, both=True).select(*keys, "start", F.explode(F.array(F.struct(ms.alias("ms")))).alias("a"))
     mins = F.transform(F.sequence(F.lit(0), F.size("a.ms") - (k - m + 1)), name)
     return p.select(*keys, "start", F.explode(F.array(mins)).alias("mins"))

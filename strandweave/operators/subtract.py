@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions import seq
 from ..lineage import cut
-from .runs import join_runs
 
 
 @dataclass(frozen=True)
@@ -65,17 +64,35 @@ def stats(reads: DataFrame, index: DataFrame | Index, k: int, *keys: str, col: s
 def segments(reads: DataFrame, index: DataFrame | Index, k: int, record: str = "record_idx", col: str = "seq") -> DataFrame:
     """record, frag, start, seq: what remains of each fragment, for each maximal run of windows that the index lacks.
 
-    Windows travel without their sequence, and are dealt by block of a fragment, so that a long one isn't one task's; runs
-    are cut from the fragments afterwards."""
-    block = F.floor(F.col("pos") / seq.PIECE).alias("block")
-    w = marked(reads, index, k, record, "frag", place=True, col=col).where("not hit").select(record, "frag", "pos", block)
-    nth = F.row_number().over(Window.partitionBy(record, "frag", "block").orderBy("pos"))
-    runs = w.withColumn("island", F.col("pos") - nth).groupBy(record, "frag", "block", "island").agg(F.min("pos").alias("start"), F.count("*").alias("windows"))
-    edge = (F.col("start") % seq.PIECE == 0) & (F.col("start") > 0) | ((F.col("start") + F.col("windows")) % seq.PIECE == 0)
-    runs = join_runs(runs.withColumn("edge", edge), [record, "frag"])
-    length = (F.col("windows") + k - 1).cast("int")
+    Only windows that the index has are kept, as sorted lists for each piece of a fragment; what lies between them is cut from the piece. Runs that
+    touch a piece's edge are joined by fragment afterwards, so the work is in proportion to a record's length. Equal rows of one record each have their segments;
+    rows of one record with different sequences must have different ids."""
     frags = seq.fragments(reads, k, record, seq=col)
-    return runs.join(frags, [record, "frag"]).select(record, "frag", "start", F.substring("seq", F.col("start") + 1, length).alias("seq"))
+    block = F.floor(F.col("pos") / seq.PIECE).cast("int")
+    hits = seq.windows(frags, k, record, "frag", place=True).join(build(index).kmers, "kmer", "left_semi")
+    hits = hits.groupBy(F.col(record).alias("h_record"), F.col("frag").alias("h_frag"), block.alias("h_block")).agg(F.sort_array(F.collect_list((F.col("pos") % seq.PIECE).cast("int"))).alias("hits"))
+    p = seq.pieces(frags, k, record, "frag")
+    here = F.col(record).eqNullSafe(F.col("h_record")) & (F.col("frag") == F.col("h_frag")) & ((F.col("start") / seq.PIECE).cast("int") == F.col("h_block"))
+    n = F.octet_length("f") - k + 1
+    p = p.join(hits, here, "left").select(record, "frag", F.col("start").alias("piece"), "f", n.alias("n"), F.explode(F.array(F.coalesce("hits", F.expr("cast(array() as array<int>)")))).alias("hits"))
+    gaps = F.zip_with(F.concat(F.array(F.lit(-1)), "hits"), F.concat("hits", F.array("n")), lambda a, b: F.struct((a + 1).alias("at"), (b - a - 1).alias("windows")))
+    p = p.select(record, "frag", "piece", "f", "n", F.explode(F.filter(gaps, lambda g: g["windows"] > 0)).alias("g"))
+    edge = ((F.col("g.at") == 0) & (F.col("piece") > 0)) | (F.col("g.at") + F.col("g.windows") == seq.PIECE)
+    part = F.substring("f", F.col("g.at") + 1, F.col("g.windows") + k - 1).cast("string")
+    runs = p.select(record, "frag", (F.col("piece") + F.col("g.at")).alias("start"), F.col("g.windows").alias("windows"), part.alias("seq"), edge.alias("edge"))
+    return runs.where("not edge").select(record, "frag", "start", "seq").unionByName(_joined(runs.where("edge"), record, k))
+
+
+def _joined(runs: DataFrame, record: str, k: int) -> DataFrame:
+    """Runs that follow one another in a fragment as one: each but the first gives up the k-1 bases that it shares with the one before. Rows
+    with equal starts are those of equal records, told apart by their number."""
+    copy = F.row_number().over(Window.partitionBy(record, "frag", "start").orderBy("windows"))
+    order = Window.partitionBy(record, "frag", "copy").orderBy("start")
+    goes_on = F.lag(F.col("start") + F.col("windows")).over(order) == F.col("start")
+    runs = runs.withColumn("copy", copy).withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    runs = runs.withColumn("seq", F.when(F.col("new") == 1, F.col("seq")).otherwise(F.substring("seq", k, seq.PIECE)))
+    whole = runs.groupBy(record, "frag", "copy", "run").agg(F.min("start").alias("start"), F.array_sort(F.collect_list(F.struct("start", "seq"))).alias("parts"))
+    return whole.select(record, "frag", "start", F.array_join("parts.seq", "").alias("seq"))
 
 
 def nucleotides(segs: DataFrame) -> DataFrame:
