@@ -21,7 +21,6 @@ NARROW_ROWS = 1 << 16
 
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15
-_P_INV = pow(_P, -1, 1 << 64)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,21 +95,27 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple
     return np.flatnonzero(left), np.flatnonzero(right)
 
 
-_table = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+#: The fields of fingerprints: numbers modulo a prime, so no construction makes equal fingerprints whatever the base is.
+_PRIME, _BITS = (1 << 31) - 1, 31
+_P31, _B31 = _U(_PRIME), _U(_BITS)
+#: Bases and values of bytes, drawn once: two fields for a fingerprint, and two others for a second one.
+_draws = np.random.default_rng(20240229)
+_BASES = [int(x) for x in _draws.integers(1 << 16, _PRIME - 1, 4)]
+_VALUES = _draws.integers(1, _PRIME, (4, 256), dtype=np.uint64)
+_SALTS = _draws.integers(1, 1 << 63, 4, dtype=np.uint64)
 _powers: dict[int, np.ndarray] = {}
+_SLICE = 1 << 14
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^n modulo 2^64."""
+    """base^0 .. base^n modulo the prime; kept for the sizes of a step."""
     old = _powers.get(base)
     if old is None or len(old) <= n:
-        with np.errstate(over="ignore"):
-            x = np.full(max(n, STEP_BYTES) + 1, base, np.uint64)
-            x[0] = 1
-            old = np.cumprod(x, dtype=np.uint64)
-        if n > 4 * STEP_BYTES:
-            return old
-        _powers[base] = old
+        old, size = np.ones(1, np.uint64), max(n, STEP_BYTES) + 1
+        while len(old) < size:
+            old = np.concatenate([old, old[: size - len(old)] * _U(pow(base, len(old), _PRIME)) % _P31])
+        if n <= 4 * STEP_BYTES:
+            _powers[base] = old
     return old
 
 
@@ -122,19 +127,27 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """64-bit fingerprints of slices of ``data`` (bytes, or other numbers) from prefix sums of a polynomial modulo 2^64."""
-
-    def __init__(self, data: np.ndarray):
-        n = len(data)
-        self.sums = np.zeros(n + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            values = _table[data] if data.dtype == np.uint8 else mix(data.astype(_U) + _U(_P))
-            np.cumsum(values * _power(_P, n)[:n], out=self.sums[1:])
-        self.inverse = _power(_P_INV, n)
+    """64-bit fingerprints of slices of ``data`` (bytes, or other numbers) from prefix sums of polynomials in two fields of 31 bits."""
+
+    def __init__(self, data: np.ndarray, second: bool = False):
+        """second: in two other fields, independent of the first."""
+        n, self.fields = len(data), []
+        for k in (2, 3) if second else (0, 1):
+            sums, power = np.zeros(n + 1, np.uint64), _power(_BASES[k], n)
+            for at in range(0, n, _SLICE):  # small enough for the processor's cache
+                part = data[at : at + _SLICE]
+                values = _VALUES[k].take(part) if data.dtype == np.uint8 else mix(part.astype(_U) ^ _SALTS[k]) % _P31
+                values *= power[at : at + len(part)]
+                high = values >> _B31
+                values &= _P31
+                values += high
+                values[0] += sums[at]
+                np.cumsum(values, out=sums[at + 1 : at + 1 + len(part)])
+            self.fields.append((sums, _power(pow(_BASES[k], -1, _PRIME), n)))
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
+        one, two = ((sums[ends] - sums[starts]) % _P31 * inverse[starts] % _P31 for sums, inverse in self.fields)
+        return mix((one << _U(32) | two) + _U(_P))
 
 
 def chain(words: np.ndarray, k: int) -> np.ndarray:

@@ -151,13 +151,6 @@ def documents_of(group: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids[own[edges]], pa.int64()), "ordinals": lists})
 
 
-class _Second(Hasher):
-    """Independent of the first: over reversed complements of the bytes."""
-
-    def __init__(self, data: np.ndarray):
-        super().__init__((np.arange(256, dtype=np.uint8) * 167 + 91)[data])
-
-
 def candidates(data: np.ndarray, ordinals: np.ndarray) -> np.ndarray:
     """Starts of strings that hold a marked sample with its whole prefix."""
     n = len(data) - LENGTH + 1
@@ -199,7 +192,7 @@ def anchors(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def strings(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return Hasher(data)(places, places + LENGTH), _Second(data)(places, places + LENGTH)
+    return Hasher(data)(places, places + LENGTH), Hasher(data, second=True)(places, places + LENGTH)
 
 
 RUN = "name long, h long, doc_id long, start int, n int, own boolean"

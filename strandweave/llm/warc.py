@@ -11,6 +11,10 @@ Writing: each task writes archives of at most ``roll_mb`` under names of its own
 listed in the commit's manifest, so a lost or repeated task leaves no records behind. Every commit has a manifest of its own and
 readers go by all of them; mode ``overwrite`` removes earlier ones and their archives.
 
+Archives of other writers: payloads are those of ``response`` (after the HTTP headers), ``resource`` and ``conversion`` records, as they
+are stored: transfer and content encodings inside a response stay. ``refers_to`` and ``page_id`` are null where no header of this writer
+names a page. While a commit in mode ``overwrite`` removes earlier ones, a reader may see both.
+
 ``archive`` makes a record for every page row: of rows with an equal payload (same SHA-1) of at least ``min_bytes`` the one
 with the smallest page_id is a response, the others revisit it.
 
@@ -25,6 +29,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -51,11 +56,22 @@ def record_id(page_id: int | None) -> str:
     return "<" + ID.format(x[:4] if page_id is not None else "ffff", x[4:]) + ">"
 
 
-def page_of(urn: str) -> int:
-    x = int(urn.strip("<>")[-17:].replace("-", ""), 16)
+OWN_ID = re.compile("<?" + ID.format("([0-9a-f]{4})", "([0-9a-f]{12})") + ">?")
+
+
+def page_of(urn: str) -> int | None:
+    """The page_id in an id of this writer; other writers' ids name no page."""
+    found = OWN_ID.fullmatch(urn.strip())
+    if not found:
+        return None
+    x = int(found[1] + found[2], 16)
     return x - (1 << 64) if x >> 63 else x
 
 
+def number(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"-?[0-9]{1,18}|-?[0-9]{19}", text) and -(1 << 63) <= int(text) < 1 << 63 else None
+
+
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -184,6 +200,10 @@ class Archive:
             skip(self, n)
 
 
+#: Records whose block is, or ends with, a payload.
+PAYLOAD_TYPES = ("response", "resource", "conversion")
+
+
 def records(stream, wanted, payload: bool) -> Iterator[dict]:
     """Records of a stream that ``wanted(headers)`` lets through."""
     pass_over = getattr(stream, "skip", None) or (lambda n: skip(stream, n))
@@ -204,7 +224,7 @@ def records(stream, wanted, payload: bool) -> Iterator[dict]:
             pass_over(left)
             continue
         body = None
-        if payload and head.get("warc-type") == "response":
+        if payload and head.get("warc-type") in PAYLOAD_TYPES:
             block = take(stream, left)
             body = block[block.find(b"\r\n\r\n") + 4 :] if head.get("content-type", "").startswith("application/http") else block
         else:
@@ -234,12 +254,10 @@ def digest_of(head: dict) -> str | None:
 
 
 def to_row(head: dict) -> tuple:
-    size = head.get("x-payload-length") or (len(head["payload"]) if head["payload"] is not None else None)
-    return (
-        int(head["x-page-id"]) if "x-page-id" in head else None,
-        head.get("warc-type"), head.get("warc-target-uri"), digest_of(head),
-        int(size) if size is not None else None, page_of(head["warc-refers-to"]) if "warc-refers-to" in head else None, head["payload"],
-    )
+    size = number(head.get("x-payload-length"))
+    if size is None and head["payload"] is not None:
+        size = len(head["payload"])
+    return number(head.get("x-page-id")), head.get("warc-type"), head.get("warc-target-uri"), digest_of(head), size, page_of(head.get("warc-refers-to", "")), head["payload"]
 
 
 #: What a record's headers say of a column, as text.

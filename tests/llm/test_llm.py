@@ -773,3 +773,90 @@ def test_pipeline_odd(spark, odd, tmp_path):
     odd.where("false").write.parquet(path + "2/documents.parquet")
     items(spark).write.parquet(path + "2/benchmark.parquet")
     assert corpus_pipeline.run(spark, path + "2").collect() == []
+
+
+def thue_morse(n):
+    """A word whose fingerprint is that of its complement for every base, where fingerprints are modulo a power of two."""
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_crafted_words(spark):
+    """Words that are equal under polynomial fingerprints modulo 2^64 stay different."""
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    tail = " one two three four five six seven eight nine ten"
+    rows = [(1, word), (2, other), (3, f"{word} x y z"), (4, f"{other} x y z"), (5, word + tail), (6, other + tail)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dup.classes(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5}  # 6 of 7 shingles are shared
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix_dedup.dedup(docs).collect()}
+    assert got == brute_spans(rows)
+    found = {r["doc_id"]: [m["item_id"] for m in r["matches"]] for r in decontam.matches(docs, items(spark, [(7, word), (8, f"{other} x y z")])).collect()}
+    assert found == {1: [7], 2: [], 3: [7], 4: [8], 5: [7], 6: []}
+    lots = " ".join(word)  # the same as a row of words
+    _, pairs = decontam.search(decontam.pa.array([lots + " end"]), decontam.TestSet([(1, " ".join(other))], 10))
+    assert max(n for *_, n in pairs) < 1024
+
+
+def test_fingerprints():
+    import numpy as np
+
+    from strandweave.llm.common import Hasher
+
+    data = np.random.default_rng(3).integers(97, 100, 70_000).astype(np.uint8)
+    for second in (False, True):
+        h = Hasher(data, second)
+        at = np.arange(0, 60_000, 7)
+        alone = np.concatenate([Hasher(data[i : i + 40], second)(np.array([0]), np.array([40])) for i in at[:300]])
+        assert (h(at[:300], at[:300] + 40) == alone).all()
+        prints, texts = h(at, at + 40), [data[i : i + 40].tobytes() for i in at]
+        assert len(set(prints.tolist())) == len(set(texts))
+    numbers = np.random.default_rng(4).integers(0, 3, 5000)
+    h = Hasher(numbers)
+    assert h(np.array([10]), np.array([30]))[0] == Hasher(numbers[10:30])(np.array([0]), np.array([20]))[0]
+
+
+def test_warc_foreign_headers(spark, tmp_path):
+    """References in any form, payloads of other kinds of records, and headers that are no numbers."""
+    http = "HTTP/1.1 200 OK\r\n\r\n"
+    cases = [("response", "WARC-Refers-To: <urn:sha1:ABCDEF>\r\n", http + "page", "page"), ("revisit", "WARC-Refers-To: <urn:uuid:6b29fc40-ca47-1067-b31d-00dd010662da>\r\n", http, None),
+             ("resource", "X-Page-Id: front\r\n", "plain block", "plain block"), ("conversion", "X-Payload-Length: many\r\n", "", ""), ("metadata", "", "a: b", None), ("revisit", f"WARC-Refers-To: {warc.record_id(-5)}\r\n", http, None)]
+    blob = ""
+    for kind, more, block, _ in cases:
+        content = "application/http; msgtype=response" if block.startswith("HTTP") else "text/plain"
+        blob += f"WARC/1.0\r\nWARC-Type: {kind}\r\n{more}Content-Type: {content}\r\nContent-Length: {len(block)}\r\n\r\n{block}\r\n\r\n"
+    (tmp_path / "x.warc").write_text(blob, newline="")
+    rows = warc.read_archives(spark, f"file://{tmp_path}/x.warc").collect()
+    want = [(kind, None if body is None else body.encode()) for kind, _, _, body in cases]
+    assert sorted(((r["record_type"], None if r["payload"] is None else bytes(r["payload"])) for r in rows), key=repr) == sorted(want, key=repr)
+    assert sorted((r["refers_to"] for r in rows if r["refers_to"] is not None)) == [-5] and all(r["page_id"] is None for r in rows)
+    for i in (None, 0, 7, -5, 1 << 62, -(1 << 63)):
+        assert i is None or warc.page_of(warc.record_id(i)) == i
+
+
+def test_warc_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a", "same"), (2, None, "same"), (3, "http://c", None), (None, "http://d", "")], "page_id long, url string, html string")
+    clash = ["payload", "record_type", "refers_to", "payload_digest", "payload_bytes", "target_uri", "first_id", "n", "digest", "h_digest"]
+    rows = warc.verified(warc.round_trip(pages.select("*", *[F.lit("x").alias(c) for c in clash]))).collect()
+    assert sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in rows) == [(0, "revisit", 3), (1, "response", None), (2, "revisit", 1), (3, "response", None)]
+
+
+def test_pipeline_leaves_others_tables(spark, tmp_path):
+    """Tables that another thread cuts while the pipeline runs stay, and its own scratch goes."""
+    import threading
+
+    from strandweave.lineage import cut, drop, scratch
+
+    kept = []
+    with scratch() as mine:
+        first = cut(spark.range(3), "own")
+        other = threading.Thread(target=lambda: kept.append(cut(spark.range(5), "other")))
+        other.start()
+        other.join()
+        with scratch() as inner:
+            cut(spark.range(1), "inner")
+        assert len(inner) == 1
+    assert len(mine) == 2 and first.count() == 3
+    drop(spark, mine)
+    assert kept[0].count() == 5
+    with pytest.raises(Exception, match="not exist|NOT_EXIST"):
+        first.collect()
