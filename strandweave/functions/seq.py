@@ -80,7 +80,8 @@ def pieces(frags: DataFrame, k: int, *keys: str, both: bool = False) -> DataFram
     chunks = F.when(F.length("seq") < PIECE + k, F.array("seq")).otherwise(F.regexp_extract_all("seq", F.lit(f"[ACGT]{{1,{PIECE}}}"), F.lit(0)))
 
     def piece(i: Column) -> Column:
-        part = F.concat(F.get("c", i), F.substring(F.coalesce(F.get("c", i + 1), F.lit("")), 1, k - 1))
+        after = F.concat(*[F.coalesce(F.get("c", i + n), F.lit("")) for n in range(1, 2 + (k - 2) // PIECE)])
+        part = F.concat(F.get("c", i), F.substring(after, 1, k - 1))
         return F.struct((i * PIECE).alias("start"), part.cast("binary").alias("f"), *([reverse_complement(part).cast("binary").alias("r")] if both else []))
 
     cut = frags.select(*keys, F.explode(F.array(chunks)).alias("c"))

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_written: list[str] = []
+#: Paths that the run at hand has made, where it keeps a list (``scratch``).
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -24,8 +27,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
             raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
         root = "file://" + tempfile.mkdtemp(prefix="strandweave-")
         spark.conf.set("spark.checkpoint.dir", root)
-    _written.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return _written[-1]
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if (mine := _made.get()) is not None:
+        mine.append(path)
+    return path
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -67,13 +72,21 @@ def _drop(spark: SparkSession, table: str) -> None:
             spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
-def made() -> int:
-    """How many paths have been written so far; for ``drop_since``."""
-    return len(_written)
+@contextlib.contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The paths made inside, in order; not those that other threads make meanwhile."""
+    paths: list[str] = []
+    token = _made.set(paths)
+    try:
+        yield paths
+    finally:
+        _made.reset(token)
+        if (outer := _made.get()) is not None:
+            outer.extend(paths)
 
 
-def drop_since(spark: SparkSession, start: int, end: int) -> None:
-    """Delete what was written from ``made()`` = start to end, once nothing reads it any more."""
-    for path in _written[start:end]:
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete what nothing reads any more."""
+    for path in paths:
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)

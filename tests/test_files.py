@@ -185,18 +185,6 @@ def test_minimizer_orders(spark):
         seq.minimizer_windows(frags, 7, 3, order="other")
 
 
-def test_simulated_reads(spark):
-    from strandweave.sources import simulate
-
-    genome = simulate.genome(2000)
-    rows = simulate.reads(spark, genome, 5, 100, 0.02).collect()
-    assert len(rows) == 100 and len({r["header"] for r in rows}) == 100
-    for r in rows:
-        start = int(r["header"].partition("start=")[2])
-        assert sum(a != b for a, b in zip(r["seq"], genome[start : start + 100], strict=True)) == 2
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, simulate.reads(spark, genome, 5, 100, 0.02).repartition(3).collect()))
-
-
 def test_entry():
     import __spark_entry__ as entry
 

@@ -121,6 +121,26 @@ def test_runs_across_pieces(spark, monkeypatch, piece):
     assert len(got) == len(segs) and set(got) == segs
 
 
+def test_segments_of_a_chromosome(spark):
+    """Time in proportion to the length: 5 million bases with a hit every 60, and a second run over no hit at all."""
+    r = random.Random(1)
+    text = "".join(r.choices("ACGT", k=5_000_000))
+    index = spark.createDataFrame([(min(x, rc(x)),) for x in (text[i : i + 21] for i in range(0, len(text) - 21, 60))], "kmer string")
+    df = reads(spark, text)
+    got = subtract.segments(df, index, 21).agg({"seq": "count", "start": "max"}).first()
+    assert got["count(seq)"] == (len(text) - 21 + 59) // 60
+    assert [x["seq"] == text for x in subtract.segments(df, index.where("false"), 21).collect()] == [True]
+
+
+def test_segments_of_equal_records(spark):
+    """Rows without an id, and rows twice, have their segments each."""
+    text = "ACGTTGCAAC" * 3 + "GGATC"
+    df = spark.createDataFrame([(None, text), (4, text), (4, text)], "record_idx long, seq string")
+    index = spark.createDataFrame([(min(text[30:35], rc(text[30:35])),)], "kmer string")
+    got = sorted(((x["record_idx"] or 0, x["start"], x["seq"]) for x in subtract.segments(df, index, 5).collect()))
+    assert got == [(i, 0, text[:34]) for i in (0, 4, 4)]
+
+
 def test_subtract(spark):
     index = count.distinct_kmers(reads(spark, "AAACG"), 3)
     assert {r["kmer"] for r in subtract.subtract_distinct(reads(spark, "AAATG"), index, 3).collect()} == {"AAT", "ATG"}
