@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.lineage import drop_since, made
+from strandweave.lineage import drop, scratch
 from strandweave.llm import decontam, langid, line_dedup, mixing, near_dup
 from strandweave.llm.common import cut, map_arrow, same, table
 
@@ -85,9 +85,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. What a stage has written besides its result goes when the result is written, and that when the next one's is."""
-    docs, last = table(spark, sf_dir, "documents"), made()
+    docs, last = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
-        drop_since(spark, last, made() - 1)
-        last = made() - 1
+        with scratch() as mine:
+            docs = cut(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        drop(spark, last + mine[:-1])
+        last = mine[-1:]
     return docs
