@@ -108,32 +108,55 @@ def windows(frags: DataFrame, k: int, *keys: str, place: bool = False) -> DataFr
 ORDERS = {
     "lexicographic": lambda x: x.cast("string"),
     "hash": lambda x: F.struct(F.xxhash64(x).alias("o"), x.cast("string").alias("m")),
+    "code": lambda x: F.xxhash64(x),  # the hash alone, where a minimizer needn't be named
     "anti-lexicographic": lambda x: F.struct((-F.ascii(x.cast("string"))).alias("o"), x.cast("string").alias("m")),
 }
 
 
-def _smallest(k: int, m: int, order: str):
-    """Canonical m-mers of a piece as that order compares them, and the minimizer of window i of such an array (a.ms)."""
+def _minima(frags: DataFrame, k: int, m: int, keys: tuple[str, ...], order: str) -> tuple[DataFrame, Column]:
+    """Pieces (keys, start, f, r) with mins, for each window its smallest canonical m-mer as that order compares them; and how an element of mins names it.
+
+    Minima of 2, 4, 8 ... neighbours are made from those of half as many, so a window costs the logarithm of its m-mers; each round's array is
+    a generator's output, or it would be made again for every use."""
     if order not in ORDERS:
         raise ValueError(f"order must be one of {sorted(ORDERS)}")
-    low = lambda i: F.array_min(F.slice("a.ms", i + 1, k - m + 1))
-    if order == "lexicographic":
-        return _slices(m), lambda i: low(i).cast("string")
-    return F.transform(_slices(m), ORDERS[order]), lambda i: low(i)["m"]
+    mers = _slices(m) if order == "lexicographic" else F.transform(_slices(m), ORDERS[order])
+    kept = [*keys, "start", "f", "r"]
+    p = pieces(frags, k, *keys, both=True).select(*kept, F.explode(F.array(mers)).alias("ms"))
+    size, width = 1, k - m + 1
+    while size < width:
+        step = min(size, width - size)
+        # what stands past the end is null, which the smaller one of two is not
+        lower = F.zip_with("ms", F.slice("ms", F.lit(step + 1), F.size("ms")), lambda x, y: F.least(x, y))
+        p, size = p.select(*kept, F.explode(F.array(lower)).alias("ms")), size + step
+    name = {"lexicographic": lambda x: x.cast("string"), "code": lambda x: x}.get(order, lambda x: x["m"])
+    return p.select(*kept, F.slice("ms", F.lit(1), F.octet_length("f") - k + 1).alias("mins")), name
 
 
 def minimizer_windows(frags: DataFrame, k: int, m: int, *keys: str, order: str = "lexicographic") -> DataFrame:
     """keys, pos, kmer, minimizer (the smallest canonical m-mer of the window in that order)."""
-    ms, name = _smallest(k, m, order)
-    p = pieces(frags, k, *keys, both=True)
-    p = p.select(*keys, "start", F.explode(F.array(F.struct(_slices(k).alias("ks"), ms.alias("ms")))).alias("a"))
-    least = F.transform(F.col("a.ks"), lambda x, i: F.struct(x.cast("string").alias("kmer"), name(i).alias("minimizer")))
-    return p.select(*keys, "start", F.posexplode(least).alias("i", "w")).select(*keys, (F.col("start") + F.col("i")).alias("pos"), "w.kmer", "w.minimizer")
+    p, name = _minima(frags, k, m, keys, order)
+    both = F.zip_with(_slices(k), "mins", lambda x, y: F.struct(x.cast("string").alias("kmer"), name(y).alias("minimizer")))
+    return p.select(*keys, "start", F.posexplode(both).alias("i", "w")).select(*keys, (F.col("start") + F.col("i")).alias("pos"), "w.kmer", "w.minimizer")
+
+
+def minimizer_pieces(frags: DataFrame, k: int, m: int, *keys: str, order: str = "lexicographic", bases: bool = False) -> DataFrame:
+    """keys, start, mins: for each piece the minimizers of its windows, in their order; with ``bases`` f, its bases, as well."""
+    p, name = _minima(frags, k, m, keys, order)
+    return p.select(*keys, "start", *(["f"] if bases else []), F.explode(F.array(F.transform("mins", name))).alias("mins"))
+
+
+#: Bases of one packed number.
+PACK = 31
+
+
+def packed(s: str | Column) -> Column:
+    """Bases as binary, 8 bytes for each ``PACK``: a 1 and then the bases' digits in base 4."""
+    digits = F.translate(of(s), "ACGT", "0123")
+    part = lambda i: F.lpad(F.conv(F.concat(F.lit("1"), F.substring(digits, i * PACK + 1, F.lit(PACK))), 4, 16), 16, "0")
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.length(of(s)) - 1) / PACK).cast("int")), part), ""))
 
 
-def minimizer_pieces(frags: DataFrame, k: int, m: int, *keys: str, order: str = "lexicographic") -> DataFrame:
-    """keys, start, mins: for each piece the minimizers of its windows, in their order."""
-    ms, name = _smallest(k, m, order)
-    p = pieces(frags, k, *keys, both=True).select(*keys, "start", F.explode(F.array(F.struct(ms.alias("ms")))).alias("a"))
-    mins = F.transform(F.sequence(F.lit(0), F.size("a.ms") - (k - m + 1)), name)
-    return p.select(*keys, "start", F.explode(F.array(mins)).alias("mins"))
+def unpacked(b: str | Column) -> Column:
+    part = lambda i: F.substring(F.conv(F.hex(F.substring(of(b), i * 8 + 1, F.lit(8))), 16, 4), 2, PACK)
+    return F.translate(F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.octet_length(of(b)) - 1) / 8).cast("int")), part), ""), "0123", "ACGT")

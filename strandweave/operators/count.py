@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq
+from ..lineage import cut
 from .runs import join_runs
 
+#: Buckets of minimizers: what one row of a shuffle says of its place.
+BUCKETS = 1 << 16
+
 
 @dataclass(frozen=True)
 class CounterConfig:
@@ -76,6 +80,49 @@ def prefiltered_counts(reads: DataFrame, k: int, m: int, threshold: int, col: st
     return w.join(often, "minimizer", "left_semi").groupBy("kmer").agg(F.count("*").alias("count")).where(F.col("count") > threshold)
 
 
+def hot_minimizers(reads: DataFrame, k: int, m: int, share: float, sample: float, col: str = "seq") -> list[int]:
+    """Codes of minimizers with more than ``share`` of the windows of a sample of records: 1 / share of them at most. They decide how
+    windows are dealt out, not what is counted."""
+    frags = seq.fragments(reads.sample(sample, seed=7) if sample < 1 else reads, k, seq=col)
+    n = seq.minimizer_pieces(frags, k, m, order="code").select(F.explode("mins").alias("minimizer")).groupBy("minimizer").agg(F.count("*").alias("n"))
+    n = cut(n, "minimizers")
+    least = (n.agg(F.sum("n")).first()[0] or 0) * share
+    return sorted(r["minimizer"] for r in n.where(F.col("n") > least).select("minimizer").collect())
+
+
+def count_by_superkmers(reads: DataFrame, k: int, m: int, threshold: int = 0, share: float = 1 / 128, sample: float = 0.05, col: str = "seq") -> DataFrame:
+    """The same as ``count_kmers`` with a small shuffle: super-k-mers, the stretches of bases whose windows have one minimizer, are dealt out by
+    the minimizer's hash, packed to two bits a base, and cut into windows where they arrive; a k-mer has the same minimizer wherever it
+    stands, on either strand, so they are counted there without another shuffle.
+
+    Windows of ``hot_minimizers`` (low complexity, repeats) would be one task's: they are counted by k-mer, with partial sums before their
+    shuffle, and join the result by union."""
+    hot = hot_minimizers(reads, k, m, share, sample, col)
+    p = seq.minimizer_pieces(seq.fragments(reads, k, seq=col), k, m, order="code", bases=True)
+    stretches = _stretches(p, lambda first, windows: F.substring("f", first + 1, windows + k - 1).cast("string").alias("seq"))
+    cold = stretches.where(~F.col("minimizer").isin(hot)) if hot else stretches
+    bucket = F.pmod(F.xxhash64("minimizer"), F.lit(BUCKETS)).cast("int")
+    dealt = cold.select(bucket.alias("bucket"), seq.packed("seq").alias("packed")).repartition("bucket")
+    counts = seq.windows(dealt.select("bucket", seq.unpacked("packed").alias("seq")), k, "bucket").groupBy("bucket", "kmer").agg(F.count("*").alias("count")).select("kmer", "count")
+    if hot:
+        rest = seq.windows(stretches.where(F.col("minimizer").isin(hot)).select("seq"), k)
+        counts = counts.unionByName(rest.groupBy("kmer").agg(F.count("*").alias("count")))
+    return counts.where(F.col("count") > threshold)
+
+
+def _stretches(pieces: DataFrame, *more) -> DataFrame:
+    """All columns of pieces but mins, and minimizer and ``more`` (of a run's first window and windows) of each run of equal minimizers in one."""
+    size, kept = F.size("mins"), [c for c in pieces.columns if c not in ("mins", "f")]
+    changes = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get("mins", i) != F.get("mins", i - 1)))
+    p = pieces.select("*", F.explode(F.array(changes)).alias("firsts"))
+
+    def run(first, i):
+        windows = F.coalesce(F.get("firsts", i + 1), size) - first
+        return F.struct(F.get("mins", first).alias("minimizer"), *[x(first, windows) for x in more])
+
+    return p.select(*kept, F.explode(F.transform("firsts", run)).alias("r")).select(*kept, "r.*")
+
+
 def superkmers(reads: DataFrame, k: int, m: int, record: str = "record_idx", col: str = "seq") -> DataFrame:
     """record, frag, start, windows, minimizer of maximal runs of windows with one minimizer; runs tile a fragment.
 

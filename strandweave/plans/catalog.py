@@ -103,6 +103,7 @@ def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "count_kmers_gt_x": lambda s, d: count.count_kmers(reads(s, d), K, X),
+    "count_kmers_superkmer": lambda s, d: count.count_by_superkmers(reads(s, d), K, M, X),
     "count_kmers_k31": lambda s, d: count.count_kmers(reads(s, d), 31, 1),
     "count_kmers_even_k": lambda s, d: count.count_kmers(reads(s, d), 4, 0),
     "kff_saturated_counts": lambda s, d: count.saturated(count.count_kmers(reads(s, d), K, X), X),
@@ -129,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "regular_nucleotides": lambda s, d: subtract.nucleotides(subtract.segments(reads(s, d), index(s, d), K)),
     "shared_kmers": lambda s, d: count.distinct_kmers(reads(s, d), K).join(index(s, d), "kmer", "left_semi"),
     "simplitig_kmer_set": lambda s, d: compact.kmers_of(compact.simplitigs(index(s, d)), K),
+    "unitig_kmer_set": lambda s, d: compact.kmers_of(compact.unitigs(index(s, d)), K),
     "simplitig_by_minimizer_kmer_set": lambda s, d: compact.kmers_of(compact.by_minimizer(index(s, d), M), K),
     "simplitigs": lambda s, d: compact.numbered(compact.simplitigs(index(s, d))).select("idx", "seq", "kmers"),
     "ac_density": lambda s, d: units(s, d).select("unitig_id", seq.ac_count("seq").alias("ac"), seq.ac_density("seq").alias("density")),
@@ -198,6 +200,7 @@ _PRESENCE = f"SELECT kmer, count(DISTINCT dataset_id) AS n_datasets FROM {_DOCS}
 
 ORACLE_SQL: dict[str, str] = {
     "count_kmers_gt_x": f"SELECT kmer, count(*) AS count FROM {_DOCS} GROUP BY kmer HAVING count(*) > {X}",
+    "count_kmers_superkmer": f"SELECT kmer, count(*) AS count FROM {_DOCS} GROUP BY kmer HAVING count(*) > {X}",
     "count_kmers_k31": f"SELECT kmer, count(*) AS count FROM {_windows('documents', 'doc_id', 'doc_id', 31)} GROUP BY kmer HAVING count(*) > 1",
     "count_kmers_even_k": f"SELECT kmer, count(*) AS count FROM {_windows('documents', 'doc_id', 'doc_id', 4)} GROUP BY kmer",
     "kff_saturated_counts": f"SELECT kmer, least(count(*), {X + 1}) AS count FROM {_DOCS} GROUP BY kmer HAVING count(*) > {X}",
@@ -224,6 +227,7 @@ ORACLE_SQL: dict[str, str] = {
     "regular_nucleotides": f"SELECT coalesce(sum(length(seq)), 0)::BIGINT AS nucleotides FROM {_SEGS}",
     "shared_kmers": f"SELECT DISTINCT kmer FROM {_DOCS} WHERE kmer IN (SELECT kmer FROM {_INDEX})",
     "simplitig_kmer_set": f"SELECT kmer FROM {_INDEX}",
+    "unitig_kmer_set": f"SELECT kmer FROM {_INDEX}",
     "simplitig_by_minimizer_kmer_set": f"SELECT kmer FROM {_INDEX}",
     "ac_density": f"SELECT unitig_id, ({_AC.format('seq')})::BIGINT AS ac, (({_AC.format('seq')}) * 1000000 // length(seq))::BIGINT AS density FROM {_UNITS}",
     "prefix_suffix_keys": f"SELECT unitig_id, {_PRE.format('seq')} AS prefix_key, {_SUF.format('seq')} AS suffix_key, substr({_PRE.format('seq')}, 1, 16) || substr({_SUF.format('seq')}, 1, 16) AS both_key FROM {_UNITS}",

@@ -157,6 +157,87 @@ def test_subtract(spark):
         subtract.check_k(4)
 
 
+def test_count_by_superkmers(spark):
+    """What a plain count gives: long runs of one minimizer, both strands, gaps, hot minimizers and none; and a smaller shuffle's one exchange."""
+    r = random.Random(6)
+    texts = ["A" * 9000, "T" * 50 + "N" + "AC" * 300, "".join(r.choices("ACGT", k=9000)), "", "ACG", None]
+    texts += [rc(texts[2][100:400]), texts[2][50:90].lower()]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "record_idx long, seq string")
+    for k, m, threshold in ((21, 11, 0), (31, 31, 1), (5, 3, 2), (40, 7, 0)):
+        want = sorted(map(tuple, count.count_kmers(df, k, threshold).collect()))
+        for share, sample in ((0.02, 1.0), (1.1, 1.0), (1 / 128, 0.05)):
+            assert sorted(map(tuple, count.count_by_superkmers(df, k, m, threshold, share, sample).collect())) == want
+    assert count.hot_minimizers(df, 21, 11, 0.2, 1.0) and not count.hot_minimizers(df, 21, 11, 1.1, 1.0)
+    plan = count.count_by_superkmers(df, 21, 11, 0, 1.1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    strings = ["A", "ACGT" * 20, "T" * 31, "G" * 32, "C" * 62, texts[2][:5000]]
+    both = spark.createDataFrame([(x,) for x in strings], "s string").select("s", seq.packed("s").alias("p")).select("s", "p", seq.unpacked("p").alias("back"))
+    assert all(x["s"] == x["back"] and len(x["p"]) == 8 * -(-len(x["s"]) // 31) for x in both.collect())
+
+
+def walked_unitigs(kmers):
+    """The paths without a branch, by following them; a circle's as a frozenset of its k-mers, as it can be opened anywhere."""
+    nodes = {x for m in kmers for x in (m, rc(m))}
+    after = lambda x: [x[1:] + b for b in "ACGT" if x[1:] + b in nodes]
+
+    def step(x):
+        y = after(x)
+        if len(y) != 1 or len(after(rc(y[0]))) != 1 or min(x, rc(x)) == min(y[0], rc(y[0])) or x == rc(x) or y[0] == rc(y[0]):
+            return None
+        return y[0]
+
+    out, seen = set(), set()
+    for x in sorted(nodes):
+        if step(rc(x)) is None and x not in seen:
+            path = [x]
+            while (y := step(path[-1])) is not None:
+                path.append(y)
+            seen |= set(path) | {rc(y) for y in path}
+            text = path[0] + "".join(y[-1] for y in path[1:])
+            out.add(min(text, rc(text)))
+    return out, {min(x, rc(x)) for x in nodes - seen}
+
+
+def test_unitigs(spark):
+    r, k = random.Random(5), 5
+    genome = "".join(r.choices("ACGT", k=3000))
+    circle = genome[:400] + genome[: 11 - 1]
+    cases = [[genome[i : i + 11] for i in range(len(genome) - 10)], [circle[i : i + 11] for i in range(len(circle) - 10)], ["".join(r.choices("ACGT", k=k)) for _ in range(120)], ["".join(r.choices("ACGT", k=4)) for _ in range(60)], ["AAA", "ACA", "CAC"], ["ACGT"], []]
+    for strings in cases:
+        kmers = sorted({min(x, rc(x)) for x in strings})
+        got = compact.unitigs(spark.createDataFrame([(x,) for x in kmers], "kmer string")).collect()
+        paths, circular = walked_unitigs(kmers)
+        size = len(kmers[0]) if kmers else 1
+        split = [(x, {min(w, rc(w)) for w in (x["seq"][i : i + size] for i in range(len(x["seq"]) - size + 1))}) for x in got]
+        assert {min(x["seq"], rc(x["seq"])) for x, own in split if not own & circular} == paths
+        assert all(x["kmers"] == len(own) == len(x["seq"]) - size + 1 and x["seed"] in own for x, own in split)
+        assert sorted(w for _, own in split for w in own) == kmers  # each k-mer once
+        assert {w for _, own in split if own & circular for w in own} == circular
+
+
+def test_giant_component(spark):
+    """A component above the bound has no group: its unitigs are fewer than sequences by minimizer; others are walked as before."""
+    r = random.Random(8)
+    genome, small = "".join(r.choices("ACGT", k=20_000)), "".join(r.choices("ACGT", k=60))
+    kmers = sorted({min(x, rc(x)) for t in (genome, small) for x in (t[i : i + 21] for i in range(len(t) - 20))})
+    df = spark.createDataFrame([(x,) for x in kmers], "kmer string")
+    got = compact.simplitigs(df, most=1000).collect()
+    assert {min(x["seq"], rc(x["seq"])) for x in got} == {min(t, rc(t)) for t in (genome, small)}
+    assert len(got) < compact.by_minimizer(df, 11).count()
+
+
+def test_places(spark):
+    from strandweave.operators.chains import places
+
+    n = 5000
+    order = random.Random(2).sample(range(n), n)
+    links = [(b, a) for a, b in zip(order, order[1:])] + [(n + 1, n), (n + 11, n + 12), (n + 12, n + 13), (n + 13, n + 11), (n + 20, n + 20)]
+    done, circles = places(spark.createDataFrame(links, "id long, before long"))
+    want = {(b, order[0], i) for i, b in enumerate(order) if i} | {(n + 1, n, 1)}
+    assert {tuple(x) for x in done.collect()} == want
+    assert {tuple(x) for x in circles.collect()} == {(n + 11, n + 11), (n + 12, n + 11), (n + 13, n + 11), (n + 20, n + 20)}
+
+
 def test_simplitigs(spark):
     kmers = spark.createDataFrame([("AAA",), ("AAC",), ("ACG",)], "kmer string")
     assert [tuple(r) for r in compact.numbered(compact.simplitigs(kmers), 7).select("idx", "seq", "kmers").collect()] == [(8, "AAACG", 3)]
