@@ -213,7 +213,10 @@ def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     if a.threads is not None and a.threads < 1:
         raise SystemExit("--threads must be positive")
-    spark = SparkSession.builder.master(f"local[{a.threads or '*'}]").appName("strandweave").getOrCreate()
+    builder = SparkSession.builder.appName("strandweave")
+    if a.threads:  # asked for this machine's threads; else the master that the session is submitted to, or all of this machine
+        builder = builder.master(f"local[{a.threads}]")
+    spark = builder.getOrCreate()
     if a.tool == "count":
         counter(spark, a.fofn or a.input, a.k, a.output, 1 if a.m is None else a.m, a.threshold, a.format, bool(a.fofn), a.partition_count, a.compaction)
     elif a.tool == "subtract":

@@ -87,6 +87,14 @@ def parse(lines: io.TextIOBase) -> Iterator[tuple[str, str]]:
         yield header, text
 
 
+def lines_of(path: str, content: bytes | None) -> io.TextIOBase:
+    """A file's lines: of its content, or streamed from its store where that isn't given."""
+    if content is not None:
+        return opened(io.BytesIO(content), path)
+    fs, inside = place(path)
+    return opened(fs.open_input_stream(inside, compression=None), path)
+
+
 def read_fastx(spark: SparkSession, paths: list[str], on_invalid: str = "error") -> DataFrame:
     """path, record_idx, header, seq. on_invalid: ``error``, or ``skip`` to leave out files that aren't sequences."""
     ship(spark)
@@ -95,19 +103,13 @@ def read_fastx(spark: SparkSession, paths: list[str], on_invalid: str = "error")
     stream = streams(paths)
     files = spark.read.format("binaryFile").load(paths).select("path", *([] if stream else ["content"]))
 
-    def lines(path: str, content) -> io.TextIOBase:
-        if not stream:
-            return opened(io.BytesIO(content.as_py()), path)
-        fs, inside = place(path)
-        return opened(fs.open_input_stream(inside, compression=None), path)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["path", "record_idx", "header", "seq"]
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(batch.num_columns - 1)):
                 path, rows, size = path.as_py(), [], 0
                 try:
-                    for i, (header, text) in enumerate(parse(lines(path, content))):
+                    for i, (header, text) in enumerate(parse(lines_of(path, None if stream else content.as_py()))):
                         rows.append((path, i, header, text))
                         size += len(text)
                         if size > 8 << 20:
@@ -126,17 +128,15 @@ def read_fastx(spark: SparkSession, paths: list[str], on_invalid: str = "error")
 def invalid(spark: SparkSession, paths: list[str]) -> list[str]:
     """Files that begin neither like FASTA nor like FASTQ, which ``skip`` leaves out: one row for each file, at most."""
     ship(spark)
-    if not streams(paths):
-        return []
-    files = spark.read.format("binaryFile").load(paths).select("path")
+    stream = streams(paths)
+    files = spark.read.format("binaryFile").load(paths).select("path", *([] if stream else ["content"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bad = []
-            for path in batch.column(0).to_pylist():
-                fs, inside = place(path)
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1)):
                 try:
-                    next(parse(opened(fs.open_input_stream(inside, compression=None), path)), None)
+                    next(parse(lines_of(path, None if stream else content.as_py())), None)
                 except InvalidInput:
                     bad.append(path)
             yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], ["path"])

@@ -190,3 +190,14 @@ def test_entry():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert tools.parser().parse_args(["count", "-i", "a", "-k", "3"]).threshold == 1
+
+
+def test_invalid_files_of_other_stores(spark, tmp_path, monkeypatch):
+    """Where no stream can be opened, files come whole through Spark; those that are no sequences are told there, too."""
+    (tmp_path / "good.fa").write_text(">a\nACGT\n")
+    (tmp_path / "bad.fa").write_text("no sequences\n")
+    paths = [str(tmp_path / n) for n in ("good.fa", "bad.fa")]
+    want = [p for p in fastx.invalid(spark, paths)]
+    monkeypatch.setattr(fastx, "streams", lambda paths: False)
+    assert fastx.invalid(spark, paths) == want and want[0].endswith("bad.fa")
+    assert [r["seq"] for r in fastx.read_fastx(spark, paths, "skip").collect()] == ["ACGT"]
