@@ -163,6 +163,10 @@ def search(column, test: TestSet) -> tuple[np.ndarray, list[tuple[int, int, int,
     return n_words, sorted(zip(row.tolist(), item.tolist(), (test.suffix[tests] - test.first[item]).tolist(), (places - first[row]).tolist(), size.tolist()))
 
 
+#: Number of a row where the test set is searched in blocks.
+ROW = "decontam_row"
+
+
 def one_pass(docs: DataFrame, test: TestSet, out: list[str]) -> DataFrame:
     """docs: columns, text among them, then n_words and matches, to which the test set's are added; out: columns to return."""
     at, keep = docs.columns.index("text"), [docs.columns.index(c) for c in out]
@@ -189,13 +193,18 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, block_mb: float
     blocks = max(1, -(-size // int(block_mb * (1 << 20))))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     names = list(dict.fromkeys([*columns, "text"]))
-    out = docs.select(*names, F.lit(0).cast("long").alias("n_words"), F.expr(f"cast(array() as {MATCH})").alias("matches"))
+    none = [F.lit(0).cast("long").alias("n_words"), F.expr(f"cast(array() as {MATCH})").alias("matches")]
+    test_set = lambda b: TestSet([tuple(r) for r in items.where(block == b).collect()], window)
+    if blocks == 1:
+        return one_pass(docs.select(*names, *none), test_set(0), list(columns))
+    # rows get a number and are written once; what a block finds is written without them
+    rows, found = cut(docs.select(*names).withColumn(ROW, F.monotonically_increasing_id()), "numbered"), None
     for b in range(blocks):
-        test = TestSet([tuple(r) for r in items.where(block == b).collect()], window)
-        out = one_pass(out, test, names if b < blocks - 1 else list(columns))
-        if b < blocks - 1:
-            out = cut(out, "matches")  # a plan of several passes would hold a block in a worker for each
-    return out
+        one = one_pass(rows.select(ROW, "text", *none), test_set(b), [ROW])
+        one = cut(one.where(F.size("matches") > 0) if b else one, "matches")  # the first has a row for each
+        found = one if found is None else found.unionByName(one)
+    found = found.groupBy(ROW).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))
+    return rows.join(found, ROW).select(*columns, "n_words", "matches")
 
 
 def spans_hit(spans: list[tuple[int, int]]) -> int:
