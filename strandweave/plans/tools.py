@@ -83,7 +83,7 @@ def compacted(kmers: DataFrame, m: int = 1, partitions: int = 1024, by: str = "c
     return compact.simplitigs(kmers) if by == "components" else compact.by_minimizer(kmers, m, partitions)
 
 
-def counter(spark: SparkSession, inputs: list[str], k: int, output: str, m: int = 1, threshold: int = 1, fmt: str = "fasta", fofn: bool = False, partitions: int = 1024, compaction: str = "components") -> int:
+def counter(spark: SparkSession, inputs: list[str], k: int, output: str, m: int = 1, threshold: int = 1, fmt: str = "fasta", fofn: bool = False, partitions: int = 1024, compaction: str = "components", parts: bool = False) -> int:
     """Frequent k-mers of files as simplitigs, with their counts (``counts``) or as KFF; with ``fofn`` k-mers of more than
     ``threshold`` datasets."""
     count.CounterConfig(k, m, threshold, partitions).check(fofn)
@@ -97,21 +97,21 @@ def counter(spark: SparkSession, inputs: list[str], k: int, output: str, m: int
         if fmt == "kff":
             return sinks.write_kff(found, output, k, m, threshold, 4 if fofn else None, not fofn)
         if fmt == "counts":
-            return sinks.write_counts(found, output)
-        return sinks.write_simplitigs(compacted(found.select("kmer"), m, partitions, compaction), output, k)
+            return sinks.write_counts(found, output, parts)
+        return sinks.write_simplitigs(compacted(found.select("kmer"), m, partitions, compaction), output, k, parts=parts)
 
 
-def subtractor(spark: SparkSession, index: str, inputs: list[str], k: int, output: str, m: int | None = None, fofn: bool = False, kmers: str = "simplitig", compaction: str = "components") -> int:
+def subtractor(spark: SparkSession, index: str, inputs: list[str], k: int, output: str, m: int | None = None, fofn: bool = False, kmers: str = "simplitig", compaction: str = "components", parts: bool = False) -> int:
     """What the inputs have and the index lacks: as simplitigs, as ``distinct`` k-mers, or ``all`` of their occurrences."""
     m = subtract.check_k(k, m)
     reads = fastx.read_fastx(spark, fastx.expand_fofns(inputs) if fofn else inputs)
     known = compact.kmers_of(fastx.read_fastx(spark, [index]), k)
     if kmers == "all":
-        return sinks.write_kmers(subtract.absent_windows(reads, known, k), output)
+        return sinks.write_kmers(subtract.absent_windows(reads, known, k), output, parts)
     left = subtract.subtract_distinct(reads, known, k)
     if kmers == "distinct":
-        return sinks.write_kmers(left, output)
-    return sinks.write_simplitigs(compacted(left, m, by=compaction), output, k)
+        return sinks.write_kmers(left, output, parts)
+    return sinks.write_simplitigs(compacted(left, m, by=compaction), output, k, parts=parts)
 
 
 def with_ids(records: DataFrame) -> DataFrame:
@@ -119,19 +119,19 @@ def with_ids(records: DataFrame) -> DataFrame:
     return records.withColumn("unitig_id", F.col("record_idx"))
 
 
-def reformer(spark: SparkSession, path: str, k: int, output: str, mode: str = "simplitig", abundance: str | None = "mean", tiebreak: str = "none", sort: str = "none", zstd_workers: int = 0) -> int:
+def reformer(spark: SparkSession, path: str, k: int, output: str, mode: str = "simplitig", abundance: str | None = "mean", tiebreak: str = "none", sort: str = "none", zstd_workers: int = 0, parts: bool = False) -> int:
     records = with_ids(fastx.read_fastx(spark, [path]))
     if not records.head(1):
         raise ValueError("no records")
     made = reform.reform(records, k, mode, abundance, tiebreak, sort)
     with phase("reform_output"):
-        n = sinks.write_reformed(made, output, zstd_workers)
+        n = sinks.write_reformed(made, output, zstd_workers, parts)
     for name, value in zip(("output_records", "output_unitigs", "output_bases"), reform.summary(made).first()):
         say(stat(name, value))
     return n
 
 
-def pipeline(spark: SparkSession, index: list[str], queries: list[str], k: int, m: int | None = None, threshold: int = 1, output: str | None = None, suffix: str = "filtered", mode: str = "simplitig", reform_output: bool = False, abundance: str | None = None, index_fofn: bool = False, query_fofn: bool = False, partitions: int = 1024, compaction: str = "components") -> list[QueryStats]:
+def pipeline(spark: SparkSession, index: list[str], queries: list[str], k: int, m: int | None = None, threshold: int = 1, output: str | None = None, suffix: str = "filtered", mode: str = "simplitig", reform_output: bool = False, abundance: str | None = None, index_fofn: bool = False, query_fofn: bool = False, partitions: int = 1024, compaction: str = "components", parts: bool = False) -> list[QueryStats]:
     """Index k-mers, then each query without them: as simplitigs, as segments (``regular``) or as counters only (``no-output``)."""
     m = subtract.check_k(k, m)
     count.CounterConfig(k, m, threshold, partitions).check(index_fofn)
@@ -166,18 +166,18 @@ def pipeline(spark: SparkSession, index: list[str], queries: list[str], k: int,
                 order = [F.col(c) for c in ("path", "record_idx", "frag", "start")]
                 from ..operators.rank import number_rows
 
-                sinks.write_reformed(reform.reform(number_rows(segs, order, "unitig_id"), k, "simplitig", abundance), out)
+                sinks.write_reformed(reform.reform(number_rows(segs, order, "unitig_id"), k, "simplitig", abundance), out, parts=parts)
             else:
-                sinks.write_segments(segs, out)
+                sinks.write_segments(segs, out, parts)
         elif out:
             left = cut(subtract.subtract_distinct(reads, found, k), "left")
             stats.unique = left.count()
             made = compacted(left, m, partitions, compaction)
             if reform_output:
                 units = compact.numbered(made).select(F.col("idx").alias("unitig_id"), F.lit("").alias("header"), "seq")
-                sinks.write_reformed(reform.reform(units, k, "simplitig", None), out)
+                sinks.write_reformed(reform.reform(units, k, "simplitig", None), out, parts=parts)
             else:
-                sinks.write_simplitigs(made, out, k)
+                sinks.write_simplitigs(made, out, k, parts=parts)
         if out:
             say(OUTPUT, job[0], out)
         done.append(stats)
@@ -193,6 +193,7 @@ def parser() -> argparse.ArgumentParser:
         t.add_argument("-k", type=int, required=True)
         t.add_argument("-t", "--threads", type=int)
         t.add_argument("-o", "--output")
+        t.add_argument("--parts", action="store_true", help="FASTA outputs are folders of parts that the tasks write")
         for args, kw in more:
             t.add_argument(*args, **kw)
 
@@ -218,13 +219,13 @@ def main(argv: list[str] | None = None) -> None:
         builder = builder.master(f"local[{a.threads}]")
     spark = builder.getOrCreate()
     if a.tool == "count":
-        counter(spark, a.fofn or a.input, a.k, a.output, 1 if a.m is None else a.m, a.threshold, a.format, bool(a.fofn), a.partition_count, a.compaction)
+        counter(spark, a.fofn or a.input, a.k, a.output, 1 if a.m is None else a.m, a.threshold, a.format, bool(a.fofn), a.partition_count, a.compaction, a.parts)
     elif a.tool == "subtract":
-        subtractor(spark, a.index, a.fofn or a.input, a.k, a.output, a.m, bool(a.fofn), a.output_kmers, a.compaction)
+        subtractor(spark, a.index, a.fofn or a.input, a.k, a.output, a.m, bool(a.fofn), a.output_kmers, a.compaction, a.parts)
     elif a.tool == "reform":
-        reformer(spark, a.input, a.k, a.output, a.output_mode, None if a.no_abundance else a.abundance_mode, a.strand_tiebreak, a.output_sort, sinks.zstd_workers(a.zstd_workers, a.threads))
+        reformer(spark, a.input, a.k, a.output, a.output_mode, None if a.no_abundance else a.abundance_mode, a.strand_tiebreak, a.output_sort, sinks.zstd_workers(a.zstd_workers, a.threads), a.parts)
     else:
-        for s in pipeline(spark, a.index_fofn or a.index_input, a.query_fofn or a.query_input, a.k, a.m, a.threshold, a.output, a.output_suffix, a.output_mode, a.reform_output, a.reform_abundance_mode, bool(a.index_fofn), bool(a.query_fofn), a.partition_count, a.compaction):
+        for s in pipeline(spark, a.index_fofn or a.index_input, a.query_fofn or a.query_input, a.k, a.m, a.threshold, a.output, a.output_suffix, a.output_mode, a.reform_output, a.reform_abundance_mode, bool(a.index_fofn), bool(a.query_fofn), a.partition_count, a.compaction, a.parts):
             print("\n".join(s.lines()))
 
 

@@ -1,6 +1,7 @@
-"""Single-file outputs in record order: FASTA in several codecs, and the KFF binary format; and names of output files.
+"""Outputs in record order: FASTA in several codecs, and the KFF binary format; and names of output files.
 
-Rows come to the writer through ``toLocalIterator``, a partition at a time; for outputs of any size use ``df.write``.
+A FASTA output is one file, to which rows come through ``toLocalIterator``, a partition at a time; or, with ``parts``, a folder of parts that
+the tasks write themselves, for outputs of any size: in name order they are the same file, also where they are gzip.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ import struct
 from collections.abc import Iterable
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..operators.rank import number_rows
 from .fastx import codec_of
 
 # Line width and labels of the FASTA formats.
@@ -56,18 +58,47 @@ def write_records(rows: Iterable[tuple[str, str]], path: str, width: int | None
     return n
 
 
-def write_simplitigs(simplitigs: DataFrame, path: str, k: int, start: int = 0, label: str = SIMPLITIG_LABEL) -> int:
+def write_parts(records: DataFrame, path: str, width: int | None = WIDTH, mode: str = "error") -> int:
+    """A folder of parts of records (header, seq, and columns of their order before them), whose bytes one after the other are the single file's.
+
+    One range sort; sequences are wrapped and written where they are. gzip by the path's extension, else plain."""
+    codec = codec_of(path)
+    if codec not in (None, "gzip"):
+        raise ValueError("parts are plain or gzip")
+    text = F.col("seq")
+    if width:
+        text = F.regexp_replace(text, f"(.{{{width}}})(?=.)", "$1\n")
+    seen = Observation(path)
+    order = [c for c in records.columns if c not in ("header", "seq")]
+    lines = records.orderBy(*order).observe(seen, F.count("*").alias("rows")).select(F.concat(F.lit(">"), "header", F.lit("\n"), text).alias("value"))
+    lines.write.mode(mode).option("compression", codec or "none").text(path)
+    return seen.get.get("rows", 0)
+
+
+def _numbered(df: DataFrame, order: str, label: str, seq: str, start: int = 0, more: Column | None = None) -> DataFrame:
+    """n, header, seq: numbers follow the order."""
+    name = F.concat(F.lit(label + "_"), F.col("n"), *([] if more is None else [F.lit(" "), more]))
+    return number_rows(df, [F.col(order)], "n", start).select("n", name.alias("header"), F.col(seq).alias("seq"))
+
+
+def write_simplitigs(simplitigs: DataFrame, path: str, k: int, start: int = 0, label: str = SIMPLITIG_LABEL, parts: bool = False) -> int:
+    if parts:
+        return write_parts(_numbered(simplitigs, "seed", label, "seq", start, F.concat(F.lit("kmers="), F.length("seq") - k + 1)), path)
     rows = simplitigs.orderBy("seed").select("seq").toLocalIterator()
     return write_records(((f"{label}_{i} kmers={len(r['seq']) - k + 1}", r["seq"]) for i, r in enumerate(rows, start + 1)), path)
 
 
-def write_counts(counts: DataFrame, path: str) -> int:
+def write_counts(counts: DataFrame, path: str, parts: bool = False) -> int:
+    if parts:
+        return write_parts(_numbered(counts, "kmer", KMER_LABEL, "kmer", more=F.concat(F.lit("count="), F.col("count"))), path)
     rows = counts.orderBy("kmer").toLocalIterator()
     return write_records(((f"{KMER_LABEL}_{i} count={r['count']}", r["kmer"]) for i, r in enumerate(rows, 1)), path)
 
 
-def write_kmers(kmers: DataFrame, path: str) -> int:
+def write_kmers(kmers: DataFrame, path: str, parts: bool = False) -> int:
     """A record for each row (kmer), in order."""
+    if parts:
+        return write_parts(_numbered(kmers, "kmer", KMER_LABEL, "kmer"), path)
     rows = kmers.orderBy("kmer").toLocalIterator()
     return write_records(((f"{KMER_LABEL}_{i}", r["kmer"]) for i, r in enumerate(rows, 1)), path)
 
@@ -83,13 +114,17 @@ def copy(source: str, path: str, workers: int = 0) -> None:
         shutil.copyfileobj(f, out, 1 << 20)
 
 
-def write_segments(segments: DataFrame, path: str) -> int:
+def write_segments(segments: DataFrame, path: str, parts: bool = False) -> int:
     """Records (header, seq) in order of their place columns."""
     order = [c for c in ("path", "record_idx", "frag", "start") if c in segments.columns]
+    if parts:
+        return write_parts(segments.select(*order, "header", "seq"), path)
     return write_records(((r["header"], r["seq"]) for r in segments.orderBy(*order).toLocalIterator()), path)
 
 
-def write_reformed(reformed: DataFrame, path: str, zstd_workers: int = 0) -> int:
+def write_reformed(reformed: DataFrame, path: str, zstd_workers: int = 0, parts: bool = False) -> int:
+    if parts:
+        return write_parts(reformed.select("rank", "header", "seq"), path, None)
     return write_records(((r["header"], r["seq"]) for r in reformed.orderBy("rank").toLocalIterator()), path, None, zstd_workers)
 
 

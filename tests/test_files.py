@@ -201,3 +201,33 @@ def test_invalid_files_of_other_stores(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(fastx, "streams", lambda paths: False)
     assert fastx.invalid(spark, paths) == want and want[0].endswith("bad.fa")
     assert [r["seq"] for r in fastx.read_fastx(spark, paths, "skip").collect()] == ["ACGT"]
+
+
+@pytest.mark.parametrize("ext", ["fa", "fa.gz"])
+def test_parts_are_the_file(spark, tmp_path, ext, request):
+    """Parts in name order are what the single file holds, for each kind of FASTA output."""
+    import random
+
+    few = "spark.sql.adaptive.coalescePartitions.enabled"
+    request.addfinalizer(lambda: spark.conf.unset(few))
+    spark.conf.set(few, "false")
+    r = random.Random(3)
+    rows = [("".join(r.choices("ACGT", k=r.choice([7, 80, 81, 160, 500]))), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "seq string, i long").repartition(5)
+    kinds = {
+        "simplitigs": lambda p, **kw: sinks.write_simplitigs(df.selectExpr("seq AS seed", "seq"), p, 7, start=4, **kw),
+        "counts": lambda p, **kw: sinks.write_counts(df.selectExpr("seq AS kmer", "i AS count"), p, **kw),
+        "kmers": lambda p, **kw: sinks.write_kmers(df.selectExpr("seq AS kmer"), p, **kw),
+        "segments": lambda p, **kw: sinks.write_segments(df.selectExpr("'x.fa' AS path", "i div 10 AS record_idx", "i % 10 AS frag", "0 AS start", "concat('r ', i) AS header", "seq"), p, **kw),
+        "reformed": lambda p, **kw: sinks.write_reformed(df.selectExpr("i + 1 AS rank", "'A km:f:3' AS header", "seq"), p, **kw),
+        "none": lambda p, **kw: sinks.write_kmers(df.where("false").selectExpr("seq AS kmer"), p, **kw),
+    }
+    plain = (lambda b: b"".join(gzip.decompress(x) for x in b)) if ext.endswith("gz") else b"".join
+    for name, write in kinds.items():
+        one, many = tmp_path / f"{name}.{ext}", tmp_path / f"{name}-parts.{ext}"
+        assert write(str(one)) == write(str(many), parts=True)
+        parts = sorted(many.glob("part-*"))
+        assert plain([x.read_bytes() for x in parts]) == plain([one.read_bytes()])
+        assert name == "none" or len(parts) > 1
+    with pytest.raises(ValueError):
+        kinds["kmers"](str(tmp_path / "x.fa.xz"), parts=True)
