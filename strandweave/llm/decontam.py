@@ -9,7 +9,7 @@ bisection on fingerprints of word runs. So work grows with the matches, not with
 confirmed byte by byte where a match covers them. No shuffle; a shard's memory is bounded by the batch size.
 
 The test set goes to the tasks in blocks of at most ``block_mb`` MB of item text (its size is summed first). Blocks are
-passes over the documents, one after the other: each adds its matches to what the one before has written, so a worker holds one block.
+passes over the documents, which are numbered and written once, one after the other: each writes its matches, which are joined at the end, so a worker holds one block.
 
 Defined cases: null texts have no words; an item with fewer than ``window`` words, but not none, is one window; equal
 items each count; empty tables give no rows (documents) or no matches (test set); other columns are ignored; a text is searched
