@@ -1,23 +1,31 @@
 """Reforming: records that overlap by exactly k-1 bases are linked end to start, on either strand, into longer ones.
 
 Endpoints, candidates, strands, abundances and orders are column expressions. Which links are taken is a sequential choice in
-order of keys, but it only touches records that share a key, so it runs per connected component of
-records in a grouped function, on ids and keys alone; sequences are joined afterwards.
+order of keys; keys that can't touch each other's paths are decided together, in rounds, on ids and keys alone
+(``links``). Places along a path come from the links by pointer doubling; sequences are joined afterwards.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterable, Iterator
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq
+from ..lineage import cut
 from ..shipping import ship
-from .graph import components
+from .chains import places
 from .rank import number_rows
 
 RUNS = "array<struct<value: double, len: long>>"
-PATH = "path_id long, path_idx int, unitig_id long, reverse boolean"
+_LINK = "link boolean, a long, a_reverse boolean, b long, b_reverse boolean"
+_LINKS = ["link", "a", "a_reverse", "b", "b_reverse"]
+#: Open ends and starts that one task links at most.
+LOCAL_ENDS = 1 << 20
 MODES = ("simplitig", "unitig")
 
 
@@ -65,75 +73,126 @@ def candidates(units: DataFrame, k: int) -> DataFrame:
 
 
 class _Linker:
-    """The state of one component: taken ends, fixed strands, and which records are already in one path."""
+    """Links taken so far: taken ends, fixed strands, and which records are already in one path (a record's label is any of its path's)."""
 
-    def __init__(self):
-        self.out: dict[int, int] = {}
-        self.into: dict[int, int] = {}
+    def __init__(self, labels: Iterable[tuple[int, int]] = ()):
+        self.links: list[tuple[int, bool, int, bool]] = []
+        self.out: set[int] = set()
+        self.into: set[int] = set()
         self.strand: dict[int, bool] = {}
-        self.top: dict[int, int] = {}
+        self.top: dict[int, int] = dict(labels)
 
     def root(self, x: int) -> int:
         while (up := self.top.setdefault(x, x)) != x:
-            self.top[x] = x = self.top[up]
+            self.top[x] = x = self.top.setdefault(up, up)
         return x
 
-    def fits(self, a: tuple[int, bool], b: tuple[int, bool]) -> bool:
-        return a[0] != b[0] and a[0] not in self.out and b[0] not in self.into and self.strand.get(a[0], a[1]) == a[1] and self.strand.get(b[0], b[1]) == b[1] and self.root(a[0]) != self.root(b[0])
-
-    def link(self, a: tuple[int, bool], b: tuple[int, bool]) -> None:
-        self.out[a[0]], self.into[b[0]] = b[0], a[0]
-        self.strand[a[0]], self.strand[b[0]] = a[1], b[1]
-        self.top[self.root(a[0])] = self.root(b[0])
-
-
-def link_component(ends: dict[str, list], starts: dict[str, list], mode: str) -> _Linker:
-    """Keys ascending. simplitig: each end takes the first start that fits. unitig: where a key has several ends or starts, only a
-    pair whose end fits exactly one start, and whose start fits exactly one end, in the state reached so far."""
-    state = _Linker()
-    for key in sorted(set(ends) & set(starts)):
-        es, ss = sorted(ends[key]), sorted(starts[key])
-        for e in es:
-            if mode == "simplitig" or len(es) == len(ss) == 1:
-                s = next((s for s in ss if state.fits(e, s)), None)
-            else:
-                fit = [s for s in ss if state.fits(e, s)]
-                s = fit[0] if len(fit) == 1 and sum(state.fits(x, fit[0]) for x in es) == 1 else None
-            if s is not None:
-                state.link(e, s)
+    def open(self, x: tuple[int, bool], taken: set[int]) -> bool:
+        return x[0] not in taken and self.strand.get(x[0], x[1]) == x[1]
+
+    def fitting(self, x: tuple[int, bool], others: deque, taken: set[int], most: int) -> list[tuple[int, bool]]:
+        """The first ``most`` of ``others`` in another path than x's; what is over for good leaves ``others``. At most two open ones
+        are in x's own path, so the work over a key is in proportion to its records."""
+        found, kept = [], []
+        while others and len(found) < most:
+            y = others.popleft()
+            if self.open(y, taken):
+                kept.append(y)
+                if self.root(x[0]) != self.root(y[0]):
+                    found.append(y)
+        others.extendleft(reversed(kept))
+        return found
+
+    def link_key(self, ends: list[tuple[int, bool]], starts: list[tuple[int, bool]], greedy: bool) -> None:
+        """The ends of one key in order. greedy: each takes the first start that fits; else only a pair whose end fits exactly one start,
+        and whose start fits exactly one end, in the state reached so far."""
+        order, es, ss = sorted(ends), deque(sorted(ends)), deque(sorted(starts))
+        for e in order:
+            if self.open(e, self.out):
+                fit = self.fitting(e, ss, self.into, 1 if greedy else 2)
+                if len(fit) == 1 and (greedy or len(self.fitting(fit[0], es, self.out, 2)) == 1):
+                    s = fit[0]
+                    self.links.append((*e, *s))
+                    self.out.add(e[0])
+                    self.into.add(s[0])
+                    self.strand[e[0]], self.strand[s[0]] = e[1], s[1]
+                    self.top[self.root(e[0])] = self.root(s[0])
+
+
+def _linked(pdf: pd.DataFrame, mode: str) -> _Linker:
+    """Keys ascending, of open ends and starts (key, unit_id, reverse, is_end, path, alone)."""
+    keys: dict[str, tuple[list, list, bool]] = {}
+    for key, unit, rev, end, alone in zip(pdf["key"], pdf["unit_id"], pdf["reverse"], pdf["is_end"], pdf["alone"]):
+        keys.setdefault(key, ([], [], bool(alone)))[0 if end else 1].append((int(unit), bool(rev)))
+    state = _Linker(zip(pdf["unit_id"].tolist(), pdf["path"].tolist()))
+    for key in sorted(keys):
+        ends, starts, alone = keys[key]
+        state.link_key(ends, starts, mode == "simplitig" or alone)
     return state
 
 
-def _paths(mode: str):
+def _step(mode: str):
+    """Links of one key, and the new labels of the paths that they join."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends: dict[str, list] = {}
-        starts: dict[str, list] = {}
-        for key, unit, rev, end in zip(pdf["key"], pdf["unitig_id"], pdf["reverse"], pdf["is_end"]):
-            (ends if end else starts).setdefault(key, []).append((int(unit), bool(rev)))
-        state, rows = link_component(ends, starts, mode), []
-        for head in sorted(set(pdf["unitig_id"])):
-            if head not in state.into:
-                at, nth = head, 0
-                while at is not None:
-                    rows.append((head, nth, at, state.strand.get(at, False)))
-                    at, nth = state.out.get(at), nth + 1
-        return pd.DataFrame(rows, columns=["path_id", "path_idx", "unitig_id", "reverse"])
+        state = _linked(pdf, mode)
+        moved = [(False, p, False, top, False) for p in sorted(set(pdf["path"].tolist())) if (top := state.root(p)) != p]
+        return pd.DataFrame([(True, *x) for x in state.links] + moved, columns=_LINKS)
 
     return run
 
 
-def paths(units: DataFrame, k: int, mode: str = "simplitig") -> DataFrame:
-    """path_id (its head's unitig_id: discovery order), path_idx, unitig_id, reverse."""
+def _finish(mode: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(batches)
+        if held:
+            yield pd.DataFrame([(True, *x) for x in _linked(pd.concat(held), mode).links], columns=_LINKS)
+
+    return run
+
+
+def links(units: DataFrame, k: int, mode: str = "simplitig") -> DataFrame:
+    """from_id, from_reverse, to_id, to_reverse: the links that a pass over all keys in ascending order takes, without a circle.
+
+    A key's choice looks at the open ends and starts on it and at the paths these are in, of which a path has two (a single record
+    four). So a key may be decided as soon as it is the smallest open key of every path on it: smaller keys can't touch those paths. A round
+    decides all such keys at once, each a group (at most 4 ends and 4 starts if k-mers are distinct, as in simplitigs; ids
+    only), joins the paths' labels and closes what their links take. The smallest open key is always decided; on keys in random order rounds are
+    few, on a chain whose keys ascend there is one for each key. ``LOCAL_ENDS`` open ends and starts or fewer are finished by one task."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    ship(units.sparkSession)
+    spark = units.sparkSession
+    ship(spark)
     starts, ends = endpoints(units, k)
     rows = starts.withColumn("is_end", F.lit(False)).unionByName(ends.withColumn("is_end", F.lit(True)))
-    low = rows.groupBy("key").agg(F.min("unitig_id").alias("a"))
-    comp = components(rows.join(low, "key").select("a", F.col("unitig_id").alias("b")).where("a != b"))
-    alone = units.join(comp, units["unitig_id"] == comp["id"], "left_anti").select(F.col("unitig_id").alias("path_id"), F.lit(0).alias("path_idx"), "unitig_id", F.lit(False).alias("reverse"))
-    linked = rows.join(comp, rows["unitig_id"] == comp["id"]).groupBy("component").applyInPandas(_paths(mode), PATH)
-    return linked.unionByName(alone)
+    n_ends, n = F.count_if("is_end"), F.count("*")
+    keys = cut(rows.groupBy("key").agg(n_ends.alias("e"), (n - n_ends).alias("s")).where("e > 0 and s > 0").select("key", F.expr("e = 1 and s = 1").alias("alone")), "keys")
+    state = cut(rows.join(keys, "key").select("key", F.col("unitig_id").alias("unit_id"), "reverse", "is_end", F.col("unitig_id").alias("path"), "alone"), "ends")
+    steps = []
+    while state.count() > LOCAL_ENDS:
+        on_key, on_path = Window.partitionBy("key"), Window.partitionBy("path")
+        both = state.withColumn("both", F.max("is_end").over(on_key) & ~F.min("is_end").over(on_key)).where("both").drop("both")
+        ready = F.min(F.col("key") == F.col("low")).over(on_key)
+        marked = cut(both.withColumn("low", F.min("key").over(on_path)).withColumn("ready", ready).drop("low"), "marked")
+        step = cut(marked.where("ready").groupBy("key").applyInPandas(_step(mode), _LINK), "links")
+        steps.append(step.where("link"))
+        side = lambda at, out: steps[-1].select(F.col(at).alias("unit_id"), F.col(at + "_reverse").alias("strand"), F.lit(out).alias("out"), F.lit(not out).alias("into"))
+        fixed = side("a", True).unionByName(side("b", False)).groupBy("unit_id").agg(F.max("strand").alias("strand"), F.max("out").alias("out"), F.max("into").alias("into"))
+        moved = step.where("not link").select(F.col("a").alias("path"), F.col("b").alias("top"))
+        left = marked.where("not ready").join(fixed, "unit_id", "left").where("strand is null or strand = reverse and not if(is_end, out, into)")
+        state = cut(left.join(moved, "path", "left").select("key", "unit_id", "reverse", "is_end", F.coalesce("top", "path").alias("path"), "alone"), "ends")
+    steps.append(state.coalesce(1).mapInPandas(_finish(mode), _LINK))
+    taken = reduce(DataFrame.unionByName, steps)
+    return cut(taken.select(F.col("a").alias("from_id"), F.col("a_reverse").alias("from_reverse"), F.col("b").alias("to_id"), F.col("b_reverse").alias("to_reverse")), "taken")
+
+
+def paths(units: DataFrame, k: int, mode: str = "simplitig") -> DataFrame:
+    """path_id (its head's unitig_id: discovery order), path_idx, unitig_id, reverse; places along a path by pointer doubling over the links."""
+    taken = links(units, k, mode)
+    place, _ = places(taken.select(F.col("to_id").alias("id"), F.col("from_id").alias("before")))
+    strand = taken.select(F.col("from_id").alias("unitig_id"), F.col("from_reverse").alias("reverse")).unionByName(taken.select(F.col("to_id").alias("unitig_id"), F.col("to_reverse").alias("reverse"))).distinct()
+    all_ = units.select("unitig_id").join(strand, "unitig_id", "left").join(place.withColumnRenamed("id", "unitig_id"), "unitig_id", "left")
+    return all_.select(F.coalesce("head", "unitig_id").alias("path_id"), F.coalesce("place", F.lit(0)).cast("int").alias("path_idx"), "unitig_id", F.coalesce("reverse", F.lit(False)).alias("reverse"))
 
 
 def reverse_runs(runs: Column) -> Column:
