@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from ..functions import seq
 from ..lineage import cut
 
+#: Bits of a probe filter for each k-mer, those of one of its bitmaps (the built-in aggregate's size), and the bytes that are sent at most.
+FILTER_BITS = 16
+MAP_BITS = 32768
+FILTER_BYTES = 256 << 20
+
 
 @dataclass(frozen=True)
 class Index:
@@ -95,5 +100,36 @@ def _joined(runs: DataFrame, record: str, k: int) -> DataFrame:
     return whole.select(record, "frag", "start", F.array_join("parts.seq", "").alias("seq"))
 
 
+def filter_bits(kmers: int, most: int | None = None) -> int | None:
+    """Bits of a probe filter of so many k-mers: 16 for each, in whole bitmaps; None if they are more than ``most`` bytes (by default ``FILTER_BYTES``)."""
+    maps = max(1, -(-kmers * FILTER_BITS // MAP_BITS))
+    return maps * MAP_BITS if maps * MAP_BITS // 8 <= (FILTER_BYTES if most is None else most) else None
+
+
+def probed_stats(reads: DataFrame, index: DataFrame | Index, k: int, *keys: str, col: str = "seq", most: int | None = None) -> DataFrame:
+    """Like ``stats``, for an index too large to be sent but whose probe filter isn't (``filter_bits``; a larger one is ``stats``).
+
+    The filter has a bit for each k-mer's hash, made by tasks as bitmaps of 4 KB and looked up by a broadcast join on the bitmap's number.
+    Windows that it lacks are surely absent, and are only counted; others are counted by k-mer before they are shuffled to the index. With
+    16 bits a k-mer, one in 16 absent windows passes, and is told by the join: counts are exact."""
+    built = build(index)
+    bits = filter_bits(built.kmers.count(), most)
+    if bits is None:
+        return stats(reads, built, k, *keys, col=col)
+    bit = F.pmod(F.xxhash64("kmer"), F.lit(bits))
+    number, place = F.floor(bit / MAP_BITS), (bit % MAP_BITS).cast("int")
+    maps = cut(built.kmers.groupBy(number.alias("map")).agg(F.bitmap_construct_agg(bit % MAP_BITS).alias("bits")), "filter")
+    w = seq.windows(seq.fragments(reads, k, *keys, seq=col), k, *keys).withColumn("map", number)
+    byte = F.conv(F.hex(F.substring("bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may_be = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), place % 8 + 1)) != 0
+    probe = w.join(F.broadcast(maps), "map", "left").withColumn("probe", F.when(may_be, F.col("kmer")))
+    counted = probe.groupBy(*keys, "probe").agg(F.count("*").alias("n"))
+    met = counted.join(built.kmers.withColumn("hit", F.lit(True)), F.col("probe") == F.col("kmer"), "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    hit = F.when(F.col("hit"), F.col("n")).otherwise(0)
+    out = [total(F.col("n")).alias("scanned"), total(hit).alias("filtered"), total(F.col("n") - hit).alias("not_filtered")]
+    return met.groupBy(*keys).agg(*out) if keys else met.agg(*out)
+
+
 def nucleotides(segs: DataFrame) -> DataFrame:
     return segs.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).cast("long").alias("nucleotides"))

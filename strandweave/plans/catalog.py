@@ -124,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "subtract_distinct": lambda s, d: subtract.subtract_distinct(reads(s, d), index(s, d), K),
     "subtract_bag": lambda s, d: subtract.absent_windows(reads(s, d, "conversations", record_idx="conv_id"), index(s, d), K, "record_idx").groupBy("record_idx").agg(F.count("*").alias("absent")),
     "subtract_bag_stats": lambda s, d: subtract.stats(reads(s, d), index(s, d), K),
+    "subtract_stats_probed": lambda s, d: subtract.probed_stats(reads(s, d), index(s, d), K, "dataset_id"),
     "subtract_empty_index": lambda s, d: subtract.stats(reads(s, d), index(s, d).where("false"), K),
     "per_query_stats": lambda s, d: subtract.stats(reads(s, d), index(s, d), K, "dataset_id"),
     "regular_segments": lambda s, d: subtract.segments(reads(s, d), index(s, d), K),
@@ -223,6 +224,7 @@ ORACLE_SQL: dict[str, str] = {
     "subtract_bag_stats": f"SELECT {_STATS} FROM {_MARK}",
     "subtract_empty_index": f"SELECT count(*) AS scanned, 0::BIGINT AS filtered, count(*) AS not_filtered FROM {_DOCS}",
     "per_query_stats": f"SELECT dataset_id, {_STATS} FROM {_MARK} GROUP BY dataset_id",
+    "subtract_stats_probed": f"SELECT dataset_id, {_STATS} FROM {_MARK} GROUP BY dataset_id",
     "regular_segments": f"SELECT * FROM {_SEGS}",
     "regular_nucleotides": f"SELECT coalesce(sum(length(seq)), 0)::BIGINT AS nucleotides FROM {_SEGS}",
     "shared_kmers": f"SELECT DISTINCT kmer FROM {_DOCS} WHERE kmer IN (SELECT kmer FROM {_INDEX})",

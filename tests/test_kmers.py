@@ -157,6 +157,21 @@ def test_subtract(spark):
         subtract.check_k(4)
 
 
+@pytest.mark.parametrize("most", [None, 0])
+@pytest.mark.parametrize("keys", [(), ("dataset_id",)])
+def test_probed_stats(spark, monkeypatch, most, keys):
+    """The counts of the plain join, whatever the filter lets pass; without reads and without an index, too."""
+    r = random.Random(4)
+    monkeypatch.setattr(subtract, "FILTER_BITS", 1)  # many absent windows pass
+    rows = [(i, i % 3, "".join(r.choices("ACGTN", k=400))) for i in range(40)] + [(40, None, "A" * 300), (41, 1, None)]
+    df = spark.createDataFrame(rows, "record_idx long, dataset_id long, seq string")
+    index = count.distinct_kmers(df.where("record_idx % 2 = 0"), 9).limit(3000)
+    index = spark.createDataFrame(index.collect(), "kmer string")
+    for d, i in ((df, index), (df, index.where("false")), (df.where("false"), index)):
+        got, want = subtract.probed_stats(d, i, 9, *keys, most=most), subtract.stats(d, i, 9, *keys)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_count_by_superkmers(spark):
     """What a plain count gives: long runs of one minimizer, both strands, gaps, hot minimizers and none; and a smaller shuffle's one exchange."""
     r = random.Random(6)
