@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import seq
 from ..operators import compact, count, reform, subtract
 from ..sources.spread import spread
-from ..streaming import presence
+from ..streaming import presence, pruned
 
 K, M, X = 21, 11, 2
 UNIT_K = 7
@@ -110,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dataset_presence_gt_x": lambda s, d: count.count_datasets(reads(s, d), K, X),
     "dataset_presence_threshold_too_high": _presence_above_300,
     "streaming_presence": lambda s, d: presence.presence_of_arrivals(s, f"{d}/documents.parque[t]", s.read.parquet(f"{d}/documents.parquet").schema, K, X, "source", "text"),
+    "streaming_presence_pruned": lambda s, d: pruned.presence_in_arrivals(reads(s, d), K, X),
     "distinct_kmers": lambda s, d: index(s, d),
     "kmer_spectrum_histogram": lambda s, d: count.spectrum(count.count_kmers(reads(s, d), K)),
     "minimizer_window_counts": lambda s, d: count.minimizer_counts(reads(s, d), K, M),
@@ -208,6 +209,7 @@ ORACLE_SQL: dict[str, str] = {
     "dataset_presence_gt_x": _PRESENCE,
     "dataset_presence_threshold_too_high": _PRESENCE.replace(f"> {X}", "> 300"),
     "streaming_presence": _PRESENCE,
+    "streaming_presence_pruned": _PRESENCE,
     "distinct_kmers": f"SELECT kmer FROM {_INDEX}",
     "kmer_spectrum_histogram": f"SELECT count, count(*) AS kmers FROM (SELECT count(*) AS count FROM {_DOCS} GROUP BY kmer) GROUP BY count",
     "minimizer_window_counts": f"SELECT minimizer, count(*) AS windows FROM {_MIN} GROUP BY minimizer",
