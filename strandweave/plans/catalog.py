@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import seq
+from ..lineage import drop_on_exit, shared_path
 from ..operators import compact, count, reform, subtract
+from ..sources import kff
 from ..sources.spread import spread
 from ..streaming import presence, pruned
 
@@ -101,12 +103,21 @@ def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select("kmer", seq.encode("kmer").alias("number")).select("kmer", "number", seq.decode("number", K).alias("back"))
 
 
+def _kff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent k-mers written as KFF by many tasks, and read back."""
+    path = shared_path(spark, "kff")
+    kff.write(count.count_kmers(reads(spark, sf_dir), K, X), path, K, M, X)
+    drop_on_exit(spark, path)
+    return kff.read(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "count_kmers_gt_x": lambda s, d: count.count_kmers(reads(s, d), K, X),
     "count_kmers_superkmer": lambda s, d: count.count_by_superkmers(reads(s, d), K, M, X),
     "count_kmers_k31": lambda s, d: count.count_kmers(reads(s, d), 31, 1),
     "count_kmers_even_k": lambda s, d: count.count_kmers(reads(s, d), 4, 0),
     "kff_saturated_counts": lambda s, d: count.saturated(count.count_kmers(reads(s, d), K, X), X),
+    "kff_round_trip": _kff,
     "dataset_presence_gt_x": lambda s, d: count.count_datasets(reads(s, d), K, X),
     "dataset_presence_threshold_too_high": _presence_above_300,
     "streaming_presence": lambda s, d: presence.presence_of_arrivals(s, f"{d}/documents.parque[t]", s.read.parquet(f"{d}/documents.parquet").schema, K, X, "source", "text"),
@@ -206,6 +217,7 @@ ORACLE_SQL: dict[str, str] = {
     "count_kmers_k31": f"SELECT kmer, count(*) AS count FROM {_windows('documents', 'doc_id', 'doc_id', 31)} GROUP BY kmer HAVING count(*) > 1",
     "count_kmers_even_k": f"SELECT kmer, count(*) AS count FROM {_windows('documents', 'doc_id', 'doc_id', 4)} GROUP BY kmer",
     "kff_saturated_counts": f"SELECT kmer, least(count(*), {X + 1}) AS count FROM {_DOCS} GROUP BY kmer HAVING count(*) > {X}",
+    "kff_round_trip": f"SELECT kmer, least(count(*), {X + 1}) AS count FROM {_DOCS} GROUP BY kmer HAVING count(*) > {X}",
     "dataset_presence_gt_x": _PRESENCE,
     "dataset_presence_threshold_too_high": _PRESENCE.replace(f"> {X}", "> 300"),
     "streaming_presence": _PRESENCE,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut
 from ..operators import compact, count, reform, subtract
-from ..sources import fastx, sinks
+from ..sources import fastx, kff, sinks
 
 
 # Names in lines of statistics, warnings and outputs; a line's parts are separated by tabs.
@@ -95,7 +95,8 @@ def counter(spark: SparkSession, inputs: list[str], k: int, output: str, m: int
         found = count.count_kmers(read(spark, inputs), k, threshold)
     with phase("kmer_counting_and_output"):
         if fmt == "kff":
-            return sinks.write_kff(found, output, k, m, threshold, 4 if fofn else None, not fofn)
+            write = kff.write if parts else sinks.write_kff
+            return write(found, output, k, m, threshold, 4 if fofn else None, not fofn)
         if fmt == "counts":
             return sinks.write_counts(found, output, parts)
         return sinks.write_simplitigs(compacted(found.select("kmer"), m, partitions, compaction), output, k, parts=parts)
@@ -193,7 +194,7 @@ def parser() -> argparse.ArgumentParser:
         t.add_argument("-k", type=int, required=True)
         t.add_argument("-t", "--threads", type=int)
         t.add_argument("-o", "--output")
-        t.add_argument("--parts", action="store_true", help="FASTA outputs are folders of parts that the tasks write")
+        t.add_argument("--parts", action="store_true", help="outputs are folders of parts that the tasks write")
         for args, kw in more:
             t.add_argument(*args, **kw)
 
