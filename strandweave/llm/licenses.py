@@ -1,8 +1,8 @@
 """License scans: ordered signature rules, gated by keywords, with priority and interval-containment suppression.
 
 Rules are the hand-written signatures of license texts and notices in ``signatures``, and the statement forms (SPDX tag, "licensed
-under", file header, URL, name) of a table of licenses' own patterns, in priority order. A text is searched for
-the keywords first, and only rules of keywords that it has run. Of the detections, one that lies inside another of a
+under", file header, URL, name) of a table of licenses' own patterns, in priority order; SPDX expressions are split into their
+operands. A text is searched for the keywords first, and only rules of keywords that it has run. Of the detections, one that lies inside another of a
 higher priority (or of the same priority and longer) is suppressed: one sweep over an ordered set of intervals. The base phrases
 are counted by their words and are never suppressed.
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from typing import NamedTuple
 
 import ahocorasick
@@ -33,30 +33,30 @@ from .signatures import SIGNATURES
 #: Base phrases and labels, as the contract fixes them.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Label, SPDX id pattern, name pattern, URL pattern, keywords: every form of it holds all
+#: Label, SPDX id pattern, name pattern, URL pattern (or none), keywords: every form of it holds all
 #: the literals (joined by &) of one of them, once white space is collapsed.
 LICENSES = [
-    ("gpl-2.0", r"gpl-2\.0(?:-only|-or-later|\+)?", r"gnu general public licen[sc]e,? (?:version|v)\.? ?2", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0", "gpl|gnu general"),
-    ("gpl-3.0", r"gpl-3\.0(?:-only|-or-later|\+)?", r"gnu general public licen[sc]e,? (?:version|v)\.? ?3", r"gnu\.org/licenses/gpl-3\.0", "gpl|gnu general"),
+    ("gpl-2.0", r"gpl-2\.0(?:-only|-or-later|\+)?", r"gnu general public licen[sc]e,? (?:version|v)\.? ?2|\b(?:gnu )?gpl,? ?(?:version|v)\.? ?2(?!\.[1-9])", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0", "gpl|gnu general"),
+    ("gpl-3.0", r"gpl-3\.0(?:-only|-or-later|\+)?", r"gnu general public licen[sc]e,? (?:version|v)\.? ?3|\b(?:gnu )?gpl,? ?(?:version|v)\.? ?3(?!\.[1-9])", r"gnu\.org/licenses/gpl-3\.0", "gpl|gnu general"),
     ("gpl", r"gpl", r"gnu general public licen[sc]e|\bgnu gpl\b", r"gnu\.org/licenses/gpl(?![-.0-9])", "gpl|gnu general"),
-    ("lgpl-2.1", r"lgpl-2\.1(?:-only|-or-later|\+)?", r"gnu lesser general public licen[sc]e,? (?:version|v)\.? ?2\.1", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1", "lgpl|lesser general"),
-    ("lgpl-3.0", r"lgpl-3\.0(?:-only|-or-later|\+)?", r"gnu lesser general public licen[sc]e,? (?:version|v)\.? ?3", r"gnu\.org/licenses/lgpl-3\.0", "lgpl|lesser general"),
+    ("lgpl-2.1", r"lgpl-2\.1(?:-only|-or-later|\+)?", r"gnu lesser general public licen[sc]e,? (?:version|v)\.? ?2\.1|\b(?:gnu )?lgpl,? ?(?:version|v)\.? ?2\.1", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1", "lgpl|lesser general"),
+    ("lgpl-3.0", r"lgpl-3\.0(?:-only|-or-later|\+)?", r"gnu lesser general public licen[sc]e,? (?:version|v)\.? ?3|\b(?:gnu )?lgpl,? ?(?:version|v)\.? ?3", r"gnu\.org/licenses/lgpl-3\.0", "lgpl|lesser general"),
     ("lgpl", r"lgpl", r"gnu (?:lesser|library) general public licen[sc]e", r"gnu\.org/licenses/lgpl(?![-.0-9])", "lgpl|lesser general|library general"),
     ("agpl-3.0", r"agpl-3\.0(?:-only|-or-later|\+)?", r"(?:gnu )?affero general public licen[sc]e", r"gnu\.org/licenses/agpl", "agpl|affero"),
     ("gfdl", r"gfdl-1\.[123](?:-only|-or-later)?", r"gnu free documentation licen[sc]e", r"gnu\.org/licenses/fdl", "gfdl|free documentation|licenses/fdl"),
-    ("apache-2.0", r"apache-2\.0", r"apache licen[sc]e,? (?:version |v)?2(?:\.0)?", r"apache\.org/licenses/license-2\.0", "apache"),
-    ("apache-1.1", r"apache-1\.1", r"apache software licen[sc]e,? (?:version |v)?1\.1", r"apache\.org/licenses/license-1\.1", "apache"),
+    ("apache-2.0", r"apache-2\.0", r"apache licen[sc]e,? (?:version |v\.? ?)?2(?:\.0)?", r"apache\.org/licenses/license-2\.0", "apache"),
+    ("apache-1.1", r"apache-1\.1", r"apache software licen[sc]e,? (?:version |v\.? ?)?1\.1", r"apache\.org/licenses/license-1\.1", "apache"),
     ("apache", r"apache", r"apache (?:software )?licen[sc]e", r"apache\.org/licenses/?(?!license)", "apache"),
-    ("mit", r"mit", r"\bmit licen[sc]e|\bexpat licen[sc]e", r"opensource\.org/licenses/mit", "mit&licen|expat lic"),
+    ("mit", r"mit", r"\bmit[- ]licen[sc]e|\bexpat licen[sc]e", r"opensource\.org/licenses/mit", "mit&licen|mit&under|expat lic"),
     ("mit-0", r"mit-0", r"\bmit no attribution", r"opensource\.org/licenses/mit-0", "mit no attr|mit-0"),
-    ("bsd-2-clause", r"bsd-2-clause", r"(?:2|two)[- ]clause bsd licen[sc]e|simplified bsd licen[sc]e|freebsd licen[sc]e", r"opensource\.org/licenses/bsd-2-clause", "bsd"),
-    ("bsd-3-clause", r"bsd-3-clause", r"(?:3|three)[- ]clause bsd licen[sc]e|(?:new|modified|revised) bsd licen[sc]e", r"opensource\.org/licenses/bsd-3-clause", "bsd"),
-    ("bsd-4-clause", r"bsd-4-clause", r"(?:4|four)[- ]clause bsd licen[sc]e|original bsd licen[sc]e", r"spdx\.org/licenses/bsd-4-clause", "bsd"),
+    ("bsd-2-clause", r"bsd-2-clause", r"(?:2|two)[- ]clause bsd licen[sc]e|bsd[- ](?:2|two)[- ]clause licen[sc]e|simplified bsd licen[sc]e|freebsd licen[sc]e", r"opensource\.org/licenses/bsd-2-clause", "bsd"),
+    ("bsd-3-clause", r"bsd-3-clause", r"(?:3|three)[- ]clause bsd licen[sc]e|bsd[- ](?:3|three)[- ]clause licen[sc]e|(?:new|modified|revised) bsd licen[sc]e", r"opensource\.org/licenses/bsd-3-clause", "bsd"),
+    ("bsd-4-clause", r"bsd-4-clause", r"(?:4|four)[- ]clause bsd licen[sc]e|bsd[- ](?:4|four)[- ]clause licen[sc]e|original bsd licen[sc]e", r"spdx\.org/licenses/bsd-4-clause", "bsd"),
     ("0bsd", r"0bsd", r"zero[- ]clause bsd|bsd zero clause", r"opensource\.org/licenses/0bsd", "bsd"),
     ("bsd", r"bsd", r"\bbsd licen[sc]e", r"opensource\.org/licenses/bsd-license", "bsd"),
-    ("isc", r"isc", r"\bisc licen[sc]e", r"opensource\.org/licenses/isc", "isc&licen"),
-    ("mpl-1.1", r"mpl-1\.1", r"mozilla public licen[sc]e,? (?:version |v)?1\.1", r"mozilla\.org/mpl/1\.1|mozilla\.org/mpl/mpl-1\.1", "mozilla|mpl"),
-    ("mpl-2.0", r"mpl-2\.0", r"mozilla public licen[sc]e,? (?:version |v)?2(?:\.0)?", r"mozilla\.org/(?:en-us/)?mpl/2\.0", "mozilla|mpl"),
+    ("isc", r"isc", r"\bisc licen[sc]e", r"opensource\.org/licenses/isc", "isc&licen|isc&under"),
+    ("mpl-1.1", r"mpl-1\.1", r"mozilla public licen[sc]e,? (?:version |v\.? ?)?1\.1", r"mozilla\.org/mpl/1\.1|mozilla\.org/mpl/mpl-1\.1", "mozilla|mpl"),
+    ("mpl-2.0", r"mpl-2\.0", r"mozilla public licen[sc]e,? (?:version |v\.? ?)?2(?:\.0)?", r"mozilla\.org/(?:en-us/)?mpl/2\.0", "mozilla|mpl"),
     ("mpl", r"mpl", r"mozilla public licen[sc]e", r"mozilla\.org/mpl/?(?![0-9m])", "mozilla|mpl"),
     ("epl-1.0", r"epl-1\.0", r"eclipse public licen[sc]e,? (?:- ?)?(?:version |v ?)?1\.0", r"eclipse\.org/legal/epl-v10", "eclipse|epl-"),
     ("epl-2.0", r"epl-2\.0", r"eclipse public licen[sc]e,? (?:- ?)?(?:version |v ?)?2\.0", r"eclipse\.org/legal/epl-2\.0", "eclipse|epl-"),
@@ -74,8 +74,8 @@ LICENSES = [
     ("wtfpl", r"wtfpl", r"do what the fuck you want to public licen[sc]e", r"wtfpl\.net", "wtfpl|do what the"),
     ("zlib", r"zlib", r"\bzlib licen[sc]e|zlib/libpng licen[sc]e", r"zlib\.net/zlib_license|opensource\.org/licenses/zlib", "zlib"),
     ("bsl-1.0", r"bsl-1\.0", r"boost software licen[sc]e", r"boost\.org/license_1_0", "boost|bsl-"),
-    ("artistic-2.0", r"artistic-2\.0", r"artistic licen[sc]e,? (?:version |v)?2(?:\.0)?", r"opensource\.org/licenses/artistic-2\.0", "artistic"),
-    ("artistic-1.0", r"artistic-1\.0", r"(?:perl )?artistic licen[sc]e(?! ?,? ?(?:version |v)?2)", r"opensource\.org/licenses/artistic-1\.0", "artistic"),
+    ("artistic-2.0", r"artistic-2\.0", r"artistic licen[sc]e,? (?:version |v\.? ?)?2(?:\.0)?", r"opensource\.org/licenses/artistic-2\.0", "artistic"),
+    ("artistic-1.0", r"artistic-1\.0", r"(?:perl )?artistic licen[sc]e(?! ?,? ?(?:version |v\.? ?)?2)", r"opensource\.org/licenses/artistic-1\.0", "artistic"),
     ("ofl-1.1", r"ofl-1\.[01]", r"(?:sil )?open font licen[sc]e", r"scripts\.sil\.org/ofl", "ofl|open font"),
     ("postgresql", r"postgresql", r"postgresql licen[sc]e", r"opensource\.org/licenses/postgresql", "postgresql"),
     ("python-2.0", r"(?:python|psf)-2\.0", r"python software foundation licen[sc]e|\bpsf licen[sc]e", r"docs\.python\.org/[^\s]*license", "python|psf"),
@@ -91,19 +91,24 @@ LICENSES = [
     ("ncsa", r"ncsa", r"(?:university of illinois/)?ncsa (?:open source )?licen[sc]e", r"opensource\.org/licenses/ncsa", "ncsa"),
     ("openssl", r"openssl", r"\bopenssl licen[sc]e", r"openssl\.org/source/license", "openssl"),
     ("public-domain", r"public-domain", r"(?:released|placed|dedicated|is) (?:in|into|to) the public domain", r"creativecommons\.org/publicdomain/mark", "public domain|publicdomain|public-domain"),
-    ("proprietary", r"licenseref-proprietary", r"all rights reserved|proprietary and confidential", r"example\.invalid/proprietary", "all rights|proprietary"),
+    ("proprietary", r"licenseref-proprietary", r"all rights reserved|proprietary and confidential", "", "all rights|proprietary"),
 ]
 
 #: Statement forms: name, priority, pattern with the license's own parts; confidence is priority / 100.
 FORMS = [
     ("tag", 100, r"spdx-license-identifier:\s*(?:{spdx})(?![\w.+-])"),
     ("under", 90, r"(?:licen[sc]ed|distributed|released|available|published|made available|use) under (?:the |an? )?(?:terms of (?:the )?)?(?:{name})"),
+    ("under id", 88, r"(?:licen[sc]ed|distributed|released) under (?:the )?(?:terms of (?:the )?)?(?:{spdx})(?![\w.+-])"),
     ("url", 85, r"(?:https?://)?(?:www\.)?(?:{url})"),
     ("header", 80, r"licen[sc]e\s*[:=]\s*[\"']?(?:the )?(?:{name}|(?:{spdx})(?![\w.+-]))"),
     ("name", 60, r"(?:{name})"),
 ]
 
 
+#: SPDX ids of exceptions, which stand behind WITH.
+EXCEPTIONS = ["autoconf-exception-2.0", "autoconf-exception-3.0", "bison-exception-2.2", "classpath-exception-2.0", "font-exception-2.0", "gcc-exception-2.0", "gcc-exception-3.1", "linux-syscall-note", "llvm-exception", "openvpn-openssl-exception", "u-boot-exception-2.0", "wxwindows-exception-3.1"]
+
+
 class Rule(NamedTuple):
     label: str
     form: str
@@ -112,10 +117,14 @@ class Rule(NamedTuple):
     pattern: re.Pattern
 
 
+#: White space, and comment marks behind it, as where a statement is wrapped in a file's header.
+GAP = r"(?=\s)[\s#*/;>]++"
+
+
 def spaced(pattern: str) -> str:
-    """A space in a pattern stands for a run of white space, also where it is optional or in a class with a hyphen. Runs are
-    taken whole: no pattern has white space after white space."""
-    return pattern.replace("[- ]", r"(?:-|\s++)").replace(" ?", r"\s*+").replace(" ", r"\s++")
+    """A space in a pattern stands for a gap, also where it is optional or in a class with a hyphen. Gaps are taken whole: no
+    pattern has white space or a comment mark after a space."""
+    return pattern.replace("[- ]", f"(?:-|{GAP})").replace(" ?", f"(?:{GAP})?+").replace(" ", GAP)
 
 
 def wrapped(pattern: str) -> str:
@@ -129,6 +138,8 @@ def rules() -> list[Rule]:
     out = [Rule(label, "text", priority, (keywords,), re.compile(wrapped(pattern))) for label, priority, keywords, pattern in SIGNATURES]
     for label, spdx, name, url, keywords in LICENSES:
         for form, priority, pattern in FORMS:
+            if form == "url" and not url:
+                continue
             text = spaced(pattern.format(spdx=spdx, name=name, url=url))
             out.append(Rule(label, form, priority, tuple(keywords.split("|")), re.compile(text)))
     return sorted(out, key=lambda r: -r.priority)
@@ -159,28 +170,79 @@ def suppress(found: list[Detection]) -> list[Detection]:
     return sorted(kept)
 
 
+#: What is left of gaps once white space is collapsed.
+MARKS = re.compile(r" [#*/;>][ #*/;>]*+")
+#: A chain of words joined as an SPDX expression joins ids, the words themselves, and what an expression follows.
+CHAIN = r"\(*+[a-z0-9][\w.+-]*+\)*+(?:\s++(?:or|and|with)\s++\(*+[a-z0-9][\w.+-]*+\)*+)"
+TAGGED, LOOSE, TOKEN = re.compile(r"(?<=spdx-license-identifier:)\s*+" + CHAIN + "*+"), re.compile(r"(?<![\w.+(-])" + CHAIN + "++"), re.compile(r"[a-z0-9][\w.+-]*+")
+TAG = "spdx-license-identifier:"
+
+
 @cache
-def gates() -> tuple[ahocorasick.Automaton, list[tuple[Rule, list[frozenset[str]]]]]:
-    """An automaton of all keywords' words, and for each rule the sets of words of which one must be there."""
-    sets = [(r, [frozenset(k.split("&")) for k in r.keywords]) for r in rules()]
+def versioned() -> tuple[str, ...]:
+    """Beginnings of ids that hold a version or a number, which no word of plain text has: one of an untagged expression's operands begins so."""
+    begins = (re.match(r"[a-z0-9-]*", spdx)[0] for _, spdx, *_ in LICENSES)
+    return tuple(sorted({b for b in begins if re.search(r"-(?:[0-9]|$)", b)} | {"python-2.0", "psf-2.0"}))
+
+
+@lru_cache(maxsize=1 << 16)
+def label_of(token: str) -> str | None:
+    """The label of an SPDX id. The cache holds words of chains, of 64 characters at most."""
+    if token in EXCEPTIONS:
+        return token
+    return next((label for label, spdx, *_ in LICENSES if re.fullmatch(spdx, token)), None)
+
+
+def expressions(low: str, has: set[str]) -> Iterator[Detection]:
+    """Operands of SPDX expressions, each a detection: all behind a tag; without one, runs of ids of which one has a version."""
+    forms = [("tag", 100, TAGGED)] if TAG in has else []
+    if any(v in has for v in versioned()):
+        forms.append(("expression", 87, LOOSE))
+    for form, priority, chain in forms:
+        for m in chain.finditer(low):
+            run: list[tuple[int, str, str]] = []
+            words = [(t.start(), t[0].rstrip(".")) for t in TOKEN.finditer(low, m.start(), m.end())]
+            for i in range(0, len(words) + 2, 2):  # every second word is an operator; the last turn ends a run
+                at, word = words[i] if i < len(words) else (0, "")
+                label = label_of(word) if 0 < len(word) <= 64 else None
+                if label:
+                    run.append((at, word, label))
+                if not label or form == "tag":
+                    if form == "tag" or (len(run) > 1 and any(w.startswith(versioned()) for _, w, _ in run)):
+                        yield from (Detection(a, a + len(w), found, form, priority) for a, w, found in run)
+                    run = []
+
+
+@cache
+def gates() -> tuple[ahocorasick.Automaton, dict[str, list[tuple[int, frozenset[str]]]]]:
+    """An automaton of all keywords' words, and by its longest word each set of words that lets a rule (by its place) be run."""
+    sets: dict[str, list[tuple[int, frozenset[str]]]] = {}
+    for i, r in enumerate(rules()):
+        for k in r.keywords:
+            sets.setdefault(max(k.split("&"), key=len), []).append((i, frozenset(k.split("&"))))
     words = ahocorasick.Automaton()
-    for w in {w for _, ks in sets for k in ks for w in k}:
+    for w in {w for ks in sets.values() for _, k in ks for w in k} | {TAG, *versioned()}:
         words.add_word(w, w)
     words.make_automaton()
     return words, sets
 
 
-def gated(low: str) -> Iterator[Rule]:
-    """Rules that have a keyword in the text, with white space collapsed as patterns let it be any; the others can't match."""
-    words, sets = gates()
-    has = {w for _, w in words.iter(" ".join(low.split()))}
-    return (r for r, ks in sets if has and any(k <= has for k in ks))
+def keywords_of(low: str) -> set[str]:
+    """Keywords of a text, whose gaps are taken as single spaces, as patterns let them be any."""
+    return {w for _, w in gates()[0].iter(MARKS.sub(" ", " ".join(low.split())))}
+
+
+def gated(has: set[str]) -> list[Rule]:
+    """Rules that have a keyword in the text, in order; the others can't match."""
+    sets = gates()[1]
+    return [rules()[i] for i in sorted({i for w in has for i, k in sets.get(w, ()) if k <= has})]
 
 
 def scan(low: str) -> list[Detection]:
     """low: a text with A-Z lower-cased."""
-    found = [Detection(m.start(), m.end(), r.label, r.form, r.priority) for r in gated(low) for m in r.pattern.finditer(low)]
-    return suppress(found)
+    has = keywords_of(low)
+    found = [Detection(m.start(), m.end(), r.label, r.form, r.priority) for r in gated(has) for m in r.pattern.finditer(low)]
+    return suppress(found + list(expressions(low, has)))
 
 
 WORD = rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]"

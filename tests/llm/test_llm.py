@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -618,6 +619,30 @@ def test_no_license(text):
     assert licenses.scan(text.translate(licenses.UPPER)) == []
 
 
+@pytest.mark.parametrize("text, labels", [
+    ("Licensed under the GNU General\n# Public License v3", {"gpl-3.0"}), ("// Apache License,\n// Version 2.0", {"apache-2.0"}), (" * GNU\n * Lesser General\n * Public License", {"lgpl"}),
+    ("SPDX-License-Identifier: (MIT OR Apache-2.0)", {"mit", "apache-2.0"}), ("MIT OR Apache-2.0", {"mit", "apache-2.0"}), ("license: (ISC and (BSD-3-Clause or Zlib))", {"isc", "bsd-3-clause", "zlib"}),
+    ("GPL-2.0-only WITH Classpath-exception-2.0", {"gpl-2.0", "classpath-exception-2.0"}), ("SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note", {"gpl-2.0", "linux-syscall-note"}), ("SPDX-License-Identifier: (Ruby)", {"ruby"}),
+    ("SPDX-License-Identifier: LicenseRef-ours OR MIT.", {"mit"}), ("BSD 3-Clause License", {"bsd-3-clause"}), ("released under MIT", {"mit"}), ("MIT-licensed", {"mit"}), ("an MIT licensed tool", {"mit"}),
+    ("GNU GPL version 2", {"gpl-2.0"}), ("GPL, version 3", {"gpl-3.0"}), ("LGPL version 2.1", {"lgpl-2.1"}), ("Mozilla Public License, v. 2.0", {"mpl-2.0"}), ("Apache License, v. 2.0", {"apache-2.0"}),
+])
+def test_license_expressions_and_short_forms(text, labels):
+    assert {d.label for d in licenses.scan(text.translate(licenses.UPPER))} == labels
+
+
+@pytest.mark.parametrize("text", ["ruby or php", "salt and pepper or mit", "commit or limit", "Smith and Wesson with apache", "a mit-0x or b", "buried under mit"])
+def test_no_license_in_plain_chains(text):
+    assert licenses.scan(text.translate(licenses.UPPER)) == []
+
+
+def test_license_expressions_of_long_texts():
+    """In time that grows with the length: one token, one chain, one gap."""
+    for text in ("apache-2.0 or mit " + "x" * 2_000_000, "mit or apache-2.0 or " * 100_000, "gnu general " + " #" * 1_000_000, "(" * 1_000_000 + " apache-2.0"):
+        began = time.time()
+        licenses.scan(text)
+        assert time.time() - began < 20
+
+
 def test_suppression_of_many():
     """As comparing with every kept one, and in time that doesn't grow with the square."""
     import time
