@@ -106,23 +106,29 @@ def filter_bits(kmers: int, most: int | None = None) -> int | None:
     return maps * MAP_BITS if maps * MAP_BITS // 8 <= (FILTER_BYTES if most is None else most) else None
 
 
+def _probe(windows: DataFrame, kmers: DataFrame, bits: int) -> DataFrame:
+    """The windows with ``may_be``: false or null for those that the k-mers' filter lacks.
+
+    The filter has a bit for each k-mer's hash, made by tasks as bitmaps of 4 KB and looked up by a broadcast join on the bitmap's number."""
+    bit = F.pmod(F.xxhash64("kmer"), F.lit(bits))
+    number, place = F.floor(bit / MAP_BITS), (bit % MAP_BITS).cast("int")
+    maps = cut(kmers.groupBy(number.alias("map")).agg(F.bitmap_construct_agg(bit % MAP_BITS).alias("bits")), "filter")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may_be = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), place % 8 + 1)) != 0
+    return windows.withColumn("map", number).join(F.broadcast(maps), "map", "left").withColumn("may_be", may_be)
+
+
 def probed_stats(reads: DataFrame, index: DataFrame | Index, k: int, *keys: str, col: str = "seq", most: int | None = None) -> DataFrame:
     """Like ``stats``, for an index too large to be sent but whose probe filter isn't (``filter_bits``; a larger one is ``stats``).
 
-    The filter has a bit for each k-mer's hash, made by tasks as bitmaps of 4 KB and looked up by a broadcast join on the bitmap's number.
-    Windows that it lacks are surely absent, and are only counted; others are counted by k-mer before they are shuffled to the index. With
+    Windows that the filter lacks are surely absent, and are only counted; others are counted by k-mer before they are shuffled to the index. With
     16 bits a k-mer, one in 16 absent windows passes, and is told by the join: counts are exact."""
     built = build(index)
     bits = filter_bits(built.kmers.count(), most)
     if bits is None:
         return stats(reads, built, k, *keys, col=col)
-    bit = F.pmod(F.xxhash64("kmer"), F.lit(bits))
-    number, place = F.floor(bit / MAP_BITS), (bit % MAP_BITS).cast("int")
-    maps = cut(built.kmers.groupBy(number.alias("map")).agg(F.bitmap_construct_agg(bit % MAP_BITS).alias("bits")), "filter")
-    w = seq.windows(seq.fragments(reads, k, *keys, seq=col), k, *keys).withColumn("map", number)
-    byte = F.conv(F.hex(F.substring("bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    may_be = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), place % 8 + 1)) != 0
-    probe = w.join(F.broadcast(maps), "map", "left").withColumn("probe", F.when(may_be, F.col("kmer")))
+    w = seq.windows(seq.fragments(reads, k, *keys, seq=col), k, *keys)
+    probe = _probe(w, built.kmers, bits).withColumn("probe", F.when(F.col("may_be"), F.col("kmer")))
     counted = probe.groupBy(*keys, "probe").agg(F.count("*").alias("n"))
     met = counted.join(built.kmers.withColumn("hit", F.lit(True)), F.col("probe") == F.col("kmer"), "left")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
@@ -131,5 +137,20 @@ def probed_stats(reads: DataFrame, index: DataFrame | Index, k: int, *keys: str,
     return met.groupBy(*keys).agg(*out) if keys else met.agg(*out)
 
 
+def probed_absent(reads: DataFrame, index: DataFrame | Index, k: int, *keys: str, col: str = "seq", most: int | None = None) -> DataFrame:
+    """Like ``absent_windows``, for such an index: windows that the filter lacks are part of the result as they are, and only the others, at
+    most those in the index and one in 16 of the rest, are shuffled to it. Both parts make the windows, which costs CPU for the network's sake.
+    sf0.1 with nothing else sent: 26 MB of shuffle instead of 150 MB, 9.3 s instead of 5.8 s on 8 cores."""
+    built = build(index)
+    bits = filter_bits(built.kmers.count(), most)
+    if bits is None:
+        return absent_windows(reads, built, k, *keys, col=col)
+    probe = _probe(seq.windows(seq.fragments(reads, k, *keys, seq=col), k, *keys), built.kmers, bits)
+    sure = probe.where(~F.coalesce("may_be", F.lit(False)))
+    # an anti join would be pushed below the filter's join, and shuffle every window
+    others = probe.where("may_be").join(built.kmers.withColumn("in_index", F.lit(True)), "kmer", "left").where("in_index IS NULL")
+    return sure.select("kmer", *keys).unionByName(others.select("kmer", *keys))
+
+
 def nucleotides(segs: DataFrame) -> DataFrame:
     return segs.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).cast("long").alias("nucleotides"))

@@ -135,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "encode_decode": _encoded,
     "subtract_distinct": lambda s, d: subtract.subtract_distinct(reads(s, d), index(s, d), K),
     "subtract_bag": lambda s, d: subtract.absent_windows(reads(s, d, "conversations", record_idx="conv_id"), index(s, d), K, "record_idx").groupBy("record_idx").agg(F.count("*").alias("absent")),
+    "subtract_bag_probed": lambda s, d: subtract.probed_absent(reads(s, d, "conversations", record_idx="conv_id"), index(s, d), K, "record_idx").groupBy("record_idx").agg(F.count("*").alias("absent")),
     "subtract_bag_stats": lambda s, d: subtract.stats(reads(s, d), index(s, d), K),
     "subtract_stats_probed": lambda s, d: subtract.probed_stats(reads(s, d), index(s, d), K, "dataset_id"),
     "subtract_empty_index": lambda s, d: subtract.stats(reads(s, d), index(s, d).where("false"), K),
@@ -235,6 +236,7 @@ ORACLE_SQL: dict[str, str] = {
     "encode_decode": f"SELECT kmer, list_sum(list_transform(range(1, {K + 1}), lambda i: (instr('ACGT', substr(kmer, i, 1)) - 1) * (1::BIGINT << (2 * ({K} - i)))))::BIGINT::VARCHAR AS number, kmer AS back FROM {_INDEX}",
     "subtract_distinct": f"SELECT DISTINCT kmer FROM {_DOCS} EXCEPT SELECT kmer FROM {_INDEX}",
     "subtract_bag": f"SELECT record_idx, count(*) AS absent FROM {_windows('conversations', 'conv_id AS record_idx', 'record_idx', K)} WHERE kmer NOT IN (SELECT kmer FROM {_INDEX}) GROUP BY record_idx",
+    "subtract_bag_probed": f"SELECT record_idx, count(*) AS absent FROM {_windows('conversations', 'conv_id AS record_idx', 'record_idx', K)} WHERE kmer NOT IN (SELECT kmer FROM {_INDEX}) GROUP BY record_idx",
     "subtract_bag_stats": f"SELECT {_STATS} FROM {_MARK}",
     "subtract_empty_index": f"SELECT count(*) AS scanned, 0::BIGINT AS filtered, count(*) AS not_filtered FROM {_DOCS}",
     "per_query_stats": f"SELECT dataset_id, {_STATS} FROM {_MARK} GROUP BY dataset_id",

@@ -172,6 +172,21 @@ def test_probed_stats(spark, monkeypatch, most, keys):
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
+@pytest.mark.parametrize("most", [None, 0])
+@pytest.mark.parametrize("keys", [(), ("dataset_id",)])
+def test_probed_absent(spark, monkeypatch, most, keys):
+    """The occurrences of the plain join; surely absent ones aren't shuffled."""
+    r = random.Random(5)
+    monkeypatch.setattr(subtract, "FILTER_BITS", 1)
+    rows = [(i, i % 3, "".join(r.choices("ACGTN", k=200))) for i in range(30)] + [(40, None, "A" * 300), (41, 1, None), (40, None, "A" * 300)]
+    df = spark.createDataFrame(rows, "record_idx long, dataset_id long, seq string")
+    index = spark.createDataFrame(count.distinct_kmers(df.where("record_idx % 2 = 0"), 9).limit(1500).collect(), "kmer string")
+    for d, i in ((df, index), (df, index.where("false")), (df.where("false"), index)):
+        got, want = subtract.probed_absent(d, i, 9, *keys, most=most), subtract.absent_windows(d, i, 9, *keys)
+        assert got.columns == want.columns
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_count_by_superkmers(spark):
     """What a plain count gives: long runs of one minimizer, both strands, gaps, hot minimizers and none; and a smaller shuffle's one exchange."""
     r = random.Random(6)
