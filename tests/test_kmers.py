@@ -313,3 +313,51 @@ def test_streaming_matches_batch(spark, tmp_path):
     got = presence.presence_of_arrivals(spark, str(tmp_path / "in"), df.schema, 3, 1, "dataset_id", "text")
     want = count.count_datasets(df.select("dataset_id", seq.text_to_dna("text").alias("seq")), 3, 1)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_streaming_keeps_no_state(spark, tmp_path):
+    """Pairs that come again in a later run count once, and no state store is made."""
+    from strandweave.streaming import presence
+
+    table, checkpoint, schema = str(tmp_path / "pairs"), str(tmp_path / "checkpoint"), "dataset_id string, seq string"
+    rows = [("a", "AAAACGACG"), ("b", "AAAACGTTT"), (None, "AAAAA"), ("c", None), ("a", "CGTTT")]
+    for row in rows:
+        spark.createDataFrame([row], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        presence.update(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 3, table, checkpoint)
+    want = count.count_datasets(spark.createDataFrame(rows, schema), 3, 0)
+    assert sorted(map(tuple, presence.counts(spark, table).collect())) == sorted(map(tuple, want.collect())) != []
+    assert not (tmp_path / "checkpoint" / "state").exists()
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 21, 30, 31])
+@pytest.mark.parametrize("sizes", [(1 << 15, 1 << 22), (7, 50)])
+def test_packed_numbers(spark, monkeypatch, k, sizes):
+    """Counts and presence by packed numbers are those of a walk over the texts: gaps, row edges, other letters, both cases, chunk edges and rows without bases."""
+    from strandweave.functions import codes
+
+    r = random.Random(k)
+    base = "".join(r.choices("ACGT", k=200))
+    texts = ["", None, base, rc(base[20:90]).lower(), "T" * 70, "é" + base[:60] + "é", base[:40] + "\n" + base[40:99], "N" * 5, "A" * (k - 1), base[5 : 5 + k]]
+    names = ["x", "y", None, "z", "x", "y", "z", "x", None, "w"]
+    counts_, sets = {}, {}
+    for name, text in zip(names, texts):
+        for run in "".join(c if c in "ACGT" else " " for c in (text or "").replace("é", " ").upper()).split():
+            for i in range(len(run) - k + 1):
+                w = min(run[i : i + k], rc(run[i : i + k]))
+                counts_[w] = counts_.get(w, 0) + 1
+                sets.setdefault(w, set()).add(name)
+    table = spark.createDataFrame(list(zip(names, texts)), "dataset_id string, seq string").repartition(2)
+    chunk, held = sizes
+    got, pairs = {}, {}
+    monkeypatch.setattr(codes, "CHUNK", chunk)
+    monkeypatch.setattr(codes, "HELD", held)
+    batch = table.toArrow().to_batches()
+    import pyarrow as pa
+
+    rows = pa.Table.from_batches(list(codes._dealt(iter([b.select(["seq"]) for b in batch]), k, None, False)))
+    got = codes._summed(rows, 0, False, True, "sums").to_pylist()
+    assert {x["kmer"]: x["n"] for x in got} == counts_ and len(got) == len(counts_)
+    rows = pa.Table.from_batches(list(codes._dealt(iter(batch), k, None, True)))
+    pairs = codes._summed(rows, 1, True, True, "sums").to_pylist()
+    assert {x["kmer"]: x["n"] for x in pairs} == {w: n for w, x in sets.items() if (n := len(x - {None})) > 1}
+    assert {r["kmer"]: r["count"] for r in count.count_kmers(table, k).collect()} == counts_
