@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import seq
+from ..functions import codes, seq
 from ..lineage import cut
 from .runs import join_runs
 
@@ -39,6 +39,8 @@ class CounterConfig:
 
 def count_kmers(reads: DataFrame, k: int, threshold: int = 0, col: str = "seq") -> DataFrame:
     """kmer, count of canonical k-mers found more than ``threshold`` times."""
+    if k <= codes.MOST_K:
+        return codes.summed(reads, k, threshold, col=col).withColumnRenamed("n", "count")
     w = seq.windows(seq.fragments(reads, k, seq=col), k)
     return w.groupBy("kmer").agg(F.count("*").alias("count")).where(F.col("count") > threshold)
 
@@ -50,13 +52,17 @@ def saturated(counts: DataFrame, threshold: int) -> DataFrame:
 
 def count_datasets(reads: DataFrame, k: int, threshold: int = 0, dataset: str = "dataset_id", col: str = "seq", n_datasets: int | None = None) -> DataFrame:
     """kmer, n_datasets of k-mers found in more than ``threshold`` datasets."""
-    w = seq.windows(seq.fragments(reads, k, dataset, seq=col), k, dataset)
     if n_datasets is not None and threshold >= n_datasets:
-        w = w.where(F.lit(False))
+        reads = reads.where(F.lit(False))
+    if k <= codes.MOST_K:
+        return codes.summed(reads, k, threshold, dataset, col).withColumnRenamed("n", "n_datasets")
+    w = seq.windows(seq.fragments(reads, k, dataset, seq=col), k, dataset)
     return w.distinct().groupBy("kmer").agg(F.count(dataset).alias("n_datasets")).where(F.col("n_datasets") > threshold)
 
 
 def distinct_kmers(reads: DataFrame, k: int, col: str = "seq") -> DataFrame:
+    if k <= codes.MOST_K:
+        return codes.summed(reads, k, col=col).select("kmer")
     return seq.windows(seq.fragments(reads, k, seq=col), k).distinct()
 
 
