@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import seq
+from ..functions import codes, seq
 from ..lineage import cut
 
 #: Bits of a probe filter for each k-mer, those of one of its bitmaps (the built-in aggregate's size), and the bytes that are sent at most.
@@ -45,7 +45,11 @@ def check_k(k: int, m: int | None = None) -> int:
 
 def subtract_distinct(reads: DataFrame, index: DataFrame | Index, k: int, col: str = "seq") -> DataFrame:
     """Distinct k-mers of the records that the index (kmer) lacks."""
-    return seq.windows(seq.fragments(reads, k, seq=col), k).distinct().join(build(index).kmers, "kmer", "left_anti")
+    known = build(index).kmers
+    if k <= codes.MOST_K:
+        found = codes.summed(reads, k, col=col, as_text=False).select("kmer")
+        return codes.with_text(found.join(known.select(codes.number("kmer", k).alias("kmer")), "kmer", "left_anti"), k)
+    return seq.windows(seq.fragments(reads, k, seq=col), k).distinct().join(known, "kmer", "left_anti")
 
 
 def absent_windows(reads: DataFrame, index: DataFrame | Index, k: int, *keys: str, col: str = "seq") -> DataFrame:
