@@ -71,10 +71,14 @@ def spectrum(counts: DataFrame) -> DataFrame:
 
 
 def minimizer_counts(reads: DataFrame, k: int, m: int, col: str = "seq") -> DataFrame:
+    if m <= codes.MOST_K:
+        return codes.summed(reads, k, col=col, m=m).select(F.col("kmer").alias("minimizer"), F.col("n").alias("windows"))
     return seq.minimizer_windows(seq.fragments(reads, k, seq=col), k, m).groupBy("minimizer").agg(F.count("*").alias("windows"))
 
 
 def minimizer_presence(reads: DataFrame, k: int, m: int, dataset: str = "dataset_id", col: str = "seq") -> DataFrame:
+    if m <= codes.MOST_K:
+        return codes.summed(reads, k, -1, dataset, col, m).select(F.col("kmer").alias("minimizer"), F.col("n").alias("n_datasets"))
     w = seq.minimizer_windows(seq.fragments(reads, k, dataset, seq=col), k, m, dataset).select(dataset, "minimizer")
     return w.distinct().groupBy("minimizer").agg(F.count(dataset).alias("n_datasets"))
 

@@ -361,3 +361,11 @@ def test_packed_numbers(spark, monkeypatch, k, sizes):
     pairs = codes._summed(rows, 1, True, True, "sums").to_pylist()
     assert {x["kmer"]: x["n"] for x in pairs} == {w: n for w, x in sets.items() if (n := len(x - {None})) > 1}
     assert {r["kmer"]: r["count"] for r in count.count_kmers(table, k).collect()} == counts_
+
+
+def test_no_row_for_each_window(spark):
+    """Counts of minimizers and distinct absent k-mers are made without exploding windows."""
+    df = spark.createDataFrame([(0, "a", "ACGTTGCAAGGCTTAACC")], "record_idx long, dataset_id string, seq string")
+    index = spark.createDataFrame([("ACGTT",)], "kmer string")
+    plans = [count.minimizer_counts(df, 7, 3), count.minimizer_presence(df, 7, 3), subtract.subtract_distinct(df, index, 5)]
+    assert all("Generate" not in p._jdf.queryExecution().optimizedPlan().toString() for p in plans)
