@@ -14,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import seq
+from ..functions import codes, seq
 from ..lineage import cut, drop, drop_on_exit, shared_path
 from ..operators.rank import number_rows
+from ..shipping import ship
 
 _STATE = "kmer string, n long, last int"
 _MARK = "arrived int, rows long, batch long"
@@ -56,8 +57,11 @@ def update(reads: DataFrame, k: int, n_datasets: int, threshold: int, path: str,
         before, _ = _mark(spark, path, number - 1)
         records = new.where(F.col("ordinal").between(1, n_datasets)).select(F.col("ordinal").cast("int").alias("ordinal"), F.col(col).alias("seq"))
         arrived = max(before, records.agg(F.max("ordinal")).first()[0] or 0)
-        pairs = seq.windows(seq.fragments(records, k, "ordinal"), k, "ordinal").select("kmer", "ordinal").distinct()
-        state = spark.read.schema(_STATE).parquet(f"{path}/state/{number - 1}") if number else spark.createDataFrame([], _STATE)
+        if k <= codes.MOST_K:  # numbers in the state, too
+            pairs, schema = codes.gathered(codes.dealt(records, k, "ordinal"), pairs=True).withColumnRenamed("key", "ordinal"), _STATE.replace("kmer string", "kmer long")
+        else:
+            pairs, schema = seq.windows(seq.fragments(records, k, "ordinal"), k, "ordinal").select("kmer", "ordinal").distinct(), _STATE
+        state = spark.read.schema(schema).parquet(f"{path}/state/{number - 1}") if number else spark.createDataFrame([], schema)
         seen = Observation(f"state-{number}")
         after = next_state(state, pairs, before, arrived, n_datasets, threshold, prune).observe(seen, F.count("*").alias("rows"))
         after.write.mode("overwrite").parquet(f"{path}/state/{number}")
@@ -75,7 +79,11 @@ def update(reads: DataFrame, k: int, n_datasets: int, threshold: int, path: str,
 def counts(spark: SparkSession, path: str, threshold: int) -> DataFrame:
     """kmer, n_datasets of those above the threshold in what has arrived."""
     last = spark.read.schema(_MARK).parquet(f"{path}/marks").agg(F.max("batch")).first()[0]
-    return spark.read.schema(_STATE).parquet(f"{path}/state/{last}").where(F.col("n") > threshold).select("kmer", F.col("n").alias("n_datasets"))
+    state = spark.read.parquet(f"{path}/state/{last}").where(F.col("n") > threshold)
+    kmer = codes.text("kmer") if dict(state.dtypes)["kmer"] == "bigint" else F.col("kmer")
+    if dict(state.dtypes)["kmer"] == "bigint":
+        ship(spark)
+    return state.select(kmer.alias("kmer"), F.col("n").alias("n_datasets"))
 
 
 def presence_in_arrivals(records: DataFrame, k: int, threshold: int, arrivals: int = 4, dataset: str = "dataset_id") -> DataFrame:

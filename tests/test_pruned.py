@@ -89,3 +89,10 @@ def test_a_repeated_batch_writes_the_same(spark, tmp_path, monkeypatch):
 def test_no_datasets(spark):
     records = spark.createDataFrame([(None, "AAAA")], "dataset_id string, seq string")
     assert pruned.presence_in_arrivals(records, 3, 0).count() == 0
+
+
+def test_state_holds_numbers(spark, tmp_path):
+    arrive(spark, tmp_path, [(1, "AAAAC"), (2, "AAAA")])
+    update(spark, tmp_path, 2, 1)
+    assert dict(spark.read.parquet(str(tmp_path / "out" / "state" / "0")).dtypes)["kmer"] == "bigint"
+    assert counted(spark, tmp_path, 1) == [("AAA", 2)]
