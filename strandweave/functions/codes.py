@@ -7,7 +7,7 @@ Numbers are made by doubling (2, 4, 8 ... bases from two of half as many), on bo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,8 +66,16 @@ def bases_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8), offsets - offsets[0]
 
 
-def scan(data: np.ndarray, starts: np.ndarray, k: int, m: int | None = None, kmers: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]]:
-    """(places in data, numbers of the k-mers, numbers of their minimizers) of the windows, some at a time, in order. m: the minimizers' length."""
+def mixed(numbers: np.ndarray) -> np.ndarray:
+    """Numbers in an order of their own, one to one: minimizers in this order are not mostly those of runs of A."""
+    numbers = numbers * np.uint64(0x9E3779B97F4A7C15)
+    numbers ^= numbers >> np.uint64(32)
+    return numbers * np.uint64(0xD6E8FEB86659FD93)
+
+
+def scan(data: np.ndarray, starts: np.ndarray, k: int, m: int | None = None, kmers: bool = True, order: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]]:
+    """(places in data, numbers of the k-mers, numbers of their minimizers) of the windows, some at a time, in order. m: the minimizers' length;
+    order: what the minimizers' numbers become before the smallest is taken."""
     edges = starts[1:-1]
     for at in range(0, len(data), CHUNK):
         codes = _CODES[data[at : at + CHUNK + k - 1]]
@@ -81,7 +89,11 @@ def scan(data: np.ndarray, starts: np.ndarray, k: int, m: int | None = None, kme
         whole[crossing[(crossing >= 0) & (crossing < n)]] = False
         places = np.flatnonzero(whole)
         found = canonical(codes, k)[places] if kmers else None
-        yield places + at, found, minima(canonical(codes, m), k - m + 1)[places] if m else None
+        mins = None
+        if m:
+            mers = canonical(codes, m)
+            mins = minima(order(mers) if order else mers, k - m + 1)[places]
+        yield places + at, found, mins
 
 
 def letters_of(numbers: np.ndarray) -> pa.Array:
@@ -142,7 +154,7 @@ def _deal(numbers: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
     return pa.array(buckets[cuts[:-1]].astype(np.int32)), _binary(values[order], cuts), _binary(counts[order], cuts)
 
 
-def _dealt(batches: Iterator[pa.RecordBatch], k: int, m: int | None, key: bool) -> Iterator[pa.RecordBatch]:
+def _dealt(batches: Iterator[pa.RecordBatch], k: int, m: int | None, key: bool, order: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
     """Windows of a task's rows, held until there are many: a row for each key and bucket of what is distinct in them."""
     held: dict[object, list[np.ndarray]] = {}
     size = 0
@@ -161,7 +173,7 @@ def _dealt(batches: Iterator[pa.RecordBatch], k: int, m: int | None, key: bool)
             coded = batch.column(0).dictionary_encode(null_encoding="encode")
             names, of = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
             of_row = np.append(of, 0).astype(np.uint16 if len(names) < 1 << 16 else np.int32)
-        for places, kmers, mins in scan(data, starts, k, m, m is None):
+        for places, kmers, mins in scan(data, starts, k, m, m is None, order):
             numbers = kmers if m is None else mins
             size += len(numbers)
             if not len(numbers):
@@ -171,10 +183,10 @@ def _dealt(batches: Iterator[pa.RecordBatch], k: int, m: int | None, key: bool)
             else:
                 first, last = np.searchsorted(starts, (places[0], places[-1]), "right") - 1
                 here = of_row[np.repeat(np.arange(first, last + 1), np.diff(np.clip(np.searchsorted(places, starts[first : last + 2]), 0, len(places))))]
-                order = np.argsort(here, kind="stable")
-                cuts = np.append(_rows(here[order]), len(here))
+                by = np.argsort(here, kind="stable")
+                cuts = np.append(_rows(here[by]), len(here))
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    held.setdefault(names[here[order[a]]], []).append(numbers[order[a:b]])
+                    held.setdefault(names[here[by[a]]], []).append(numbers[by[a:b]])
             if size >= HELD:
                 yield from flush()
                 size = 0
@@ -213,13 +225,13 @@ def _summed(table: pa.Table, least: int, key: bool, as_text: bool, out: str) ->
     return pa.table({"kmer": letters_of(kmers) if as_text else pa.array(kmers.view(np.int64)), "n": pa.array(sums[often])})
 
 
-def dealt(reads: DataFrame, k: int, key: str | None = None, col: str = "seq", m: int | None = None) -> DataFrame:
+def dealt(reads: DataFrame, k: int, key: str | None = None, col: str = "seq", m: int | None = None, order: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """key, bucket, kmers, n: packed numbers of canonical k-mers (of windows' minimizers, with m), a row for each bucket of what is distinct in some millions
     of windows, and how often each is there (not with ``key``); k up to 31. A row for each window costs Spark more than the window. No shuffle."""
     ship(reads.sparkSession)
     given = reads.select(*([F.col(key).alias("key")] if key else []), F.col(col).alias("seq"))
     kind = f"key {given.schema['key'].dataType.simpleString()}, " if key else ""
-    rows = given.mapInArrow(lambda b: _dealt(b, k, m, bool(key)), kind + "bucket int, kmers binary, n binary")
+    rows = given.mapInArrow(lambda b: _dealt(b, k, m, bool(key), order), kind + "bucket int, kmers binary, n binary")
     return rows.drop("n") if key else rows
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import codes, seq
+from ..functions import codes, seq, stretches
 from ..lineage import cut
 from .runs import join_runs
 
@@ -93,8 +93,11 @@ def prefiltered_counts(reads: DataFrame, k: int, m: int, threshold: int, col: st
 def hot_minimizers(reads: DataFrame, k: int, m: int, share: float, sample: float, col: str = "seq") -> list[int]:
     """Codes of minimizers with more than ``share`` of the windows of a sample of records: 1 / share of them at most. They decide how
     windows are dealt out, not what is counted."""
-    frags = seq.fragments(reads.sample(sample, seed=7) if sample < 1 else reads, k, seq=col)
-    n = seq.minimizer_pieces(frags, k, m, order="code").select(F.explode("mins").alias("minimizer")).groupBy("minimizer").agg(F.count("*").alias("n"))
+    some = reads.sample(sample, seed=7) if sample < 1 else reads
+    if k <= codes.MOST_K:
+        n = codes.gathered(codes.dealt(some, k, col=col, m=m, order=codes.mixed), as_text=False).withColumnRenamed("kmer", "minimizer")
+    else:
+        n = seq.minimizer_pieces(seq.fragments(some, k, seq=col), k, m, order="code").select(F.explode("mins").alias("minimizer")).groupBy("minimizer").agg(F.count("*").alias("n"))
     n = cut(n, "minimizers")
     least = (n.agg(F.sum("n")).first()[0] or 0) * share
     return sorted(r["minimizer"] for r in n.where(F.col("n") > least).select("minimizer").collect())
@@ -106,16 +109,18 @@ def count_by_superkmers(reads: DataFrame, k: int, m: int, threshold: int = 0, sh
     stands, on either strand, so they are counted there without another shuffle.
 
     Windows of ``hot_minimizers`` (low complexity, repeats) would be one task's: they are counted by k-mer, with partial sums before their
-    shuffle, and join the result by union."""
+    shuffle. Up to k = 31 tasks make, pack and count stretches by numpy; longer windows are rows, and hot ones join the result by union."""
     hot = hot_minimizers(reads, k, m, share, sample, col)
+    if k <= codes.MOST_K:
+        return stretches.summed(stretches.dealt(reads, k, m, hot, col=col), k, threshold)
     p = seq.minimizer_pieces(seq.fragments(reads, k, seq=col), k, m, order="code", bases=True)
-    stretches = _stretches(p, lambda first, windows: F.substring("f", first + 1, windows + k - 1).cast("string").alias("seq"))
-    cold = stretches.where(~F.col("minimizer").isin(hot)) if hot else stretches
+    runs = _stretches(p, lambda first, windows: F.substring("f", first + 1, windows + k - 1).cast("string").alias("seq"))
+    cold = runs.where(~F.col("minimizer").isin(hot)) if hot else runs
     bucket = F.pmod(F.xxhash64("minimizer"), F.lit(BUCKETS)).cast("int")
     dealt = cold.select(bucket.alias("bucket"), seq.packed("seq").alias("packed")).repartition("bucket")
     counts = seq.windows(dealt.select("bucket", seq.unpacked("packed").alias("seq")), k, "bucket").groupBy("bucket", "kmer").agg(F.count("*").alias("count")).select("kmer", "count")
     if hot:
-        rest = seq.windows(stretches.where(F.col("minimizer").isin(hot)).select("seq"), k)
+        rest = seq.windows(runs.where(F.col("minimizer").isin(hot)).select("seq"), k)
         counts = counts.unionByName(rest.groupBy("kmer").agg(F.count("*").alias("count")))
     return counts.where(F.col("count") > threshold)
 

@@ -369,3 +369,53 @@ def test_no_row_for_each_window(spark):
     index = spark.createDataFrame([("ACGTT",)], "kmer string")
     plans = [count.minimizer_counts(df, 7, 3), count.minimizer_presence(df, 7, 3), subtract.subtract_distinct(df, index, 5)]
     assert all("Generate" not in p._jdf.queryExecution().optimizedPlan().toString() for p in plans)
+
+
+def test_superkmers_make_no_row_for_each_window(spark):
+    """Counts by super-k-mers are one grouped exchange of packed stretches."""
+    plan = count.count_by_superkmers(reads(spark, "ACGTTGCAAGGCTTAACC"), 7, 3, 0, 1.1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("k, m", [(1, 1), (5, 3), (21, 11), (31, 31)])
+@pytest.mark.parametrize("sizes", [(64, 100, 4), (1 << 15, 1 << 22, 1 << 15)])
+def test_packed_stretches(monkeypatch, k, m, sizes):
+    """Stretches of each bucket hold what a walk over the texts finds, for each key: gaps, row edges, long runs, hot minimizers, buckets sent as numbers, and rare minimizers left out."""
+    import numpy as np
+    import pyarrow as pa
+
+    from strandweave.functions import codes, stretches
+
+    monkeypatch.setattr(codes, "CHUNK", sizes[0])
+    monkeypatch.setattr(codes, "HELD", sizes[1])
+    monkeypatch.setattr(stretches, "MANY", sizes[2])
+    r = random.Random(k)
+    base = "".join(r.choices("ACGT", k=700))
+    texts = ["", None, base, rc(base[20:90]).lower(), "T" * 900, "é" + base[:60] + "N", base[:40] + "\n" + base[40:99], "A" * (k - 1), base[5 : 5 + k], "AC" * 300]
+    names = ["x", "y", None, "z", "x", "y", "z", "x", None, "w"]
+    want, keyed = {}, {}
+    for name, text in zip(names, texts):
+        for run in "".join(c if c in "ACGT" else " " for c in (text or "").upper()).split():
+            for i in range(len(run) - k + 1):
+                w = min(run[i : i + k], rc(run[i : i + k]))
+                want[w] = want.get(w, 0) + 1
+                keyed[name, w] = keyed.get((name, w), 0) + 1
+    batch = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["key", "seq"])
+    parts = [batch.slice(0, 3), batch.slice(3)]
+    poly = codes.mixed(codes.canonical(np.zeros(m, np.uint8), m))
+    for hot, whole in ((poly[:0], False), (poly, False), (poly, True)):
+        rows = pa.Table.from_batches(list(stretches._packed(iter(p.select(["seq"]) for p in parts), k, m, hot, False, whole)))
+        got = {}
+        for bucket in set(rows.column("bucket").to_pylist()):
+            numbers, n = stretches.counted(rows.filter(pa.compute.equal(rows.column("bucket"), bucket)), k, 1, m if whole else None)
+            for kmer, x in zip(codes.letters_of(numbers).to_pylist(), n.tolist()):
+                assert kmer not in got
+                got[kmer] = x
+        assert got == {w: n for w, n in want.items() if n > 1}
+    rows = pa.Table.from_batches(list(stretches._packed(iter(parts), k, m, poly[:0], True)))
+    got = {}
+    for key, bucket in set(zip(rows.column("key").to_pylist(), rows.column("bucket").to_pylist())):
+        mine = [a == key and b == bucket for a, b in zip(rows.column("key").to_pylist(), rows.column("bucket").to_pylist())]
+        numbers, n = stretches.counted(rows.filter(pa.array(mine)), k)
+        got |= {(key, w): x for w, x in zip(codes.letters_of(numbers).to_pylist(), n.tolist())}
+    assert got == keyed
