@@ -84,7 +84,12 @@ def minimizer_presence(reads: DataFrame, k: int, m: int, dataset: str = "dataset
 
 
 def prefiltered_counts(reads: DataFrame, k: int, m: int, threshold: int, col: str = "seq") -> DataFrame:
-    """The same as ``count_kmers``: windows whose minimizer is too rare can't hold a frequent k-mer and are left out first."""
+    """The same as ``count_kmers``: windows whose minimizer is too rare can't hold a frequent k-mer and are left out first.
+
+    Up to k = 31 stretches are dealt out by minimizer, so a bucket tells rare ones before it makes its k-mers; hot ones are surely not rare."""
+    if k <= codes.MOST_K:
+        hot = hot_minimizers(reads, k, m, 1 / 128, 0.05, col)
+        return stretches.summed(stretches.dealt(reads, k, m, hot, col=col, whole=True), k, threshold, m)
     w = seq.minimizer_windows(seq.fragments(reads, k, seq=col), k, m).select("kmer", "minimizer")
     often = w.groupBy("minimizer").agg(F.count("*").alias("n")).where(F.col("n") > threshold).select("minimizer")
     return w.join(often, "minimizer", "left_semi").groupBy("kmer").agg(F.count("*").alias("count")).where(F.col("count") > threshold)
