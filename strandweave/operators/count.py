@@ -146,7 +146,10 @@ def _stretches(pieces: DataFrame, *more) -> DataFrame:
 def superkmers(reads: DataFrame, k: int, m: int, record: str = "record_idx", col: str = "seq") -> DataFrame:
     """record, frag, start, windows, minimizer of maximal runs of windows with one minimizer; runs tile a fragment.
 
-    Runs are found inside each piece, so windows aren't shuffled; only those at the edges of pieces of a longer fragment meet in one task."""
+    Up to k = 31 a record's runs are found whole in its row. For longer windows they are found inside each piece, so windows aren't shuffled; only
+    those at the edges of pieces of a longer fragment meet in one task."""
+    if k <= codes.MOST_K:
+        return stretches.superkmers(reads, k, m, record, col)
     p = seq.minimizer_pieces(seq.fragments(reads, k, record, seq=col), k, m, record, "frag")
     size = F.size("mins")
     changes = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get("mins", i) != F.get("mins", i - 1)))

@@ -431,3 +431,16 @@ def test_prefilter_makes_no_row_for_each_window(spark):
         assert sorted(map(tuple, count.prefiltered_counts(df, k, m, threshold).collect())) == want != []
     plan = count.prefiltered_counts(df, 21, 11, 2)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan
+
+
+def test_runs_without_shuffle(spark):
+    """Runs are found in a record's row; equal ids don't mix, keys keep their type, and k above 31 gives what a walk gives."""
+    text = "A" * 5000 + "N" + "ACGTTGCAAGGCTTAACCGG" * 3
+    df = spark.createDataFrame([("x", text), ("x", text), (None, text[:30])], "name string, seq string")
+    runs = count.superkmers(df, 7, 3, "name")
+    plan = runs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan and dict(runs.dtypes) == {"name": "string", "frag": "int", "start": "int", "windows": "bigint", "minimizer": "string"}
+    rows = [tuple(x) for x in runs.collect()]
+    assert rows.count(("x", 0, 0, 4994, "AAA")) == 2 and (None, 0, 0, 24, "AAA") in rows
+    long = [tuple(x) for x in count.superkmers(df.limit(1), 40, 3, "name").collect()]
+    assert sum(x[3] for x in long) == 5000 - 39 + 60 - 39
