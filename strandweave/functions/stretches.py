@@ -105,10 +105,11 @@ def _sizes(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.Rec
 
 
 def sizes(reads: DataFrame, k: int, m: int, col: str = "seq") -> DataFrame:
-    """One row: fragments (runs of at least k bases), their bases, runs of windows with one minimizer, windows."""
+    """One row: fragments (runs of at least k bases), their bases, runs of windows with one minimizer, windows. Sums of nothing are null."""
     ship(reads.sparkSession)
     each = reads.select(F.col(col).alias("seq")).mapInArrow(lambda b: _sizes(b, k, m), "fragments long, bases long, runs long, windows long")
-    return each.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in each.columns])
+    total = each.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in each.columns])
+    return total.select("fragments", F.expr("nullif(bases, 0)").alias("bases"), "runs", F.expr("nullif(windows, 0)").alias("windows"))
 
 
 def _bytes(n: np.ndarray, k: int) -> np.ndarray:

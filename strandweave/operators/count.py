@@ -143,6 +143,16 @@ def _stretches(pieces: DataFrame, *more) -> DataFrame:
     return p.select(*kept, F.explode(F.transform("firsts", run)).alias("r")).select(*kept, "r.*")
 
 
+def scanned(reads: DataFrame, k: int, m: int, col: str = "seq") -> DataFrame:
+    """One row: fragments of at least k bases, their bases, runs of windows with one minimizer, windows."""
+    if k <= codes.MOST_K:
+        return stretches.sizes(reads, k, m, col)
+    given = reads.select(F.monotonically_increasing_id().alias("row"), F.col(col).alias("seq"))
+    n = seq.fragments(given, k).agg(F.count("*").alias("fragments"), F.sum(F.length("seq")).alias("bases"))
+    runs = superkmers(given, k, m, "row").agg(F.count("*").alias("runs"), F.sum("windows").alias("windows"))
+    return n.join(F.broadcast(runs))  # one row each
+
+
 def superkmers(reads: DataFrame, k: int, m: int, record: str = "record_idx", col: str = "seq") -> DataFrame:
     """record, frag, start, windows, minimizer of maximal runs of windows with one minimizer; runs tile a fragment.
 

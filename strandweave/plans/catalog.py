@@ -83,15 +83,6 @@ def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("unitig_id", seq.prefix_key("seq").alias("prefix_key"), seq.suffix_key("seq").alias("suffix_key"), seq.prefix_suffix_key("seq").alias("both_key"))
 
 
-def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads, bases and runs of a minimizer scan."""
-    r = reads(spark, sf_dir)
-    frags = seq.fragments(r, K, "record_idx")
-    n = frags.agg(F.count("*").alias("fragments"), F.sum(F.length("seq")).alias("bases"))
-    runs = count.superkmers(r, K, M).agg(F.count("*").alias("runs"), F.sum("windows").alias("windows"))
-    return n.join(F.broadcast(runs))  # one row each
-
-
 def _presence_above_300(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table's sources are counted first: where they are too few, no window is made."""
     r = reads(spark, sf_dir)
@@ -129,7 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "distinct_minimizers": lambda s, d: count.minimizer_counts(reads(s, d), K, M).agg(F.count("*").alias("minimizers")),
     "minimizer_prefiltered_counts": lambda s, d: count.prefiltered_counts(reads(s, d), K, M, X),
     "superkmer_runs": lambda s, d: count.superkmers(reads(s, d), K, M),
-    "minimizer_scan": _scan,
+    "minimizer_scan": lambda s, d: count.scanned(reads(s, d), K, M),
     "canonical_windows": lambda s, d: seq.windows(seq.fragments(reads(s, d, "benchmark", record_idx="item_id"), K, "record_idx"), K, "record_idx", "frag", place=True),
     "reverse_complement": lambda s, d: seq.fragments(reads(s, d), K, "record_idx").select("record_idx", "frag", seq.reverse_complement("seq").alias("rc")),
     "encode_decode": _encoded,

@@ -444,3 +444,13 @@ def test_runs_without_shuffle(spark):
     assert rows.count(("x", 0, 0, 4994, "AAA")) == 2 and (None, 0, 0, 24, "AAA") in rows
     long = [tuple(x) for x in count.superkmers(df.limit(1), 40, 3, "name").collect()]
     assert sum(x[3] for x in long) == 5000 - 39 + 60 - 39
+
+
+def test_scan_makes_no_row_for_each_window(spark):
+    df = reads(spark, "ACGTTGCAANACGNTTGACCATG", "acgttgca", "", None, "NNN")
+    for k, m in ((5, 3), (3, 3), (40, 5)):
+        runs, frags = count.superkmers(df, k, m).collect(), seq.fragments(df, k, "record_idx").collect()
+        want = (len(frags), sum(len(f["seq"]) for f in frags) or None, len(runs), sum(x["windows"] for x in runs) or None)
+        assert tuple(count.scanned(df, k, m).first()) == want
+    assert tuple(count.scanned(df.where("false"), 5, 3).first()) == (0, None, 0, None)
+    assert "Generate" not in count.scanned(df, 5, 3)._jdf.queryExecution().optimizedPlan().toString()
