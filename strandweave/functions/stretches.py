@@ -192,7 +192,7 @@ def _packed(batches: Iterator[pa.RecordBatch], k: int, m: int, hot: np.ndarray,
                 if key:
                     group |= of_row[np.searchsorted(starts, at, "right") - 1] << codes.BUCKET_BITS
                 held.append((group, n, packed))
-            if size >= codes.HELD:
+            if size >= codes.HELD * (4 if key else 1):  # a row of a key and a bucket is small
                 yield from flush()
                 size = 0
     yield from flush()
