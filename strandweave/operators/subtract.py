@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import codes, seq
+from ..functions import codes, marks, seq
 from ..lineage import cut
 
 #: Bits of a probe filter for each k-mer, those of one of its bitmaps (the built-in aggregate's size), and the bytes that are sent at most.
@@ -75,7 +75,12 @@ def segments(reads: DataFrame, index: DataFrame | Index, k: int, record: str = "
 
     Only windows that the index has are kept, as sorted lists for each piece of a fragment; what lies between them is cut from the piece. Runs that
     touch a piece's edge are joined by fragment afterwards, so the work is in proportion to a record's length. Equal rows of one record each have their segments;
-    rows of one record with different sequences must have different ids."""
+    rows of one record with different sequences must have different ids.
+
+    With an index of some megabytes, which is sent to the tasks, a record's segments are found whole in its row."""
+    index = build(index)
+    if (known := marks.sent(index.kmers, k)) is not None:
+        return marks.segments(reads, k, known, record, col)
     frags = seq.fragments(reads, k, record, seq=col)
     block = F.floor(F.col("pos") / seq.PIECE).cast("int")
     hits = seq.windows(frags, k, record, "frag", place=True).join(build(index).kmers, "kmer", "left_semi")

@@ -454,3 +454,24 @@ def test_scan_makes_no_row_for_each_window(spark):
         assert tuple(count.scanned(df, k, m).first()) == want
     assert tuple(count.scanned(df.where("false"), 5, 3).first()) == (0, None, 0, None)
     assert "Generate" not in count.scanned(df, 5, 3)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("k", [1, 5, 21])
+def test_sent_index_is_like_the_join(spark, monkeypatch, k):
+    """Segments and sums of an index that is sent are those of the joined one: gaps, both cases, rows without bases, twice and without an id, no index."""
+    from strandweave.functions import marks
+
+    r = random.Random(k)
+    base = "".join(r.choices("ACGTN", [9, 9, 9, 9, 1], k=6000))
+    rows = [(1, "a", base), (2, "a", rc(base.replace("N", "G"))[:900].lower()), (3, None, ""), (4, "b", None), (None, None, "é" + base[50:400]), (6, "b", "A" * 300), (6, "b", "A" * 300), (7, "c", "ACNGT")]
+    df = spark.createDataFrame(rows, "record_idx long, dataset_id string, seq string")
+    known = {min(w, rc(w)) for w in (base[i : i + k] for i in range(0, 3000, 7)) if "N" not in w}
+    index = spark.createDataFrame([(w,) for w in sorted(known)[: 1 if k == 1 else None]], "kmer string")
+    for i in (index, index.where("false")):
+        got = [subtract.segments(df, i, k)]
+        assert all("Generate" not in x._jdf.queryExecution().optimizedPlan().toString() for x in got)
+        with monkeypatch.context() as joined:
+            joined.setattr(marks, "SENT", -1)
+            want = [subtract.segments(df, i, k)]
+        for x, y in zip(got, want):
+            assert x.dtypes == y.dtypes and sorted(map(repr, x.collect())) == sorted(map(repr, y.collect()))
