@@ -47,6 +47,36 @@ def sent(kmers: DataFrame, k: int) -> Broadcast | None:
     return kmers.sparkSession.sparkContext.broadcast(np.sort(numbers.to_numpy().astype(np.int64).view(np.uint64)))
 
 
+def _sums(batches: Iterator[pa.RecordBatch], k: int, index: Broadcast, schema: list[str]) -> Iterator[pa.RecordBatch]:
+    lookup = Lookup(index.value)
+    total = np.zeros(2, np.int64)
+    for batch in batches:
+        data, starts = bases_of(batch.column(batch.num_columns - 1))
+        all_, hits = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+        for places, numbers, _ in scan(data, starts, k):
+            if len(places):
+                hit = lookup.has(numbers)
+                first, last = np.searchsorted(starts, (places[0], places[-1]), "right") - 1
+                edges = starts[first : last + 2]
+                all_[first : last + 1] += np.diff(np.searchsorted(places, edges))
+                hits[first : last + 1] += np.diff(np.searchsorted(places[hit], edges))
+        total += (all_.sum(), hits.sum())
+        if len(schema) > 2:
+            rows = pa.array(np.flatnonzero(all_))
+            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[:-1]), pa.array(all_).take(rows), pa.array(hits).take(rows)], names=schema)
+    if len(schema) == 2:
+        yield pa.RecordBatch.from_arrays([pa.array(total[:1]), pa.array(total[1:])], names=schema)
+
+
+def sums(reads: DataFrame, k: int, index: Broadcast, keys: list[str], col: str) -> DataFrame:
+    """keys, scanned, filtered: windows, and those that the index has, of each row that has windows; without keys, of each task."""
+    ship(reads.sparkSession)
+    given = reads.select(*keys, F.col(col).alias("seq"))
+    schema = StructType(given.schema.fields[:-1]).add("scanned", "long").add("filtered", "long")
+    names = schema.fieldNames()
+    return given.mapInArrow(lambda b: _sums(b, k, index, names), schema)
+
+
 def _segments(batches: Iterator[pa.RecordBatch], k: int, index: Broadcast, name: str) -> Iterator[pa.RecordBatch]:
     lookup = Lookup(index.value)
 

@@ -64,7 +64,15 @@ def marked(reads: DataFrame, index: DataFrame | Index, k: int, *keys: str, place
 
 
 def stats(reads: DataFrame, index: DataFrame | Index, k: int, *keys: str, col: str = "seq") -> DataFrame:
-    """Per keys (or in all): scanned, filtered and not_filtered window occurrences."""
+    """Per keys (or in all): scanned, filtered and not_filtered window occurrences.
+
+    An index of some megabytes is sent to the tasks (``marks.sent``), which sum up each row's windows; a larger one is joined."""
+    index = build(index)
+    if (known := marks.sent(index.kmers, k)) is not None:
+        each = marks.sums(reads, k, known, list(keys), col)
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+        both = each.groupBy(*keys).agg(total("scanned"), total("filtered")) if keys else each.agg(total("scanned"), total("filtered"))
+        return both.withColumn("not_filtered", F.col("scanned") - F.col("filtered"))
     w = marked(reads, index, k, *keys, col=col)
     out = [F.count("*").alias("scanned"), F.count_if("hit").alias("filtered"), F.count_if(~F.col("hit")).alias("not_filtered")]
     return w.groupBy(*keys).agg(*out) if keys else w.agg(*out)

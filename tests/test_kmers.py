@@ -468,10 +468,10 @@ def test_sent_index_is_like_the_join(spark, monkeypatch, k):
     known = {min(w, rc(w)) for w in (base[i : i + k] for i in range(0, 3000, 7)) if "N" not in w}
     index = spark.createDataFrame([(w,) for w in sorted(known)[: 1 if k == 1 else None]], "kmer string")
     for i in (index, index.where("false")):
-        got = [subtract.segments(df, i, k)]
+        got = [subtract.segments(df, i, k), subtract.stats(df, i, k), subtract.stats(df, i, k, "dataset_id"), subtract.stats(df, i, k, "record_idx", "dataset_id"), subtract.stats(df.where("false"), i, k)]
         assert all("Generate" not in x._jdf.queryExecution().optimizedPlan().toString() for x in got)
         with monkeypatch.context() as joined:
             joined.setattr(marks, "SENT", -1)
-            want = [subtract.segments(df, i, k)]
+            want = [subtract.segments(df, i, k), subtract.stats(df, i, k), subtract.stats(df, i, k, "dataset_id"), subtract.stats(df, i, k, "record_idx", "dataset_id"), subtract.stats(df.where("false"), i, k)]
         for x, y in zip(got, want):
             assert x.dtypes == y.dtypes and sorted(map(repr, x.collect())) == sorted(map(repr, y.collect()))
