@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from ..functions import codes, marks, seq
 from ..lineage import cut
@@ -139,11 +140,18 @@ def probed_stats(reads: DataFrame, index: DataFrame | Index, k: int, *keys: str,
     """Like ``stats``, for an index too large to be sent but whose probe filter isn't (``filter_bits``; a larger one is ``stats``).
 
     Windows that the filter lacks are surely absent, and are only counted; others are counted by k-mer before they are shuffled to the index. With
-    16 bits a k-mer, one in 16 absent windows passes, and is told by the join: counts are exact."""
+    16 bits a k-mer, one in 16 absent windows passes, and is told by the join: counts are exact.
+
+    Up to k = 31 and with one key of text or numbers at most, tasks look up packed numbers (``marks.probed``); else a window is a row."""
     built = build(index)
     bits = filter_bits(built.kmers.count(), most)
     if bits is None:
         return stats(reads, built, k, *keys, col=col)
+    if k <= codes.MOST_K and len(keys) < 2 and all(isinstance(reads.schema[x].dataType, StringType | IntegralType) for x in keys):
+        each = marks.probed(reads, built.kmers, k, bits, keys[0] if keys else None, col)
+        sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("scanned", "filtered")]
+        both = each.groupBy(F.col("key").alias(keys[0])).agg(*sums) if keys else each.agg(*sums)
+        return both.withColumn("not_filtered", F.col("scanned") - F.col("filtered"))
     w = seq.windows(seq.fragments(reads, k, *keys, seq=col), k, *keys)
     probe = _probe(w, built.kmers, bits).withColumn("probe", F.when(F.col("may_be"), F.col("kmer")))
     counted = probe.groupBy(*keys, "probe").agg(F.count("*").alias("n"))

@@ -475,3 +475,13 @@ def test_sent_index_is_like_the_join(spark, monkeypatch, k):
             want = [subtract.segments(df, i, k), subtract.stats(df, i, k), subtract.stats(df, i, k, "dataset_id"), subtract.stats(df, i, k, "record_idx", "dataset_id"), subtract.stats(df.where("false"), i, k)]
         for x, y in zip(got, want):
             assert x.dtypes == y.dtypes and sorted(map(repr, x.collect())) == sorted(map(repr, y.collect()))
+
+
+def test_probe_makes_no_row_for_each_window(spark):
+    """Windows are looked up in the filter as numbers, whether the key is text, a number or none."""
+    df = spark.createDataFrame([(0, "a", "ACGTTGCAAGGCTTAACC"), (1, None, "AAAAAAAAN"), (2, "a", None), (3, "b", "AC")], "record_idx long, dataset_id string, seq string")
+    index = spark.createDataFrame([("AAAAA",), ("ACGTT",)], "kmer string")
+    for keys in ((), ("dataset_id",), ("record_idx",)):
+        got, want = subtract.probed_stats(df, index, 5, *keys), subtract.stats(df, index, 5, *keys)
+        assert got.dtypes == want.dtypes and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
